@@ -12,17 +12,23 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillroll.functions.numbers import percent, ratio, rounded
 
+SUMS = {"quantity": "Quantity", "revenue": "Revenue"}
+DISTINCT = {
+    "orders": "InvoiceNo",
+    "customers": "CustomerID",
+    "products": "StockCode",
+    "codes": "StockCode",
+    "countries": "Country",
+    "months_in_data": "YearMonth",
+    "active_days": "InvoiceDay",
+}
+# columns that (nearly always) have one value per order
+PER_ORDER = {"InvoiceNo", "CustomerID", "Country", "YearMonth", "InvoiceDay"}
+LINES = "line_items"
 BASE = {
-    "line_items": lambda: F.count(F.lit(1)),
-    "orders": lambda: F.count_distinct("InvoiceNo"),
-    "customers": lambda: F.count_distinct("CustomerID"),
-    "products": lambda: F.count_distinct("StockCode"),
-    "codes": lambda: F.count_distinct("StockCode"),
-    "countries": lambda: F.count_distinct("Country"),
-    "months_in_data": lambda: F.count_distinct("YearMonth"),
-    "active_days": lambda: F.count_distinct("InvoiceDay"),
-    "quantity": lambda: F.sum("Quantity"),
-    "revenue": lambda: F.sum("Revenue"),
+    LINES: lambda: F.count(F.lit(1)),
+    **{name: lambda c=c: F.count_distinct(c) for name, c in DISTINCT.items()},
+    **{name: lambda c=c: F.sum(c) for name, c in SUMS.items()},
 }
 
 
@@ -63,12 +69,31 @@ def shown(name: str) -> Column:
     return rounded(F.col(name)).alias(name) if name in MONEY else F.col(name)
 
 
+def measured(s: DataFrame, keys: list[str], metrics: Iterable[str]) -> DataFrame:
+    """Base measures per group of ``keys``, unrounded, in one pass over the lines.
+
+    Spark counts several distinct columns by copying every row once per column. Where all of them belong to the order,
+    lines are therefore first summed per order, which also shrinks them before they are shuffled. All distinct counts
+    are grouped by (keys + counted column) first, so a key holding a third of the lines is spread over all tasks.
+    """
+    base = base_of(metrics)
+    counted = {DISTINCT[m] for m in base if m in DISTINCT}
+    if len(counted) > 1 and "InvoiceNo" in counted and counted <= PER_ORDER:
+        grain = [*keys, *sorted(counted - set(keys))]
+        partial = [F.sum(c).alias(c) for m, c in SUMS.items() if m in base]
+        if LINES in base:
+            partial.append(F.count(F.lit(1)).alias("_lines"))
+        s = s.groupBy(*grain).agg(*partial) if partial else s.select(*grain).distinct()
+        lines = F.sum("_lines")
+    else:
+        lines = BASE[LINES]()
+    return s.groupBy(*keys).agg(*[(lines if m == LINES else BASE[m]()).alias(m) for m in base])
+
+
 def sales_by(s: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    """Named metrics per group of ``keys``; all of them in one pass over the lines.
+    """Named metrics per group of ``keys``, as reported.
 
-    Distinct counts are planned on (keys + counted column) first, so a key holding a third of the lines is spread over
-    all tasks. Shares are taken from the grouped rows: use them with keys of limited cardinality only (months,
-    countries, bands); entity rankings take their total from a scalar subquery instead.
+    Shares are taken from the grouped rows: use them with keys of limited cardinality only (months, countries, bands);
+    rankings of customers or products take their total from a scalar subquery instead.
     """
-    grouped = s.groupBy(*keys).agg(*[BASE[m]().alias(m) for m in base_of(metrics)])
-    return grouped.select(*keys, *[shown(m) for m in metrics])
+    return measured(s, keys, metrics).select(*keys, *[shown(m) for m in metrics])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def rounded(x: Column, digits: int = 2) -> Column:
@@ -25,12 +27,15 @@ def count_true(condition: Column) -> Column:
 
 
 def unscaled(x: Column, scale: int) -> Column:
-    """A fixed-point amount as a whole number of its smallest unit (the form the rank operators order by)."""
-    return F.round(x.cast(f"decimal(38,{scale})") * F.lit(10**scale)).cast("bigint")
+    """A DECIMAL of the given scale (or a whole number, scale 0) counted in its smallest unit, as BIGINT."""
+    return (x * F.lit(10**scale)).cast("bigint") if scale else x.cast("bigint")
+
+
+def from_cents(cents: Column) -> Column:
+    """A BIGINT number of cents as DECIMAL(18,2)."""
+    return (cents.cast("decimal(18,0)") * F.lit(Decimal("0.01"))).cast("decimal(18,2)")
 
 
-def add_up(terms: list[Column]) -> Column:
-    total = terms[0]
-    for term in terms[1:]:
-        total = total + term
-    return total
+def scale_of(df: DataFrame, name: str) -> int:
+    kind = df.schema[name].dataType
+    return kind.scale if isinstance(kind, T.DecimalType) else 0

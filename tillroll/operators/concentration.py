@@ -14,8 +14,7 @@ from tillroll.functions.bands import (
     count_band,
     is_product,
 )
-from tillroll.functions.numbers import percent, ratio, rounded, unscaled
-from tillroll.operators.kpis import SCALE
+from tillroll.functions.numbers import percent, ratio, rounded, scale_of, unscaled
 from tillroll.operators.quality import LINE_KEY
 from tillroll.operators.ranks import rows_at_ranks, running_totals
 
@@ -34,7 +33,8 @@ def pareto(s: DataFrame, key: str, noun: str, cuts: Sequence[float], target: flo
     revenues are therefore merged first, which leaves rows without ties for ``running_totals``.
     """
     entities = s.groupBy(key).agg(F.sum("Revenue").alias("revenue"))
-    levels = entities.groupBy((-unscaled(F.col("revenue"), SCALE)).alias("value")).agg(
+    amount = unscaled(F.col("revenue"), scale_of(entities, "revenue"))
+    levels = entities.groupBy((-amount).alias("value")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("revenue").alias("revenue")
     )
     running = running_totals(levels, "value", ["n", "revenue"]).select(
@@ -192,8 +192,9 @@ def tukey_upper(s: DataFrame, measure: str = "Revenue", mild: str = "1.5", extre
     The quartiles are the values at ranks floor(n * p) + 1. Two counting passes find them; a third applies the fences.
     """
     quartiles = {"q1": lambda n: F.floor(n * F.lit(0.25)) + 1, "q3": lambda n: F.floor(n * F.lit(0.75)) + 1}
-    ranked = s.select(unscaled(F.col(measure), SCALE).alias("value")).where(F.col("value").isNotNull())
-    money = (F.max("value").cast("decimal(28,0)") / F.lit(10**SCALE)).cast("decimal(22,4)")
+    scale = scale_of(s, measure)
+    ranked = s.select(unscaled(F.col(measure), scale).alias("value")).where(F.col("value").isNotNull())
+    money = (F.max("value").cast("decimal(24,0)") / F.lit(10**scale)).cast(f"decimal(22,{scale})")
     found = rows_at_ranks(ranked, ["value"], quartiles).groupBy().pivot("target", ["q1", "q3"]).agg(money)
 
     q = found.select(F.struct("q1", "q3")).scalar()

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tillroll.functions.bands import ORDER_COUNT_TOPS, count_band, customer_type
 from tillroll.functions.calendar import month_number
 from tillroll.functions.metrics import base_of, shown, BASE
-from tillroll.functions.numbers import count_true, percent, ratio, rounded, unscaled
+from tillroll.functions.numbers import count_true, percent, ratio, rounded, scale_of, unscaled
 from tillroll.operators.kpis import per_customer
 from tillroll.operators.ranks import with_ntiles
 
@@ -77,7 +77,7 @@ def order_frequency_bands(s: DataFrame, tops: Sequence[int] = ORDER_COUNT_TOPS)
 def value_quantiles(s: DataFrame, n: int = 4, labels: Sequence[str] = QUARTILE_LABELS) -> DataFrame:
     """Customers split into n groups of equal size by revenue, largest first; ties go by customer."""
     customers = s.groupBy("CustomerID").agg(F.sum("Revenue").alias("revenue"))
-    order = [-unscaled(F.col("revenue"), 4), F.col("CustomerID")]
+    order = [-unscaled(F.col("revenue"), scale_of(customers, "revenue")), F.col("CustomerID")]
     tiles = (
         with_ntiles(customers, n, {"tile": order})
         .groupBy("tile")
@@ -176,7 +176,7 @@ def rfm(s: DataFrame, snapshot: Column | None = None, n: int = 5) -> DataFrame:
     customers = s.groupBy("CustomerID").agg(
         F.max("InvoiceDay").alias("_last"),
         F.count_distinct("InvoiceNo").alias("frequency"),
-        rounded(F.sum("Revenue")).alias("monetary"),
+        F.round(F.sum("Revenue"), 2).alias("monetary"),
     )
     last_day = s.agg(F.max("InvoiceDay")).scalar() if snapshot is None else snapshot
     base = customers.select(
@@ -193,7 +193,14 @@ def rfm(s: DataFrame, snapshot: Column | None = None, n: int = 5) -> DataFrame:
         },
     ).withColumn("r_score", F.lit(n + 1) - F.col("_r"))
     return scored.select(
-        "CustomerID", "recency_days", "frequency", "monetary", "r_score", "f_score", "m_score", rfm_segment()
+        "CustomerID",
+        "recency_days",
+        "frequency",
+        F.col("monetary").cast("double").alias("monetary"),
+        "r_score",
+        "f_score",
+        "m_score",
+        rfm_segment(),
     )
 
 

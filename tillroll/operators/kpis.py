@@ -6,12 +6,10 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tillroll.functions.numbers import count_true, percent, ratio, rounded, unscaled
+from tillroll.functions.numbers import count_true, percent, ratio, rounded, scale_of, unscaled
 from tillroll.functions.metrics import sales_by
 from tillroll.operators.ranks import rows_at_ranks
 
-# Amounts are ranked as whole numbers of this many decimals.
-SCALE = 4
 MIDDLE = {"low": lambda n: F.floor((n + 1) / 2), "high": lambda n: F.floor((n + 2) / 2)}
 
 
@@ -83,7 +81,7 @@ def yearly_sales(s: DataFrame) -> DataFrame:
     return sales_by(s, ["Year"], ["orders", "customers", "quantity", "revenue", "revenue_share_pct"]).orderBy("Year")
 
 
-def _described(df: DataFrame, columns: Mapping[str, str], variance: bool) -> DataFrame:
+def _described(df: DataFrame, columns: Mapping[str, str], variance: bool, aggregated: bool) -> DataFrame:
     """min, mean, exact median, max (and population variance) of several columns, one row per column.
 
     The plain statistics take one aggregation. Spark's exact ``median`` would hold every distinct value in one task, so
@@ -106,24 +104,27 @@ def _described(df: DataFrame, columns: Mapping[str, str], variance: bool) -> Dat
     ]
     plain = plain.select(F.inline(F.array(*rows)))
 
+    scales = {label: scale_of(df, c) for label, c in columns.items()}
     values = [
-        F.struct(F.lit(label).alias("metric"), unscaled(F.col(c), SCALE).alias("value")) for label, c in columns.items()
+        F.struct(F.lit(label).alias("metric"), unscaled(F.col(c), scales[label]).alias("value"))
+        for label, c in columns.items()
     ]
     ranked = df.select(F.inline(F.array(*values))).where(F.col("value").isNotNull())
-    middle = rows_at_ranks(ranked, ["value"], MIDDLE, by=["metric"])
-    median = F.sum("value").cast("decimal(38,6)") / (2 * 10**SCALE)
-    medians = middle.groupBy("metric").agg(rounded(median, 6).alias("median_val"))
+    middle = rows_at_ranks(ranked, ["value"], MIDDLE, by=["metric"], merge_equal=aggregated)
+    unit = F.create_map(*[F.lit(x) for label, scale in scales.items() for x in (label, 2 * 10**scale)])[F.col("metric")]
+    medians = middle.groupBy("metric").agg(F.sum("value").alias("middle")).withColumn("unit", unit)
 
     described = plain.join(F.broadcast(medians), "metric", "left")
-    return described.select("metric", "min_val", "mean_val", "median_val", "max_val", *(["variance"] if variance else []))
+    median = rounded(ratio(F.col("middle"), F.col("unit")), 6).alias("median_val")
+    return described.select("metric", "min_val", "mean_val", median, "max_val", *(["variance"] if variance else []))
 
 
 def describe_measures(s: DataFrame, columns: Mapping[str, str] | None = None) -> DataFrame:
     """Statistics of the lines."""
-    return _described(s, columns or {c: c for c in ("Quantity", "UnitPrice", "Revenue")}, variance=True)
+    return _described(s, columns or {c: c for c in ("Quantity", "UnitPrice", "Revenue")}, True, aggregated=False)
 
 
 def describe_orders(s: DataFrame) -> DataFrame:
     """Statistics of the orders: value, units, lines."""
     columns = {"Order value": "order_value", "Units per order": "units", "Lines per order": "lines"}
-    return _described(per_order(s), columns, variance=False)
+    return _described(per_order(s), columns, variance=False, aggregated=True)

@@ -10,7 +10,6 @@ recomputed task gives the same answer.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -39,41 +38,49 @@ def rows_at_ranks(
     order: Sequence[str],
     targets: Mapping[str, Callable[[Column], Column]],
     by: Sequence[str] = (),
+    merge_equal: bool = False,
 ) -> DataFrame:
     """The rows at given 1-based ranks, per group ``by``: columns ``by``, ``target``, ``order``.
 
     ``order`` lists non-null BIGINT columns, most significant first. ``targets`` names each wanted rank and computes it
-    from n, the row count of its group. Each order column takes two counting passes over ``df``: one over the leading
-    digits, one over the exact values within the bucket found. Between passes only the targets (a handful of rows) are
-    broadcast.
-    """
-    paths = []
-    for i, name in enumerate(order):
-        df = df.withColumn(f"_lead{i}", leading_digits(F.col(name)))
-        paths += [f"_lead{i}", name]
+    from n, the row count of its group. The first pass over ``df`` counts by the leading digits of the first column;
+    each further pass looks only at the bucket found, counts it by the exact value of one column and the leading digits
+    of the next, and so closes in on the row. Between passes only the targets (a handful of rows) are broadcast.
 
-    inside = Window.partitionBy(*by).orderBy(paths[0])
+    ``merge_equal`` first merges rows with equal keys. That shuffles the distinct keys once, and every pass then reads
+    them from there: right for aggregated input (orders, customers), which would else be aggregated again in each pass.
+    Lines are better scanned again, as only the one column is read and nothing is shuffled.
+    """
+    if merge_equal:
+        df = df.groupBy(*by, *order).agg(F.count(F.lit(1)).alias("_n"))
+    rows = F.sum("_n") if merge_equal else F.count(F.lit(1))
+    leads = [f"_lead{i}" for i in range(len(order))]
+    df = df.withColumns({lead: leading_digits(F.col(name)) for lead, name in zip(leads, order)})
+    steps = [[name, *leads[i + 1 : i + 2]] for i, name in enumerate(order)]
+
+    in_order = Window.partitionBy(*by).orderBy(leads[0])
     wanted = F.array(
         *[F.struct(F.lit(t).alias("target"), rank(F.col("n")).cast("bigint").alias("rank")) for t, rank in targets.items()]
     )
-    found = (
-        df.groupBy(*by, paths[0])
-        .agg(F.count(F.lit(1)).alias("cnt"))
-        .withColumns({"upto": F.sum("cnt").over(inside), "n": F.sum("cnt").over(Window.partitionBy(*by))})
-        .select(*by, paths[0], "cnt", "upto", F.inline(wanted))
+    counted = (
+        df.groupBy(*by, leads[0])
+        .agg(rows.alias("cnt"))
+        .withColumns({"upto": F.sum("cnt").over(in_order), "n": F.sum("cnt").over(Window.partitionBy(*by))})
+        .select(*by, leads[0], "cnt", "upto", F.inline(wanted))
     )
-    found = _holding_rank(found, [*by, "target", paths[0]])
+    known = [*by, leads[0]]
+    found = _holding_rank(counted, [*known, "target"])
 
-    for i, step in enumerate(paths[1:], start=1):
-        known = [*by, *paths[:i]]
-        inside = Window.partitionBy(*by, "target").orderBy(step)
+    for step in steps:
+        in_order = Window.partitionBy(*by, "target").orderBy(*step)
         counted = (
             df.join(F.broadcast(found), known)
-            .groupBy(*known, "target", "rank", step)
-            .agg(F.count(F.lit(1)).alias("cnt"))
-            .withColumn("upto", F.sum("cnt").over(inside))
+            .groupBy(*known, "target", "rank", *step)
+            .agg(rows.alias("cnt"))
+            .withColumn("upto", F.sum("cnt").over(in_order))
         )
-        found = _holding_rank(counted, [*by, "target", *paths[: i + 1]])
+        known += step
+        found = _holding_rank(counted, [*known, "target"])
     return found.select(*by, "target", *order)
 
 
@@ -107,7 +114,7 @@ def with_ntiles(df: DataFrame, n_tiles: int, orders: Mapping[str, Sequence[Colum
         return [c.alias(slot) for c, slot in zip(padded, slots)]
 
     keys = F.array(*[F.struct(F.lit(name).alias("_order"), *key(cols)) for name, cols in orders.items()])
-    ends = rows_at_ranks(df.select(F.inline(keys)), slots, ntile_ends(n_tiles), by=["_order"])
+    ends = rows_at_ranks(df.select(F.inline(keys)), slots, ntile_ends(n_tiles), by=["_order"], merge_equal=True)
     # one row: the ends of every order, n_tiles - 1 each
     ends = ends.groupBy("_order").agg(F.collect_list(F.struct(*slots)).alias("ends"))
     ends = ends.agg(F.map_from_entries(F.collect_list(F.struct("_order", "ends"))).alias("ends")).scalar()
@@ -144,7 +151,3 @@ def running_totals(df: DataFrame, value: str, totals: Sequence[str]) -> DataFram
     running = {f"{t}_upto": F.col(f"_{t}_start") + F.sum(t).over(inside) for t in totals}
     joined = df.join(F.broadcast(starts), "_bucket").withColumns(running)
     return joined.drop("_bucket", *[f"_{t}_start" for t in totals])
-
-
-def union_all(frames: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tillroll.functions.bands import day_part
 from tillroll.functions.calendar import weekday_position
-from tillroll.functions.metrics import sales_by
+from tillroll.functions.metrics import measured, sales_by
 from tillroll.functions.numbers import percent, ratio, rounded
 
 IN_TIME = ["YearMonth"]
@@ -25,14 +25,10 @@ def monthly_sales(s: DataFrame, dense_calendar: bool = False) -> DataFrame:
 
     The previous month is the previous one with sales, unless ``dense_calendar`` fills the gaps.
     """
-    monthly = s.groupBy("YearMonth").agg(
-        F.count_distinct("InvoiceNo").alias("orders"),
-        F.count_distinct("CustomerID").alias("customers"),
-        F.sum("Quantity").alias("quantity"),
-        F.sum("Revenue").alias("revenue"),
-    )
+    measures = ["orders", "customers", "quantity", "revenue"]
+    monthly = measured(s, IN_TIME, measures)
     if dense_calendar:
-        monthly = _every_month(monthly).fillna(0, ["orders", "customers", "quantity", "revenue"])
+        monthly = _every_month(monthly).fillna(0, measures)
     previous = F.lag("revenue").over(Window.orderBy(IN_TIME))
     return monthly.select(
         "YearMonth",

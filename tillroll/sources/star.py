@@ -10,12 +10,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tillroll.functions.calendar import month_name, weekday_name, year_month
+from tillroll.functions.numbers import from_cents
 
 HOME = "NATION_0"
 
+# Columns used of each table; a given schema spares Spark a job per table to look it up in the files.
+TABLES = {
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE,"
+    " l_extendedprice DOUBLE, l_shipdate TIMESTAMP_NTZ",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderdate TIMESTAMP_NTZ",
+    "customer": "c_custkey BIGINT, c_nationkey INT",
+    "nation": "n_nationkey INT, n_name STRING",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING",
+    "supplier": "s_suppkey BIGINT, s_nationkey INT",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE",
+}
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _date_columns(ts: Column) -> dict[str, Column]:
@@ -52,23 +65,30 @@ def sales_lines(
     ``orders`` adds customer and date columns, ``countries`` (implies orders) the customer's nation, ``parts`` the
     product name. ``dated_by='l_shipdate'`` takes the line's own date instead of the order's.
     """
-    money = F.col("l_extendedprice").cast("decimal(18,2)")
+    # amounts arrive as DOUBLE with two decimals; by way of whole cents they become DECIMAL at a fraction of the cost of
+    # a direct cast, which goes through text
+    cents = F.rint(F.col("l_extendedprice") * 100).cast("bigint")
     quantity = F.col("l_quantity").cast("bigint")
-    price = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")).cast("decimal(38,6)")
+    millionths = F.floor(F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")) * 1_000_000 + 0.5)
     s = _table(spark, sf_dir, "lineitem").withColumns(
         {
             "InvoiceNo": F.col("l_orderkey").cast("string"),
             "StockCode": stock_code(F.col("l_partkey")),
             "Quantity": quantity,
-            "Revenue": money,
-            "UnitPrice": F.round(price, 2).cast("decimal(18,2)"),
+            "Revenue": from_cents(cents),
+            "UnitPrice": from_cents(F.floor((millionths + 5_000) / 10_000)),
         }
     )
     if orders or countries:
         placed = _table(spark, sf_dir, "orders").select(
             F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("CustomerID"), "o_orderdate"
         )
-        s = s.join(placed, "l_orderkey", "left").withColumns(_date_columns(F.col(dated_by)))
+        dates = _date_columns(F.col(dated_by))
+        if dated_by == "o_orderdate":
+            # once per order instead of once per line
+            s = s.join(placed.withColumns(dates), "l_orderkey", "left")
+        else:
+            s = s.join(placed, "l_orderkey", "left").withColumns(dates)
     if countries:
         customer = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("CustomerID"), "c_nationkey")
         nation = _table(spark, sf_dir, "nation").select(
@@ -94,7 +114,7 @@ def with_supplier_country(spark: SparkSession, sf_dir: str, s: DataFrame) -> Dat
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as sales lines of one unit: they have a time of day and heavy-tailed amounts."""
-    value = F.col("value").cast("decimal(18,2)")
+    value = from_cents(F.rint(F.col("value") * 100).cast("bigint"))
     return _table(spark, sf_dir, "events").select(
         F.col("event_id").cast("string").alias("InvoiceNo"),
         F.col("event_type").alias("StockCode"),
