@@ -6,7 +6,8 @@ column names of the reports.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -84,7 +85,7 @@ def measured(s: DataFrame, keys: list[str], metrics: Iterable[str]) -> DataFrame
         if LINES in base:
             partial.append(F.count(F.lit(1)).alias("_lines"))
         s = s.groupBy(*grain).agg(*partial) if partial else s.select(*grain).distinct()
-        lines = F.sum("_lines")
+        lines = F.coalesce(F.sum("_lines"), F.lit(0))
     else:
         lines = BASE[LINES]()
     return s.groupBy(*keys).agg(*[(lines if m == LINES else BASE[m]()).alias(m) for m in base])
@@ -97,3 +98,15 @@ def sales_by(s: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     rankings of customers or products take their total from a scalar subquery instead.
     """
     return measured(s, keys, metrics).select(*keys, *[shown(m) for m in metrics])
+
+
+def counted_for(top: DataFrame, s: DataFrame, keys: list[str], counts: Mapping[str, str]) -> DataFrame:
+    """Add distinct counts (name -> column) to the few rows of ``top``, found by ``keys``.
+
+    A ranking by sums needs no distinct count of the entities it drops, so the counts are taken afterwards, over the
+    lines of the ranked entities only. ``top`` must come from a ``limit``: it is broadcast.
+    """
+    lines = s.select(*[F.col(k).alias(f"_{k}") for k in keys], *counts.values())
+    same = reduce(Column.__and__, [F.col(f"_{k}").eqNullSafe(F.col(k)) for k in keys])
+    counted = [F.count_distinct(c).alias(name) for name, c in counts.items()]
+    return lines.join(F.broadcast(top), same).groupBy(*top.columns).agg(*counted)

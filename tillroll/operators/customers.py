@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillroll.functions.bands import ORDER_COUNT_TOPS, count_band, customer_type
 from tillroll.functions.calendar import month_number
-from tillroll.functions.metrics import base_of, shown, BASE
+from tillroll.functions.metrics import BASE, base_of, counted_for, shown
 from tillroll.functions.numbers import count_true, percent, ratio, rounded, scale_of, unscaled
 from tillroll.operators.kpis import per_customer
 from tillroll.operators.ranks import with_ntiles
@@ -39,18 +39,28 @@ def _share_of_all(name: str) -> Column:
 
 def top_customers(s: DataFrame, by: str = "revenue", k: int = 10) -> DataFrame:
     """The k customers with the largest ``by`` ('revenue' or 'orders'), ties by revenue, then by customer."""
-    metrics = ["orders", "quantity", "revenue"] if by == "revenue" else ["orders", "revenue", "aov"]
-    ranked = (
-        s.groupBy("CustomerID")
-        .agg(F.min("Country").alias("country"), *[BASE[m]().alias(m) for m in base_of(metrics)])
-        .select("CustomerID", "country", *[shown(m) for m in metrics])
+    return _top_by_revenue(s, k) if by == "revenue" else _top_by_orders(s, k)
+
+
+def _top_by_revenue(s: DataFrame, k: int) -> DataFrame:
+    totals = s.groupBy("CustomerID").agg(
+        F.min("Country").alias("country"), F.sum("Quantity").alias("quantity"), F.sum("Revenue").alias("sold")
     )
-    order = [F.desc("revenue")] if by == "revenue" else [F.desc("orders"), F.desc("revenue")]
-    top = ranked.orderBy(*order, "CustomerID").limit(k)
-    if by != "revenue":
-        return top
+    ranked = totals.withColumn("revenue", rounded(F.col("sold")))
+    order = [F.desc("revenue"), F.col("CustomerID")]
+    top = counted_for(ranked.orderBy(order).limit(k), s, ["CustomerID"], {"orders": "InvoiceNo"})
     total = s.agg(F.sum("Revenue")).scalar()
-    return top.withColumn("revenue_share_pct", rounded(percent(F.col("revenue"), total)))
+    share = rounded(percent(F.col("sold"), total)).alias("revenue_share_pct")
+    return top.orderBy(order).select("CustomerID", "country", "orders", "quantity", "revenue", share)
+
+
+def _top_by_orders(s: DataFrame, k: int) -> DataFrame:
+    metrics = ["orders", "revenue", "aov"]
+    totals = s.groupBy("CustomerID").agg(
+        F.min("Country").alias("country"), *[BASE[m]().alias(m) for m in base_of(metrics)]
+    )
+    ranked = totals.select("CustomerID", "country", *[shown(m) for m in metrics])
+    return ranked.orderBy(F.desc("orders"), F.desc("revenue"), "CustomerID").limit(k)
 
 
 def order_frequency_bands(s: DataFrame, tops: Sequence[int] = ORDER_COUNT_TOPS) -> DataFrame:

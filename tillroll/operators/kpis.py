@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillroll.functions.numbers import count_true, percent, ratio, rounded, scale_of, unscaled
-from tillroll.functions.metrics import sales_by
+from tillroll.functions.metrics import BASE, DISTINCT, measured, sales_by
 from tillroll.operators.ranks import rows_at_ranks
 
 MIDDLE = {"low": lambda n: F.floor((n + 1) / 2), "high": lambda n: F.floor((n + 2) / 2)}
@@ -32,35 +32,35 @@ def per_order(s: DataFrame) -> DataFrame:
 
 
 def headline_kpis(s: DataFrame, approx: bool = False) -> DataFrame:
-    """The 13 headline figures in one pass; ``approx`` replaces the exact distinct counts by sketches."""
-    distinct = F.approx_count_distinct if approx else F.count_distinct
-    base = s.agg(
-        F.count(F.lit(1)).alias("line_items"),
-        distinct("InvoiceNo").alias("total_orders"),
-        distinct("CustomerID").alias("total_customers"),
-        distinct("StockCode").alias("total_products"),
-        distinct("Country").alias("total_countries"),
-        F.sum("Quantity").alias("quantity_sold"),
-        F.sum("Revenue").alias("revenue"),
-    )
+    """The 13 headline figures; ``approx`` replaces the exact distinct counts by sketches, which shuffle nothing."""
+    if approx:
+        base = s.agg(
+            *[F.approx_count_distinct(DISTINCT[m]).alias(m) for m in ("orders", "customers", "products", "countries")],
+            *[BASE[m]().alias(m) for m in ("line_items", "quantity", "revenue")],
+        )
+    else:
+        # products vary within an order: counted apart, so that everything else can be summed per order first
+        products = s.agg(F.count_distinct("StockCode")).scalar()
+        base = measured(s, [], ["line_items", "orders", "customers", "countries", "quantity", "revenue"])
+        base = base.withColumn("products", products)
 
     def per(a: str, b: str, name: str) -> Column:
         return rounded(ratio(F.col(a), F.col(b))).alias(name)
 
     return base.select(
         "line_items",
-        "total_orders",
-        "total_customers",
-        "total_products",
-        "total_countries",
-        "quantity_sold",
+        F.col("orders").alias("total_orders"),
+        F.col("customers").alias("total_customers"),
+        F.col("products").alias("total_products"),
+        F.col("countries").alias("total_countries"),
+        F.col("quantity").alias("quantity_sold"),
         rounded(F.col("revenue")).alias("total_revenue"),
-        per("revenue", "total_orders", "avg_order_value"),
-        per("revenue", "quantity_sold", "avg_selling_price"),
-        per("revenue", "total_customers", "revenue_per_customer"),
-        per("total_orders", "total_customers", "orders_per_customer"),
-        per("line_items", "total_orders", "lines_per_order"),
-        per("quantity_sold", "total_orders", "units_per_order"),
+        per("revenue", "orders", "avg_order_value"),
+        per("revenue", "quantity", "avg_selling_price"),
+        per("revenue", "customers", "revenue_per_customer"),
+        per("orders", "customers", "orders_per_customer"),
+        per("line_items", "orders", "lines_per_order"),
+        per("quantity", "orders", "units_per_order"),
     )
 
 

@@ -52,11 +52,15 @@ def top_products_per_country(
 ) -> DataFrame:
     """The n best products of each of the largest countries abroad.
 
-    Country totals and product ranks both come from sales per country and code, so the lines are shuffled once. Spark
-    turns the rank filter into a group limit that runs before the shuffle, so even one huge country sends n rows a task.
+    The countries are found first, from sums that hardly need a shuffle; products are then totalled for their lines only.
+    Spark turns the rank filter into a group limit that runs before the shuffle, so even one huge country sends n rows a
+    task.
     """
+    totals = s.where(F.col("Country") != home).groupBy("Country").agg(F.sum("Revenue").alias("total"))
+    largest = totals.orderBy(F.desc("total"), "Country").limit(countries)
     sales = (
-        s.where(F.col("Country") != home)
+        s.where(is_product(F.col("StockCode"), pattern))
+        .join(F.broadcast(largest), "Country", "left_semi")
         .groupBy("Country", "StockCode")
         .agg(
             F.min("Description").alias("description"),
@@ -64,14 +68,9 @@ def top_products_per_country(
             F.sum("Revenue").alias("sold"),
         )
     )
-    largest = (
-        sales.groupBy("Country").agg(F.sum("sold").alias("total")).orderBy(F.desc("total"), "Country").limit(countries)
-    )
     place = F.row_number().over(Window.partitionBy("Country").orderBy(F.desc("sold"), "StockCode"))
     return (
-        sales.where(is_product(F.col("StockCode"), pattern))
-        .join(F.broadcast(largest), "Country", "left_semi")
-        .withColumn("rank_in_country", place)
+        sales.withColumn("rank_in_country", place)
         .where(F.col("rank_in_country") <= n)
         .select(
             "Country", "rank_in_country", "StockCode", "description", "quantity", rounded(F.col("sold")).alias("revenue")

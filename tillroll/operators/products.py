@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tillroll.functions.bands import PRICE_EDGES, PRODUCT_PATTERN, amount_band, code_type, is_product
-from tillroll.functions.metrics import sales_by
+from tillroll.functions.metrics import counted_for, sales_by
 from tillroll.functions.numbers import percent, ratio, rounded
 
 
@@ -17,27 +17,24 @@ def _products(s: DataFrame, pattern: str) -> DataFrame:
 
 def top_products_by_revenue(s: DataFrame, k: int = 10, pattern: str = PRODUCT_PATTERN) -> DataFrame:
     """Top products by revenue; the share is of all revenue, fees and postage included."""
-    total = s.agg(F.sum("Revenue")).scalar()
-    products = _products(s, pattern).groupBy("StockCode").agg(
-        F.min("Description").alias("description"),
-        F.sum("Quantity").alias("quantity"),
-        F.count_distinct("InvoiceNo").alias("orders"),
-        F.sum("Revenue").alias("sold"),
+    totals = _products(s, pattern).groupBy("StockCode").agg(
+        F.min("Description").alias("description"), F.sum("Quantity").alias("quantity"), F.sum("Revenue").alias("sold")
     )
+    order = [F.desc("revenue"), F.col("StockCode")]
+    top = totals.withColumn("revenue", rounded(F.col("sold"))).orderBy(order).limit(k)
+    total = s.agg(F.sum("Revenue")).scalar()
     return (
-        products.select(
+        counted_for(top, s, ["StockCode"], {"orders": "InvoiceNo"})
+        .orderBy(order)
+        .select(
             "StockCode",
             "description",
             "quantity",
             "orders",
-            rounded(F.col("sold")).alias("revenue"),
+            "revenue",
             rounded(ratio(F.col("sold"), F.col("quantity"))).alias("avg_selling_price"),
-            "sold",
+            rounded(percent(F.col("sold"), total)).alias("revenue_share_pct"),
         )
-        .orderBy(F.desc("revenue"), "StockCode")
-        .limit(k)
-        .withColumn("revenue_share_pct", rounded(percent(F.col("sold"), total)))
-        .drop("sold")
     )
 
 
@@ -60,25 +57,14 @@ def top_products_by_quantity(s: DataFrame, k: int = 10, pattern: str = PRODUCT_P
 
 def top_products_by_orders(s: DataFrame, k: int = 10, pattern: str = PRODUCT_PATTERN) -> DataFrame:
     """Products in most orders, with the share of all orders that contain them."""
-    all_orders = s.agg(F.count_distinct("InvoiceNo")).scalar()
-    return (
-        _products(s, pattern)
-        .groupBy("StockCode")
-        .agg(
-            F.min("Description").alias("description"),
-            F.count_distinct("InvoiceNo").alias("orders_containing"),
-            F.count_distinct("CustomerID").alias("customers"),
-        )
-        .orderBy(F.desc("orders_containing"), "StockCode")
-        .limit(k)
-        .select(
-            "StockCode",
-            "description",
-            "orders_containing",
-            rounded(percent(F.col("orders_containing"), all_orders)).alias("order_penetration_pct"),
-            "customers",
-        )
+    popular = _products(s, pattern).groupBy("StockCode").agg(
+        F.min("Description").alias("description"), F.count_distinct("InvoiceNo").alias("orders_containing")
     )
+    order = [F.desc("orders_containing"), F.col("StockCode")]
+    top = counted_for(popular.orderBy(order).limit(k), s, ["StockCode"], {"customers": "CustomerID"})
+    all_orders = s.agg(F.count_distinct("InvoiceNo")).scalar()
+    penetration = rounded(percent(F.col("orders_containing"), all_orders)).alias("order_penetration_pct")
+    return top.orderBy(order).select("StockCode", "description", "orders_containing", penetration, "customers")
 
 
 def bottom_products(s: DataFrame, min_quantity: int = 10, k: int = 10, pattern: str = PRODUCT_PATTERN) -> DataFrame:
