@@ -20,7 +20,11 @@ def test_leading_digits_keep_order(spark):
 def tied_rows(spark, n, seed):
     rng = random.Random(seed)
     # a third of the rows share one value; values of very different sizes and signs
-    rows = [(i, 7 if rng.random() < 0.34 else rng.randrange(-50, 50) * 10 ** rng.randrange(0, 9), rng.randrange(3)) for i in range(n)]
+
+    def value():
+        return 7 if rng.random() < 0.34 else rng.randrange(-50, 50) * 10 ** rng.randrange(0, 9)
+
+    rows = [(i, value(), rng.randrange(3)) for i in range(n)]
     return spark.createDataFrame(rows, "id BIGINT, v BIGINT, g INT")
 
 

@@ -79,7 +79,8 @@ def measured(s: DataFrame, keys: list[str], metrics: Iterable[str]) -> DataFrame
     """
     base = base_of(metrics)
     counted = {DISTINCT[m] for m in base if m in DISTINCT}
-    if len(counted) > 1 and "InvoiceNo" in counted and counted <= PER_ORDER:
+    # sums per order and product would be as many as the lines
+    if len(counted) > 1 and "InvoiceNo" in counted and counted <= PER_ORDER and "StockCode" not in keys:
         grain = [*keys, *sorted(counted - set(keys))]
         partial = [F.sum(c).alias(c) for m, c in SUMS.items() if m in base]
         if LINES in base:
@@ -100,13 +101,25 @@ def sales_by(s: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     return measured(s, keys, metrics).select(*keys, *[shown(m) for m in metrics])
 
 
-def counted_for(top: DataFrame, s: DataFrame, keys: list[str], counts: Mapping[str, str]) -> DataFrame:
-    """Add distinct counts (name -> column) to the few rows of ``top``, found by ``keys``.
+def details_for(top: DataFrame, s: DataFrame, keys: list[str], details: Mapping[str, Column]) -> DataFrame:
+    """Add aggregates (name -> expression) to the few rows of ``top``, found by ``keys``.
 
-    A ranking by sums needs no distinct count of the entities it drops, so the counts are taken afterwards, over the
-    lines of the ranked entities only. ``top`` must come from a ``limit``: it is broadcast.
+    A ranking needs no name and no distinct count of the entities it drops: those are taken afterwards, over the lines
+    of the ranked entities only. It also keeps text out of the ranking's aggregation, which Spark would else do by
+    sorting all lines instead of hashing them. ``top`` must come from a ``limit``: it is broadcast.
     """
-    lines = s.select(*[F.col(k).alias(f"_{k}") for k in keys], *counts.values())
+    lines = s.withColumnsRenamed({k: f"_{k}" for k in keys})
+    kept = top.withColumnsRenamed({c: f"_top_{c}" for c in top.columns if c not in keys})
     same = reduce(Column.__and__, [F.col(f"_{k}").eqNullSafe(F.col(k)) for k in keys])
-    counted = [F.count_distinct(c).alias(name) for name, c in counts.items()]
-    return lines.join(F.broadcast(top), same).groupBy(*top.columns).agg(*counted)
+    joined = lines.join(F.broadcast(kept), same).groupBy(*kept.columns)
+    detailed = joined.agg(*[expression.alias(name) for name, expression in details.items()])
+    return detailed.withColumnsRenamed({f"_top_{c}": c for c in top.columns if c not in keys})
+
+
+def with_name(entities: DataFrame, s: DataFrame, key: str, column: str, name: str) -> DataFrame:
+    """Add the alphabetically first ``column`` of every entity.
+
+    The distinct pairs are found by hashing; a text minimum next to the measures would make Spark sort all lines.
+    """
+    names = s.select(F.col(key).alias("_key"), column).distinct().groupBy("_key").agg(F.min(column).alias(name))
+    return entities.join(names, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")

@@ -14,6 +14,7 @@ from tillroll.functions.bands import (
     count_band,
     is_product,
 )
+from tillroll.functions.metrics import details_for
 from tillroll.functions.numbers import percent, ratio, rounded, scale_of, unscaled
 from tillroll.operators.quality import LINE_KEY
 from tillroll.operators.ranks import rows_at_ranks, running_totals
@@ -116,19 +117,19 @@ def basket_pairs(
     products = s if pattern is None else s.where(is_product(F.col("StockCode"), pattern))
     popular = (
         products.groupBy("StockCode")
-        .agg(F.count_distinct("InvoiceNo").alias("orders"), F.min("Description").alias("description"))
-        # the description never decides; as part of the order it keeps both uses of this frame equal, so Spark reuses it
-        .orderBy(F.desc("orders"), "StockCode", "description")
+        .agg(F.count_distinct("InvoiceNo").alias("orders"))
+        .orderBy(F.desc("orders"), "StockCode")
         .limit(top_items)
     )
     words = [f"_w{i}" for i in range(-(-top_items // WORD))]
     # numbered in the order of the codes: of two items the smaller number has the smaller code
     numbered = popular.withColumn("item", F.row_number().over(Window.partitionBy().orderBy("StockCode")) - 1)
-    bits = {
-        w: F.when(F.floor(F.col("item") / WORD) == i, F.expr(f"shiftleft(1L, item % {WORD})")).otherwise(F.lit(0).cast("bigint"))
-        for i, w in enumerate(words)
-    }
-    item_bits = numbered.select("StockCode", *[bit.alias(w) for w, bit in bits.items()])
+
+    def bit_in(word: int) -> Column:
+        here = F.floor(F.col("item") / WORD) == word
+        return F.when(here, F.expr(f"shiftleft(1L, item % {WORD})")).otherwise(F.lit(0).cast("bigint"))
+
+    item_bits = numbered.select("StockCode", *[bit_in(i).alias(w) for i, w in enumerate(words)])
 
     baskets = (
         s.where(F.col("InvoiceNo").isNotNull())
@@ -159,33 +160,27 @@ def basket_pairs(
         .agg(F.sum("n").alias("orders_together"))
     )
 
+    # one row: number -> code and name of each popular product
+    named = details_for(numbered.select("StockCode", "item"), s, ["StockCode"], {"description": F.min("Description")})
+    entries = F.collect_list(F.struct("item", F.struct("StockCode", "description")))
+    catalog = named.agg(F.map_from_entries(entries)).scalar()
     all_orders = s.agg(F.count_distinct("InvoiceNo")).scalar()
-    name_a = popular_names(numbered, "a")
-    name_b = popular_names(numbered, "b")
     return (
-        counted.join(F.broadcast(name_a), "a")
-        .join(F.broadcast(name_b), "b")
-        .orderBy(F.desc("orders_together"), "item_a", "item_b")
+        # numbers follow the order of the codes, so ties go by code
+        counted.orderBy(F.desc("orders_together"), "a", "b")
         .limit(top_pairs)
+        .withColumn("catalog", catalog)
         .select(
-            "item_a",
-            "description_a",
-            "item_b",
-            "description_b",
+            F.col("catalog")[F.col("a")]["StockCode"].alias("item_a"),
+            F.col("catalog")[F.col("a")]["description"].alias("description_a"),
+            F.col("catalog")[F.col("b")]["StockCode"].alias("item_b"),
+            F.col("catalog")[F.col("b")]["description"].alias("description_b"),
             "orders_together",
             rounded(percent(F.col("orders_together"), all_orders)).alias("support_pct"),
         )
     )
 
 
-def popular_names(numbered: DataFrame, side: str) -> DataFrame:
-    return numbered.select(
-        F.col("item").alias(side),
-        F.col("StockCode").alias(f"item_{side}"),
-        F.col("description").alias(f"description_{side}"),
-    )
-
-
 def tukey_upper(s: DataFrame, measure: str = "Revenue", mild: str = "1.5", extreme: str = "3.0") -> DataFrame:
     """Quartiles by rank, upper Tukey fences, and what lies beyond them.
 
@@ -205,12 +200,11 @@ def tukey_upper(s: DataFrame, measure: str = "Revenue", mild: str = "1.5", extre
 
     lines = s.select(measure).withColumn("q", q)
     beyond = lines.withColumns({"_mild": x > fence(mild), "_extreme": x > fence(extreme)}).agg(
-        F.max("q").alias("q"),
         F.count(F.when(F.col("_mild"), True)).alias("mild_outlier_lines"),
         F.count(F.when(F.col("_extreme"), True)).alias("extreme_outlier_lines"),
         rounded(percent(F.sum(F.when(F.col("_extreme"), x)), F.sum(x))).alias("extreme_outlier_revenue_pct"),
     )
-    return beyond.select(
+    return beyond.withColumn("q", q).select(
         rounded(F.col("q.q1")).alias("q1"),
         rounded(F.col("q.q3")).alias("q3"),
         rounded(fence(mild)).alias("upper_fence"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillroll.functions.bands import ORDER_COUNT_TOPS, count_band, customer_type
 from tillroll.functions.calendar import month_number
-from tillroll.functions.metrics import BASE, base_of, counted_for, shown
+from tillroll.functions.metrics import BASE, details_for, sales_by
 from tillroll.functions.numbers import count_true, percent, ratio, rounded, scale_of, unscaled
 from tillroll.operators.kpis import per_customer
 from tillroll.operators.ranks import with_ntiles
@@ -43,24 +43,21 @@ def top_customers(s: DataFrame, by: str = "revenue", k: int = 10) -> DataFrame:
 
 
 def _top_by_revenue(s: DataFrame, k: int) -> DataFrame:
-    totals = s.groupBy("CustomerID").agg(
-        F.min("Country").alias("country"), F.sum("Quantity").alias("quantity"), F.sum("Revenue").alias("sold")
-    )
-    ranked = totals.withColumn("revenue", rounded(F.col("sold")))
+    totals = s.groupBy("CustomerID").agg(F.sum("Quantity").alias("quantity"), F.sum("Revenue").alias("sold"))
     order = [F.desc("revenue"), F.col("CustomerID")]
-    top = counted_for(ranked.orderBy(order).limit(k), s, ["CustomerID"], {"orders": "InvoiceNo"})
+    top = totals.withColumn("revenue", rounded(F.col("sold"))).orderBy(order).limit(k)
     total = s.agg(F.sum("Revenue")).scalar()
     share = rounded(percent(F.col("sold"), total)).alias("revenue_share_pct")
-    return top.orderBy(order).select("CustomerID", "country", "orders", "quantity", "revenue", share)
+    detailed = details_for(top, s, ["CustomerID"], {"country": F.min("Country"), "orders": BASE["orders"]()})
+    return detailed.orderBy(order).select("CustomerID", "country", "orders", "quantity", "revenue", share)
 
 
 def _top_by_orders(s: DataFrame, k: int) -> DataFrame:
     metrics = ["orders", "revenue", "aov"]
-    totals = s.groupBy("CustomerID").agg(
-        F.min("Country").alias("country"), *[BASE[m]().alias(m) for m in base_of(metrics)]
-    )
-    ranked = totals.select("CustomerID", "country", *[shown(m) for m in metrics])
-    return ranked.orderBy(F.desc("orders"), F.desc("revenue"), "CustomerID").limit(k)
+    ranked = sales_by(s, ["CustomerID"], metrics)
+    order = [F.desc("orders"), F.desc("revenue"), F.col("CustomerID")]
+    top = details_for(ranked.orderBy(order).limit(k), s, ["CustomerID"], {"country": F.min("Country")})
+    return top.orderBy(order).select("CustomerID", "country", *metrics)
 
 
 def order_frequency_bands(s: DataFrame, tops: Sequence[int] = ORDER_COUNT_TOPS) -> DataFrame:

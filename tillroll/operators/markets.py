@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tillroll.functions.bands import HOME_MARKET, PRODUCT_PATTERN, is_product, market
-from tillroll.functions.metrics import sales_by
+from tillroll.functions.metrics import details_for, sales_by
 from tillroll.functions.numbers import count_true, percent, rounded
 
 
@@ -62,20 +62,15 @@ def top_products_per_country(
         s.where(is_product(F.col("StockCode"), pattern))
         .join(F.broadcast(largest), "Country", "left_semi")
         .groupBy("Country", "StockCode")
-        .agg(
-            F.min("Description").alias("description"),
-            F.sum("Quantity").alias("quantity"),
-            F.sum("Revenue").alias("sold"),
-        )
+        .agg(F.sum("Quantity").alias("quantity"), F.sum("Revenue").alias("sold"))
     )
     place = F.row_number().over(Window.partitionBy("Country").orderBy(F.desc("sold"), "StockCode"))
-    return (
-        sales.withColumn("rank_in_country", place)
-        .where(F.col("rank_in_country") <= n)
-        .select(
-            "Country", "rank_in_country", "StockCode", "description", "quantity", rounded(F.col("sold")).alias("revenue")
-        )
-        .orderBy("Country", "rank_in_country")
+    # at most countries * n rows: the limit says so to the broadcast
+    best = sales.withColumn("rank_in_country", place).where(F.col("rank_in_country") <= n).limit(countries * n)
+    named = details_for(best, s, ["Country", "StockCode"], {"description": F.min("Description")})
+    revenue = rounded(F.col("sold")).alias("revenue")
+    return named.select("Country", "rank_in_country", "StockCode", "description", "quantity", revenue).orderBy(
+        "Country", "rank_in_country"
     )
 
 

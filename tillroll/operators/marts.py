@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillroll.functions.bands import customer_type
-from tillroll.functions.metrics import BASE, base_of, sales_by, shown
+from tillroll.functions.metrics import BASE, base_of, sales_by, shown, with_name
 from tillroll.operators.customers import rfm
 
 
@@ -19,12 +19,11 @@ def mart_monthly(s: DataFrame) -> DataFrame:
 def mart_customer(s: DataFrame) -> DataFrame:
     metrics = ["orders", "quantity", "revenue", "aov"]
     customers = s.groupBy("CustomerID").agg(
-        F.min("Country").alias("Country"),
         F.min("InvoiceDay").alias("first_purchase"),
         F.max("InvoiceDay").alias("last_purchase"),
         *[BASE[m]().alias(m) for m in base_of(metrics)],
     )
-    return customers.select(
+    return with_name(customers, s, "CustomerID", "Country", "Country").select(
         "CustomerID",
         "Country",
         "first_purchase",
@@ -37,10 +36,8 @@ def mart_customer(s: DataFrame) -> DataFrame:
 def mart_product(s: DataFrame) -> DataFrame:
     """Every code, fees included."""
     metrics = ["orders", "customers", "quantity", "revenue", "avg_selling_price"]
-    products = s.groupBy("StockCode").agg(
-        F.min("Description").alias("Description"), *[BASE[m]().alias(m) for m in base_of(metrics)]
-    )
-    return products.select("StockCode", "Description", *[shown(m) for m in metrics])
+    products = sales_by(s, ["StockCode"], metrics)
+    return with_name(products, s, "StockCode", "Description", "Description").select("StockCode", "Description", *metrics)
 
 
 def mart_country(s: DataFrame) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tillroll.functions.bands import PRICE_EDGES, PRODUCT_PATTERN, amount_band, code_type, is_product
-from tillroll.functions.metrics import counted_for, sales_by
+from tillroll.functions.metrics import BASE, details_for, sales_by
 from tillroll.functions.numbers import percent, ratio, rounded
 
 
@@ -15,72 +15,69 @@ def _products(s: DataFrame, pattern: str) -> DataFrame:
     return s.where(is_product(F.col("StockCode"), pattern))
 
 
+def _ranked(s: DataFrame, totals: DataFrame, order: list[Column], k: int, **details: Column) -> DataFrame:
+    """The first k products of ``totals``, with name and further details, in that order."""
+    order = [*order, F.col("StockCode")]
+    top = totals.orderBy(order).limit(k)
+    return details_for(top, s, ["StockCode"], {"description": F.min("Description"), **details}).orderBy(order)
+
+
 def top_products_by_revenue(s: DataFrame, k: int = 10, pattern: str = PRODUCT_PATTERN) -> DataFrame:
     """Top products by revenue; the share is of all revenue, fees and postage included."""
     totals = _products(s, pattern).groupBy("StockCode").agg(
-        F.min("Description").alias("description"), F.sum("Quantity").alias("quantity"), F.sum("Revenue").alias("sold")
+        F.sum("Quantity").alias("quantity"), F.sum("Revenue").alias("sold")
     )
-    order = [F.desc("revenue"), F.col("StockCode")]
-    top = totals.withColumn("revenue", rounded(F.col("sold"))).orderBy(order).limit(k)
+    totals = totals.withColumn("revenue", rounded(F.col("sold")))
     total = s.agg(F.sum("Revenue")).scalar()
-    return (
-        counted_for(top, s, ["StockCode"], {"orders": "InvoiceNo"})
-        .orderBy(order)
-        .select(
-            "StockCode",
-            "description",
-            "quantity",
-            "orders",
-            "revenue",
-            rounded(ratio(F.col("sold"), F.col("quantity"))).alias("avg_selling_price"),
-            rounded(percent(F.col("sold"), total)).alias("revenue_share_pct"),
-        )
+    return _ranked(s, totals, [F.desc("revenue")], k, orders=BASE["orders"]()).select(
+        "StockCode",
+        "description",
+        "quantity",
+        "orders",
+        "revenue",
+        rounded(ratio(F.col("sold"), F.col("quantity"))).alias("avg_selling_price"),
+        rounded(percent(F.col("sold"), total)).alias("revenue_share_pct"),
     )
 
 
 def top_products_by_quantity(s: DataFrame, k: int = 10, pattern: str = PRODUCT_PATTERN) -> DataFrame:
-    products = _products(s, pattern).groupBy("StockCode").agg(
-        F.min("Description").alias("description"), F.sum("Quantity").alias("quantity"), F.sum("Revenue").alias("sold")
-    )
-    return (
-        products.select(
-            "StockCode",
-            "description",
-            "quantity",
-            rounded(F.col("sold")).alias("revenue"),
-            rounded(ratio(F.col("sold"), F.col("quantity"))).alias("avg_selling_price"),
-        )
-        .orderBy(F.desc("quantity"), "StockCode")
-        .limit(k)
-    )
+    metrics = ["quantity", "revenue", "avg_selling_price"]
+    totals = sales_by(_products(s, pattern), ["StockCode"], metrics)
+    return _ranked(s, totals, [F.desc("quantity")], k).select("StockCode", "description", *metrics)
 
 
 def top_products_by_orders(s: DataFrame, k: int = 10, pattern: str = PRODUCT_PATTERN) -> DataFrame:
     """Products in most orders, with the share of all orders that contain them."""
-    popular = _products(s, pattern).groupBy("StockCode").agg(
-        F.min("Description").alias("description"), F.count_distinct("InvoiceNo").alias("orders_containing")
-    )
-    order = [F.desc("orders_containing"), F.col("StockCode")]
-    top = counted_for(popular.orderBy(order).limit(k), s, ["StockCode"], {"customers": "CustomerID"})
-    all_orders = s.agg(F.count_distinct("InvoiceNo")).scalar()
+    totals = _products(s, pattern).groupBy("StockCode").agg(BASE["orders"]().alias("orders_containing"))
+    all_orders = s.agg(BASE["orders"]()).scalar()
     penetration = rounded(percent(F.col("orders_containing"), all_orders)).alias("order_penetration_pct")
-    return top.orderBy(order).select("StockCode", "description", "orders_containing", penetration, "customers")
+    top = _ranked(s, totals, [F.desc("orders_containing")], k, customers=BASE["customers"]())
+    return top.select("StockCode", "description", "orders_containing", penetration, "customers")
 
 
 def bottom_products(s: DataFrame, min_quantity: int = 10, k: int = 10, pattern: str = PRODUCT_PATTERN) -> DataFrame:
     """Products with the smallest revenue among those that sold at least ``min_quantity`` units."""
-    return (
-        _products(s, pattern)
-        .groupBy("StockCode")
-        .agg(
-            F.min("Description").alias("description"),
-            F.sum("Quantity").alias("quantity"),
-            rounded(F.sum("Revenue")).alias("revenue"),
-        )
-        .where(F.col("quantity") >= min_quantity)
-        .orderBy("revenue", "StockCode")
-        .limit(k)
+    totals = sales_by(_products(s, pattern), ["StockCode"], ["quantity", "revenue"])
+    totals = totals.where(F.col("quantity") >= min_quantity)
+    return _ranked(s, totals, [F.col("revenue")], k).select("StockCode", "description", "quantity", "revenue")
+
+
+def top_products_by_countries(s: DataFrame, k: int = 10, pattern: str = PRODUCT_PATTERN) -> DataFrame:
+    totals = sales_by(_products(s, pattern), ["StockCode"], ["countries", "revenue"])
+    top = _ranked(s, totals, [F.desc("countries"), F.desc("revenue")], k)
+    return top.select("StockCode", "description", "countries", "revenue")
+
+
+def premium_products(s: DataFrame, min_average=20, k: int = 10, pattern: str = PRODUCT_PATTERN) -> DataFrame:
+    """Products whose price, averaged over lines, is at least ``min_average``, dearest first."""
+    totals = _products(s, pattern).groupBy("StockCode").agg(
+        ratio(F.sum("UnitPrice"), F.count("UnitPrice")).alias("price"),
+        F.sum("Quantity").alias("quantity"),
+        rounded(F.sum("Revenue")).alias("revenue"),
     )
+    dear = totals.where(F.col("price") >= min_average).withColumn("avg_unit_price", rounded(F.col("price")))
+    top = _ranked(s, dear, [F.desc("avg_unit_price")], k)
+    return top.select("StockCode", "description", "avg_unit_price", "quantity", "revenue")
 
 
 def price_bands(s: DataFrame, edges: Sequence = PRICE_EDGES, step=0.01) -> DataFrame:
@@ -94,36 +91,3 @@ def code_type_split(s: DataFrame, pattern: str = PRODUCT_PATTERN) -> DataFrame:
     """Products against fees, postage and manual entries; a missing code is no product."""
     typed = s.withColumn("code_type", code_type(F.col("StockCode"), pattern))
     return sales_by(typed, ["code_type"], ["codes", "line_items", "revenue", "revenue_share_pct"]).orderBy("code_type")
-
-
-def top_products_by_countries(s: DataFrame, k: int = 10, pattern: str = PRODUCT_PATTERN) -> DataFrame:
-    return (
-        _products(s, pattern)
-        .groupBy("StockCode")
-        .agg(
-            F.min("Description").alias("description"),
-            F.count_distinct("Country").alias("countries"),
-            rounded(F.sum("Revenue")).alias("revenue"),
-        )
-        .orderBy(F.desc("countries"), F.desc("revenue"), "StockCode")
-        .limit(k)
-    )
-
-
-def premium_products(s: DataFrame, min_average=20, k: int = 10, pattern: str = PRODUCT_PATTERN) -> DataFrame:
-    """Products whose price, averaged over lines, is at least ``min_average``, dearest first."""
-    average = ratio(F.sum("UnitPrice"), F.count("UnitPrice"))
-    return (
-        _products(s, pattern)
-        .groupBy("StockCode")
-        .agg(
-            F.min("Description").alias("description"),
-            average.alias("price"),
-            F.sum("Quantity").alias("quantity"),
-            rounded(F.sum("Revenue")).alias("revenue"),
-        )
-        .where(F.col("price") >= min_average)
-        .select("StockCode", "description", rounded(F.col("price")).alias("avg_unit_price"), "quantity", "revenue")
-        .orderBy(F.desc("avg_unit_price"), "StockCode")
-        .limit(k)
-    )

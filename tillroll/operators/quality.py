@@ -118,14 +118,19 @@ def cardinality(s: DataFrame, columns: Mapping[str, str] | None = None, approx:
 
 def nonconforming_codes(s: DataFrame, pattern: str = PRODUCT_PATTERN) -> DataFrame:
     """Codes that do not look like products, largest revenue first."""
-    return (
+    # by code and description first: a text minimum over lines would make Spark sort them
+    described = (
         s.where(~is_product(F.col("StockCode"), pattern))
-        .groupBy("StockCode")
+        .groupBy("StockCode", "Description")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("Quantity").alias("qty"), F.sum("Revenue").alias("revenue"))
+    )
+    return (
+        described.groupBy("StockCode")
         .agg(
             F.min("Description").alias("description"),
-            F.count(F.lit(1)).alias("line_items"),
-            F.sum("Quantity").alias("qty"),
-            rounded(F.sum("Revenue")).alias("revenue"),
+            F.sum("n").alias("line_items"),
+            F.sum("qty").alias("qty"),
+            rounded(F.sum("revenue")).alias("revenue"),
         )
         .orderBy(F.desc("revenue"), "StockCode")
     )

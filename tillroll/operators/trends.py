@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tillroll.functions.bands import day_part
 from tillroll.functions.calendar import weekday_position
-from tillroll.functions.metrics import counted_for, measured, sales_by
+from tillroll.functions.metrics import BASE, details_for, measured, sales_by
 from tillroll.functions.numbers import percent, ratio, rounded
 
 IN_TIME = ["YearMonth"]
@@ -87,7 +87,7 @@ def best_days(s: DataFrame, k: int = 10) -> DataFrame:
     keys = ["InvoiceDay", "WeekdayName"]
     order = [F.desc("revenue"), *keys]
     top = sales_by(s, keys, ["revenue"]).orderBy(order).limit(k)
-    return counted_for(top, s, keys, {"orders": "InvoiceNo"}).orderBy(order).select(*keys, "orders", "revenue")
+    return details_for(top, s, keys, {"orders": BASE["orders"]()}).orderBy(order).select(*keys, "orders", "revenue")
 
 
 def revenue_per_active_day(s: DataFrame) -> DataFrame:
