@@ -47,7 +47,8 @@ def _timestamp() -> Column:
     """The parsed date; NULL where the text does not fit. NTZ: no session time zone moves it."""
     text = F.col("InvoiceDate")
     iso = F.regexp_replace(text, DATE_PATTERN, DATE_AS_ISO)
-    return F.when(text.rlike(DATE_PATTERN), iso.try_cast("timestamp_ntz"))
+    # text that does not match comes back as it was
+    return F.when(iso != text, iso.try_cast("timestamp_ntz"))
 
 
 def _number(name: str) -> Column:
