@@ -39,6 +39,16 @@ def test_ntiles_equal_plain_window(spark, n):
     assert sorted(got.collect()) == sorted(plain.collect())
 
 
+def test_identifiers_with_common_first_digits(spark):
+    df = tied_rows(spark, 500, 5).withColumn("id", F.col("id") * 7 + 10_000_000_000)
+    orders = {"a": [F.col("v"), F.col("id")], "b": [F.col("id")], "c": [F.col("g"), F.col("v"), -F.col("id")]}
+    got = with_ntiles(df, 7, orders)
+    plain = df.withColumns(
+        {name: F.ntile(7).over(Window.partitionBy().orderBy(*cols)) for name, cols in orders.items()}
+    )
+    assert sorted(got.collect()) == sorted(plain.collect())
+
+
 def test_ntiles_put_missing_values_first(spark):
     df = spark.createDataFrame([(1, None), (2, 5), (3, -5), (4, None)], "id BIGINT, v BIGINT")
     got = {r.id: r.t for r in with_ntiles(df, 4, {"t": [F.col("v"), F.col("id")]}).collect()}

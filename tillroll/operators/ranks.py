@@ -39,6 +39,7 @@ def rows_at_ranks(
     targets: Mapping[str, Callable[[Column], Column]],
     by: Sequence[str] = (),
     merge_equal: bool = False,
+    finer_last: bool = False,
 ) -> DataFrame:
     """The rows at given 1-based ranks, per group ``by``: columns ``by``, ``target``, ``order``.
 
@@ -50,6 +51,9 @@ def rows_at_ranks(
     ``merge_equal`` first merges rows with equal keys. That shuffles the distinct keys once, and every pass then reads
     them from there: right for aggregated input (orders, customers), which would else be aggregated again in each pass.
     Lines are better scanned again, as only the one column is read and nothing is shuffled.
+
+    ``finer_last`` adds a pass over twice as many digits of the last column. It is meant for identifiers, which often
+    share their first digits: without it, one bucket could hold them all.
     """
     if merge_equal:
         df = df.groupBy(*by, *order).agg(F.count(F.lit(1)).alias("_n"))
@@ -57,6 +61,9 @@ def rows_at_ranks(
     leads = [f"_lead{i}" for i in range(len(order))]
     df = df.withColumns({lead: leading_digits(F.col(name)) for lead, name in zip(leads, order)})
     steps = [[name, *leads[i + 1 : i + 2]] for i, name in enumerate(order)]
+    if finer_last:
+        df = df.withColumn("_finer", leading_digits(F.col(order[-1]), 2 * LEADING_DIGITS))
+        steps.insert(-1, ["_finer"])
 
     in_order = Window.partitionBy(*by).orderBy(leads[0])
     wanted = F.array(
@@ -110,11 +117,13 @@ def with_ntiles(df: DataFrame, n_tiles: int, orders: Mapping[str, Sequence[Colum
     slots = [f"_k{i}" for i in range(width)]
 
     def key(cols: Sequence[Column]) -> list[Column]:
-        padded = [*map(sort_key, cols), *[F.lit(0).cast("bigint")] * (width - len(cols))]
+        # shorter orders start with a constant, so that the last columns, the identifiers, fall together
+        padded = [*[F.lit(0).cast("bigint")] * (width - len(cols)), *map(sort_key, cols)]
         return [c.alias(slot) for c, slot in zip(padded, slots)]
 
     keys = F.array(*[F.struct(F.lit(name).alias("_order"), *key(cols)) for name, cols in orders.items()])
-    ends = rows_at_ranks(df.select(F.inline(keys)), slots, ntile_ends(n_tiles), by=["_order"], merge_equal=True)
+    rows = df.select(F.inline(keys))
+    ends = rows_at_ranks(rows, slots, ntile_ends(n_tiles), by=["_order"], merge_equal=True, finer_last=True)
     # one row: the ends of every order, n_tiles - 1 each
     ends = ends.groupBy("_order").agg(F.collect_list(F.struct(*slots)).alias("ends"))
     ends = ends.agg(F.map_from_entries(F.collect_list(F.struct("_order", "ends"))).alias("ends")).scalar()
