@@ -11,6 +11,14 @@ from tillroll.operators import concentration, customers, kpis, markets, marts, p
 from tillroll.sources import star
 from tillroll.sources.files import as_report, prepare_sales
 
+try:  # the training-data operators, where they are installed
+    import corpus_pipeline
+    from tillroll.llm import queries as training
+except ImportError as missing:
+    if (missing.name or "").split(".")[:2] not in (["corpus_pipeline"], ["tillroll", "llm"]):
+        raise
+    corpus_pipeline = training = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 # Parameters that suit the amounts of the test tables; the SQL uses the same.
@@ -175,13 +183,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             full, lambda s: marts.mart_counts({name: build(s) for name, build in marts.MARTS.items()})
         ),
         "x1_top_international": on(placed, lambda s: markets.top_international(s, home=home)),
+        **_training_queries(),
     }
 
 
+def _training_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {**training.queries(), "pipeline": corpus_pipeline.run} if training else {}
+
+
+def _training_sql() -> dict[str, str]:
+    if not training:
+        return {}
+    whole = corpus_pipeline.ORACLE_SQL
+    return {**training.oracle_sql(), **({"pipeline": whole} if whole else {})}
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: monthly sales with growth over the previous month."""
     return queries()["q4_01_monthly_sales"](spark, SMOKE_DIR)
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.statements()
+    return {**oracle.statements(), **_training_sql()}
