@@ -6,13 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillroll.llm import quality_rules
+from tillroll.llm import mixing, quality_rules, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.per_row(mixing.plan(_table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def sharded(docs: DataFrame, n_shards: int = 24) -> DataFrame:
+    """Equal texts follow each other in the order that is cut into shards."""
+    text = F.col("text")
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 8
+    crc = F.crc32(F.encode(text, "UTF-8"))
+    rows = docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.xxhash64(text).alias("_text"))
+    out = sharding.assign_shards(rows, [F.col("_text"), F.col("doc_id")], F.col("size"), n_shards)
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return out.select("doc_id", "size", "text_crc32", law, "shard", F.col("slot").cast("bigint"), grown)
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")), "v1")
     base = F.lit(quality_rules.mask(quality_rules.BASE)).cast("bigint")
@@ -70,7 +90,7 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_quality_rules": op7_quality_rules}
+    return {"op1_mixing": op1_mixing, "op5_sharding": op5_sharding, "op7_quality_rules": op7_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
