@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillroll.llm import mixing, quality_rules, sharding
+from tillroll.llm import mixing, quality_rules, sharding, simhash
+
+from tillroll.llm.common import saved
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +20,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    prints = saved(simhash.with_fingerprint(docs, "fp").select("doc_id", "fp"), "fingerprints")
+    rows = simhash.near_duplicates(prints)
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def sharded(docs: DataFrame, n_shards: int = 24) -> DataFrame:
     """Equal texts follow each other in the order that is cut into shards."""
     text = F.col("text")
@@ -90,7 +99,12 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op5_sharding": op5_sharding, "op7_quality_rules": op7_quality_rules}
+    return {
+        "op1_mixing": op1_mixing,
+        "op4_simhash": op4_simhash,
+        "op5_sharding": op5_sharding,
+        "op7_quality_rules": op7_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
