@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillroll.llm import mixing, quality_rules, sharding, simhash
+from tillroll.llm import decontamination, mixing, quality_rules, sharding, simhash
 
 from tillroll.llm.common import saved
 
@@ -20,6 +20,55 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_spans(docs, _table(spark, sf_dir, "benchmark"), keep_text=False)
+    hit = decontamination.n_hit(F.col("spans"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+OP2_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM documents
+), b AS (
+    SELECT item_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM benchmark WHERE text IS NOT NULL
+), sized AS (
+    SELECT *, least(len(words), 10) AS n FROM b WHERE len(words) > 0
+), wins AS (
+    SELECT DISTINCT item_id, n, array_to_string(words[i:i + n - 1], ' ') AS win
+    FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS i FROM sized)
+), here AS (
+    SELECT r, n, i, array_to_string(words[i:i + n - 1], ' ') AS win
+    FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM wins) WHERE len(words) >= n)
+), hits AS (
+    SELECT DISTINCT r, i, n, item_id FROM here JOIN wins USING (n, win)
+), hit_words AS (
+    SELECT r, count(DISTINCT p) AS n_hit
+    FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM hits)) GROUP BY r
+), hit_items AS (
+    SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM hits) GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+    coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
+"""
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     prints = saved(simhash.with_fingerprint(docs, "fp").select("doc_id", "fp"), "fingerprints")
@@ -101,6 +150,7 @@ FROM f
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_decontamination": op2_decontamination,
         "op4_simhash": op4_simhash,
         "op5_sharding": op5_sharding,
         "op7_quality_rules": op7_quality_rules,
@@ -108,4 +158,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": OP7_SQL}
+    return {"op2_decontamination": OP2_SQL, "op7_quality_rules": OP7_SQL}
