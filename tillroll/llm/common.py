@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,3 +66,17 @@ def uniform(*parts: Column) -> Column:
 def identity(*parts: Column) -> list[Column]:
     """Two hashes of the values, together 128 bits: equal for equal values only, as far as any table goes."""
     return [F.xxhash64(F.lit("a"), *parts), F.xxhash64(F.lit("b"), *parts)]
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` bytes of text (at least a row), so that a task's memory stays bounded."""
+    for batch in batches:
+        column = batch.column(text)
+        if not batch.num_rows:
+            continue
+        offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(offsets, int(offsets[at]) + most, side="right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end

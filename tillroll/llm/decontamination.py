@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A benchmark item is searched by its windows of ``window`` words (a shorter item by all its words). A shard is a batch of
+A benchmark item is searched by its windows of ``window`` words (a shorter item by all its words). A shard is some 16 MB of
 documents in a task: their words become numbers of the benchmark's vocabulary, an FM-index is built over them, all
 windows are searched backwards at once, occurrences are located by sampled suffix positions, and overlapping ones are
 merged to removal spans. Runs of benchmark words that are shorter than the shortest window cannot hold an occurrence and
@@ -25,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from tillroll.llm.common import slices
 from tillroll.llm.fm_index import FMIndex
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
+SHARD_BYTES = 1 << 24
 _LETTER = rb"[0-9a-z\x80-\xff]"
 # bytes of words as they are, lower-cased; all others as blanks
 _TABLE = bytes(b if re.match(_LETTER, bytes([b])) else 32 for b in bytes(range(256)).lower())
@@ -113,7 +115,7 @@ def _search(phrases, text: str, again: bool, returned: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sought = phrases.value
         get = sought.vocabulary.get
-        for batch in batches:
+        for batch in slices(batches, text, SHARD_BYTES):
             numbers = [[get(w, 0) for w in words(t)] for t in batch.column(text).to_pylist()]
             if again:
                 spans = [[(s["first"], s["last"]) for s in row] for row in batch.column("spans").to_pylist()]

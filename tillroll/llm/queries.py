@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillroll.llm import decontamination, mixing, quality_rules, sharding, simhash
+from tillroll.llm import decontamination, mixing, quality_rules, sharding, simhash, substring_dedup
 
 from tillroll.llm.common import saved
 
@@ -147,6 +147,32 @@ FROM f
 """
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(_table(spark, sf_dir, "documents"), with_text=False)
+
+
+OP8_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), w AS (
+    SELECT r, i, array_to_string(words[i:i + 34], ' ') AS win
+    FROM (SELECT *, unnest(range(1, len(words) - 33)) AS i FROM d WHERE len(words) >= 35)
+), twice AS (
+    SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY win) AS n FROM w) WHERE n > 1
+), hit AS (
+    SELECT DISTINCT r, p FROM (SELECT r, unnest(range(i, i + 35)) AS p FROM twice)
+), words AS (
+    SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM d
+), kept AS (
+    SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN hit USING (r, p) GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
+    sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -154,8 +180,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": op4_simhash,
         "op5_sharding": op5_sharding,
         "op7_quality_rules": op7_quality_rules,
+        "op8_substring_dedup": op8_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op7_quality_rules": OP7_SQL}
+    return {"op2_decontamination": OP2_SQL, "op7_quality_rules": OP7_SQL, "op8_substring_dedup": OP8_SQL}
