@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillroll.llm import decontamination, mixing, quality_rules, sharding, simhash, substring_dedup
+from tillroll.llm import (
+    decontamination,
+    html_extraction,
+    language_id,
+    mixing,
+    quality_rules,
+    sharding,
+    simhash,
+    substring_dedup,
+)
 
 from tillroll.llm.common import saved
 
@@ -69,6 +78,14 @@ FROM d LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = language_id.learn(docs.filter(~held_out).select("text", "lang"))
+    rows = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return language_id.predict(spark, model, rows)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     prints = saved(simhash.with_fingerprint(docs, "fp").select("doc_id", "fp"), "fingerprints")
@@ -173,14 +190,22 @@ FROM d LEFT JOIN kept USING (r)
 """
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extraction.with_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    text = F.col("main_text")
+    return pages.select("page_id", "url", text.alias("text"), F.length(text).cast("bigint").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op2_decontamination": op2_decontamination,
+        "op3_language_id": op3_language_id,
         "op4_simhash": op4_simhash,
         "op5_sharding": op5_sharding,
         "op7_quality_rules": op7_quality_rules,
         "op8_substring_dedup": op8_substring_dedup,
+        "op9_html_extraction": op9_html_extraction,
     }
 
 
