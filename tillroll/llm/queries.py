@@ -15,6 +15,7 @@ from tillroll.llm import (
     sharding,
     simhash,
     substring_dedup,
+    url_filters,
 )
 
 from tillroll.llm.common import saved
@@ -196,6 +197,26 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", text.alias("text"), F.length(text).cast("bigint").alias("n_chars"))
 
 
+# (verdict, host, path prefix)
+URL_RULES = (
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+)
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number in a page's last path segment is the document that it shows, and so has that document's labels."""
+    number = F.regexp_extract(url_filters.path_of(F.col("url")), r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1)
+    key = F.when(number != "", number).cast("bigint")
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", key.alias("_label_key"))
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), bad.alias("bad"))
+    rows = url_filters.judged(pages, labels, URL_RULES)
+    return rows.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -206,6 +227,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality_rules": op7_quality_rules,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_html_extraction": op9_html_extraction,
+        "op10_url_filters": op10_url_filters,
     }
 
 
