@@ -14,6 +14,7 @@ from tillroll.llm import (
     quality_rules,
     sharding,
     simhash,
+    site_quality,
     substring_dedup,
     url_filters,
 )
@@ -109,6 +110,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(_table(spark, sf_dir, "documents"))
 
 
+def op6_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's source stands for its host, its language section for the path."""
+    docs = _table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low"), "toxic")
+    return site_quality.judged(docs, labels)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")), "v1")
     base = F.lit(quality_rules.mask(quality_rules.BASE)).cast("bigint")
@@ -224,6 +233,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": op3_language_id,
         "op4_simhash": op4_simhash,
         "op5_sharding": op5_sharding,
+        "op6_site_quality": op6_site_quality,
         "op7_quality_rules": op7_quality_rules,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_html_extraction": op9_html_extraction,
