@@ -7,7 +7,8 @@ DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint,
 
 def prose(seed: int, n: int, vocabulary: int = 300) -> str:
     rng = random.Random(seed)
-    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+    digits = str.maketrans("0123456789", "abcdefghij")
+    return " ".join(f"w{rng.randrange(vocabulary)}".translate(digits) for _ in range(n))
 
 
 def awkward() -> list[tuple]:

@@ -37,7 +37,8 @@ def test_query_agrees_with_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", ["op7_quality_rules", "op8_substring_dedup"])
 def test_awkward_documents_agree_with_sql(spark, tmp_path, name):
-    documents(spark).select("doc_id", "text", "lang", "source", "n_chars").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = documents(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert differences(registry.queries()[name](spark, str(tmp_path)), con, registry.oracle_sql()[name]) == []
@@ -57,7 +58,8 @@ def test_mix_meets_its_targets(spark):
     capped: set = set()
     while True:
         left = total - sum(3 * by_source[s][0][1] for s in capped)
-        share = {s: left * weights[s] / sum(w for o, w in weights.items() if o not in capped) for s in weights if s not in capped}
+        open_ = {s: w for s, w in weights.items() if s not in capped}
+        share = {s: left * w / sum(open_.values()) for s, w in open_.items()}
         above = {s for s in share if share[s] > 3 * by_source[s][0][1]}
         if not above:
             break
@@ -94,7 +96,8 @@ def test_expectation_of_a_pair_is_kept():
     rng = np.random.default_rng(7)
     taken = np.zeros(2)
     for _ in range(4000):
-        table = pa.table({"size": [10, 5], "part": [0.3, 0.4], "unit": [0, 1], "draw": rng.random(2), "coin": rng.random(2)})
+        draws = {"draw": rng.random(2), "coin": rng.random(2)}
+        table = pa.table({"size": [10, 5], "part": [0.3, 0.4], "unit": [0, 1], **draws})
         taken += mixing._reduce(table)["part"].to_numpy()
     assert taken / 4000 == pytest.approx([0.3, 0.4], abs=0.03)
 

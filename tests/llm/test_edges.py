@@ -1,0 +1,223 @@
+"""Awkward rows through every operator and stage: nulls, blanks, long texts, ties, repeats, empty tables, other columns."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from rows import awkward, documents, prose
+from tillroll.llm import (
+    decontamination,
+    html_extraction,
+    language_id,
+    mixing,
+    quality_rules,
+    queries,
+    sharding,
+    simhash,
+    site_quality,
+    substring_dedup,
+    url_filters,
+)
+
+PAGES = "page_id bigint, url string, html string, host string, Verdict string"
+BENCH = "item_id bigint, text string, items string"
+
+
+def benchmark(spark, rows=None):
+    found = [(1, prose(2, 60), "x"), (2, "one two three", "x"), (None, prose(2, 60), "x"), (3, None, "x"), (4, "", "x")]
+    return spark.createDataFrame(found if rows is None else rows, BENCH)
+
+
+def pages(spark, rows=None):
+    found = [
+        (1, "http://Ab.Example.NET/en/1?x", "<p>One, two &amp; three four</p>", "old", "old"),
+        (2, None, None, None, None),
+        (3, "no scheme", "", "old", "old"),
+        (3, "no scheme", "", "old", "old"),
+        (4, "x://h", "<<<", "old", "old"),
+        (None, "x://h" + "/a" * 2000, "<div>" * 500 + "deep" + "<b>" * 500, "old", "old"),
+    ]
+    return spark.createDataFrame(found if rows is None else rows, PAGES)
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    """Writes the tables of a query, awkward or empty, and returns their folder."""
+
+    def write(empty: bool) -> str:
+        none = [] if empty else None
+        folder = tmp_path / str(empty)
+        frames = {
+            "documents": documents(spark, none).select("doc_id", "text", "lang", "source", "n_chars"),
+            "benchmark": benchmark(spark, none).select("item_id", "text"),
+            "pages": pages(spark, none).select("page_id", "url", "html"),
+            "labels": spark.createDataFrame(
+                [] if empty else [(1, 1, 0), (1, 1, 0), (3, 0, 1), (None, 1, 1), (9, None, None)],
+                "doc_id bigint, quality int, toxic int",
+            ),
+        }
+        for name, frame in frames.items():
+            frame.write.parquet(f"{folder}/{name}.parquet")
+        return str(folder)
+
+    return write
+
+
+@pytest.mark.parametrize("name", list(queries.queries()))
+def test_queries_take_awkward_and_empty_tables(spark, tables, name):
+    query = queries.queries()[name]
+    rows = query(spark, tables(False)).collect()
+    assert len(rows) == (6 if "page_id" in rows[0] else len(awkward()))
+    none = query(spark, tables(True))
+    assert none.collect() == [] and none.columns == list(rows[0].asDict())
+
+
+def test_pipeline_takes_awkward_and_empty_tables(spark, tables):
+    rows = corpus_pipeline.run(spark, tables(False)).collect()
+    assert {r["doc_id"] for r in rows} <= {r[0] for r in awkward()}
+    assert corpus_pipeline.run(spark, tables(True)).collect() == []
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:-1])
+def test_stages_keep_the_columns(spark, tables, name, stage):
+    folder = tables(False)
+    docs = documents(spark)
+    out = stage(spark, docs, folder)
+    assert out.dtypes == docs.dtypes
+    known = {tuple(r) for r in docs.collect()}
+    kept = [tuple(r) for r in out.collect()]
+    assert kept and set(kept) <= known
+    assert stage(spark, documents(spark, []), folder).collect() == []
+
+
+def test_rules_judge_null_like_empty(spark):
+    rows = quality_rules.apply_policy(quality_rules.ledger(documents(spark)), "v1").collect()
+    rows = {r["doc_id"]: r for r in rows}
+    assert rows[3]["n_words"] == rows[4]["n_words"] == rows[5]["n_words"] == 0
+    assert not rows[3]["kept"] and not rows[12]["kept"] and rows[1]["kept"]
+    assert rows[12]["n_repeat_words"] == 200 and rows[9]["word_chars"] == 21
+
+
+def test_one_of_each_keeps_the_first(spark):
+    out = [tuple(r) for r in simhash.one_of_each(documents(spark)).collect()]
+    ids = sorted((r[0] is None, r[0]) for r in out)
+    # 1 and the two rows of 2 are equal, 3, 4 and 5 are empty, the rows without an id are equal
+    assert [i for _, i in ids if i is not None] == [1, 3, 6, 7, 8, 9, 11, 12]
+    assert len([r for r in out if r[0] is None]) == 1
+
+
+def test_component_of_rows_without_an_id(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (7, "c d"), (8, "c d")], "doc_id bigint, text string")
+    prints = simhash.with_fingerprint(docs, "fp").select("doc_id", "fp")
+    found = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(prints).collect()}
+    assert found == {(None, None), (7, 7), (8, 7)}
+
+
+def test_items_shorter_than_a_window(spark):
+    found = decontamination.find_spans(documents(spark), benchmark(spark))
+    assert found.columns == [*[c for c in documents(spark).columns if c != "n_words"], "n_words", "spans", "items"]
+    rows = {r["doc_id"]: r for r in found.collect()}
+    assert rows[11]["items"] == ["2"] and [tuple(s) for s in rows[11]["spans"]] == [(0, 2)]
+    assert rows[7]["items"] == ["1"] and [tuple(s) for s in rows[7]["spans"]] == [(40, 99)]
+    assert rows[3]["spans"] == [] and rows[3]["n_words"] == 0
+    cut = {r["doc_id"]: r["text"] for r in decontamination.without_spans(found).collect()}
+    assert cut[11] == "" and cut[3] is None and "w" in cut[7]
+    none = decontamination.find_spans(documents(spark), benchmark(spark, []))
+    assert none.filter(F.size("spans") > 0).count() == 0
+
+
+def test_mixing_of_empty_sources_and_repeats(spark):
+    rows = [(1, "a b", "x"), (1, "a b", "x"), (2, None, "y"), (3, "c", None), (4, "d " * 8, "z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = mixing.per_row(mixing.plan(docs)).collect()
+    assert len(out) == 5
+    by = {r["source"]: r for r in out}
+    assert by["y"]["target"] == 0 and by["y"]["taken"] == 0
+    assert sum({r["source"]: r["target"] for r in out}.values()) == pytest.approx(13)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    assert sum(len((r["text"] or "").split()) for r in mixed.collect()) == sum(r["taken"] for r in out)
+
+
+def test_shards_of_extra_columns_and_equal_rows(spark):
+    docs = documents(spark)
+    out = sharding.assign_shards(docs, [F.xxhash64("text"), F.col("doc_id")], F.length("text"), 3)
+    assert out.columns == [*[c for c in docs.columns if c != "shard"], "shard", "slot"]
+    assert out.count() == docs.count()
+    zero = sharding.assign_shards(docs, [F.col("doc_id")], F.lit(0), 3)
+    assert {r["shard"] for r in zero.collect()} == {0}
+
+
+def test_languages_without_letters_or_labels(spark):
+    docs = documents(spark)
+    model = language_id.learn(docs)
+    rows = {r["doc_id"]: r for r in language_id.predict(spark, model, docs).collect()}
+    assert rows[3]["lang_pred"] == rows[4]["lang_pred"] == rows[5]["lang_pred"] == "und"
+    assert all(0 <= r["score"] <= 1 for r in rows.values())
+    nothing = language_id.learn(docs.filter("lang IS NULL"))
+    assert {r["lang_pred"] for r in language_id.predict(spark, nothing, docs).collect()} == {"und"}
+    single = language_id.learn(docs.filter("lang = 'en'"))
+    assert {r["lang_pred"] for r in language_id.predict(spark, single, docs).collect()} == {"und", "en"}
+
+
+def test_without_labels_nothing_is_known(spark):
+    docs = documents(spark).select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"))
+    labels = spark.createDataFrame([], "doc_id bigint, low int, toxic int")
+    assert {(r["low"], r["toxic"]) for r in site_quality.judged(docs, labels).collect()} == {(0.5, 0.5)}
+
+
+def test_short_texts_lose_nothing(spark):
+    rows = {r["doc_id"]: r for r in substring_dedup.without_repeats(documents(spark)).collect()}
+    assert rows[11]["n_removed"] == 0 and rows[3]["n_words"] == 0 and rows[3]["kept"] == ""
+    assert rows[1]["n_removed"] == 50 and rows[7]["n_removed"] == 60 and rows[8]["n_removed"] == 60
+    assert rows[12]["n_removed"] == 200
+
+
+def test_rules_and_templates_of_urls(spark):
+    rules = queries.URL_RULES
+    expected = {
+        "https://a.Example.NET/en/1": ("example.net/en/", "allow"),
+        "https://example.net/de/1": ("net/", "block"),
+        "https://notexample.net/en/": ("net/", "block"),
+        "ftp://www.example.com/de/": ("example.com/de/", "block"),
+        "http://x.org/fr/9#a": ("org/fr/", "allow"),
+        "http://x.org/fr": (None, "allow"),
+        "http://net": (None, "allow"),
+        "none": (None, "allow"),
+    }
+    frame = spark.createDataFrame([(u, 1) for u in expected], "url string, _label_key bigint")
+    labels = spark.createDataFrame([], "key bigint, bad int")
+    out = url_filters.judged(frame, labels, rules)
+    assert {r["url"]: (r["rule"], r["verdict"]) for r in out.collect()} == expected
+
+
+def test_bad_templates_are_rejected_and_numbers_are_wild(spark):
+    rows = [(f"http://h.xyz/{kind}/{i}", 2 * i + (kind == "spam")) for i in range(60) for kind in ("spam", "news")]
+    frame = spark.createDataFrame(rows, "url string, _label_key bigint")
+    labels = spark.createDataFrame([(k, k % 2) for _, k in rows], "key bigint, bad int")
+    out = {(r["template"], r["verdict"]) for r in url_filters.judged(frame, labels).collect()}
+    assert out == {("/spam/#", "block"), ("/news/#", "allow")}
+    named = [(f"http://h.xyz/{chr(97 + i % 26)}{chr(97 + i // 26)}q/z", i) for i in range(80)]
+    many = spark.createDataFrame(named, "url string, _label_key bigint")
+    assert {r["template"] for r in url_filters.judged(many, labels.limit(0)).collect()} == {"/*/z"}
+
+
+def test_pages_keep_other_columns(spark):
+    out = html_extraction.with_main_text(pages(spark))
+    assert out.columns == [*pages(spark).columns, "main_text"]
+    texts = [r["main_text"] for r in out.collect()]
+    assert texts == ["One, two & three four", "", "", "", "<<<", "deep"]
+
+
+def test_main_text_of_a_page_with_everything_around_it():
+    page = """<html><head><title>T</title><style>p{}</style></head><body>
+    <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav>
+    <div class="cookie-notice"><p>We use cookies, all of them, always, for you, and for us.</p></div>
+    <div id="content"><article><h1>Title&nbsp;&eacute;</h1><p>First   paragraph, with
+    <a href="x">a link</a>, and more.<p>Second<br>one, long enough, to count, as text.
+    <ul><li>item one<li>item two</ul><form><p>Name, please</p></form>
+    <div class="share-buttons">Share, share</div></article>
+    <section id="comments"><p>Nice, really, very nice, I liked it a lot, so much, indeed, yes.</p></section></div>
+    <aside><p>Other, things, to, read, here, and, there, and, so, on.</p></aside><footer>(c)</footer></body></html>"""
+    expected = ["Title é", "First paragraph, with a link, and more.", "Second one, long enough, to count, as text."]
+    assert html_extraction.extract(page).split("\n") == [*expected, "item one", "item two"]
