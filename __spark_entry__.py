@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -69,6 +70,21 @@ def _codes_with_gaps(s: DataFrame) -> DataFrame:
     )
 
 
+def _customer_gaps(s: DataFrame) -> DataFrame:
+    """Every seventh customer has no revenue at all."""
+    return s.withColumn("Revenue", F.when(F.col("CustomerID") % 7 != 0, F.col("Revenue")))
+
+
+def _code_gaps(s: DataFrame) -> DataFrame:
+    return s.withColumn("Revenue", F.when(~F.col("StockCode").endswith("7"), F.col("Revenue")))
+
+
+def _fine_money(s: DataFrame) -> DataFrame:
+    """Money with four decimals."""
+    fine = F.col("Revenue") + F.col("l_linenumber") * F.lit(Decimal("0.0007"))
+    return s.withColumn("Revenue", fine.cast("decimal(18,4)"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every operator on the test tables; a query joins only the dimensions whose columns it uses."""
 
@@ -126,6 +142,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q3_03_yearly_sales": on(dated, kpis.yearly_sales),
         "q3_04_describe_measures": on(plain, kpis.describe_measures),
         "q3_05_describe_orders": on(plain, kpis.describe_orders),
+        "q3_05_describe_orders_fine_money": on(plain, lambda s: kpis.describe_orders(_fine_money(s))),
         "q4_01_monthly_sales": on(dated, trends.monthly_sales),
         "q4_02_running_and_moving": on(dated, trends.running_and_moving),
         "q4_03_quarterly_sales": on(dated, trends.quarterly_sales),
@@ -140,6 +157,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q5_02_top_customers_by_orders": on(placed, lambda s: customers.top_customers(s, by="orders")),
         "q5_03_order_frequency_bands": on(dated, customers.order_frequency_bands),
         "q5_04_value_quartiles": on(dated, customers.value_quantiles),
+        "q5_04_value_quartiles_gaps": on(dated, lambda s: customers.value_quantiles(_customer_gaps(s))),
+        "q5_04_value_deciles": on(dated, lambda s: customers.value_quantiles(s, 10)),
         "q5_05_repeat_vs_onetime": on(dated, customers.repeat_vs_onetime),
         "q5_06_new_vs_returning": on(dated, customers.new_vs_returning),
         "q5_07_purchase_span": on(dated, customers.purchase_span),
@@ -154,6 +173,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q6_06_code_type_split": on(plain, products.code_type_split),
         "q6_07_top_products_by_countries": on(full, products.top_products_by_countries),
         "q6_08_product_pareto": on(plain, concentration.product_pareto),
+        "q6_08_product_pareto_gaps": on(plain, lambda s: concentration.product_pareto(_code_gaps(s))),
         "q6_09_premium_products": on(named, products.premium_products),
         "q7_01_country_league": on(placed, markets.country_league),
         "q7_02_home_vs_rest": on(placed, lambda s: markets.home_vs_rest(s, home)),
@@ -161,6 +181,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q7_04_top_products_per_country": on(full, lambda s: markets.top_products_per_country(s, home=home)),
         "q7_05_monthly_home_vs_rest": on(placed, lambda s: markets.monthly_home_vs_rest(s, home)),
         "q8_01_customer_pareto": on(dated, concentration.customer_pareto),
+        "q8_01_customer_pareto_gaps": on(dated, lambda s: concentration.customer_pareto(_customer_gaps(s))),
         "q8_02_order_value_bands": on(plain, lambda s: concentration.order_value_bands(s, ORDER_VALUE_EDGES)),
         "q8_03_basket_size_bands": on(plain, lambda s: concentration.basket_size_bands(s, BASKET_TOPS)),
         "q8_04_basket_pairs": on(named, concentration.basket_pairs),

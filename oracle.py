@@ -49,9 +49,11 @@ PRODUCT = "regexp_matches(StockCode, '^[0-9]{5}')"
 HOME = "NATION_0"
 
 
-def sales(body: str, date: str = "o_orderdate") -> str:
-    """body may start with further CTEs: 'name AS (…), … SELECT …'."""
+def sales(body: str, date: str = "o_orderdate", revenue: str = "") -> str:
+    """body may start with further CTEs: 'name AS (…), … SELECT …'. ``revenue`` replaces the column by an expression."""
     lead = f"WITH s AS ({LINES.format(date=date)})"
+    if revenue:
+        lead = f"WITH given AS ({LINES.format(date=date)}), s AS (SELECT * REPLACE ({revenue} AS Revenue) FROM given)"
     return f"{lead}, {body.strip()}" if " AS (" in body.strip().split("SELECT")[0] else f"{lead} {body.strip()}"
 
 
@@ -110,37 +112,40 @@ base AS (
          CAST(NTILE(5) OVER (ORDER BY frequency, monetary, CustomerID) AS INTEGER) AS f_score,
          CAST(NTILE(5) OVER (ORDER BY monetary, CustomerID) AS INTEGER) AS m_score
   FROM base
+), rules (place, name, r_from, r_to, f_from, f_to) AS (
+  VALUES (1, 'Champions', 4, 5, 4, 5), (2, 'Loyal Customers', 3, 5, 3, 5), (3, 'New / Promising', 4, 5, 1, 2),
+         (4, 'Need Attention', 3, 3, 1, 2), (5, 'Cannot Lose Them', 1, 2, 4, 5), (6, 'At Risk', 1, 2, 2, 5),
+         (7, 'Lost / Hibernating', 1, 5, 1, 5)
 ), rfm AS (
-  SELECT *, CASE WHEN r_score >= 4 AND f_score >= 4 THEN 'Champions'
-                 WHEN r_score >= 3 AND f_score >= 3 THEN 'Loyal Customers'
-                 WHEN r_score >= 4 THEN 'New / Promising'
-                 WHEN r_score = 3 THEN 'Need Attention'
-                 WHEN f_score >= 4 THEN 'Cannot Lose Them'
-                 WHEN f_score >= 2 THEN 'At Risk'
-                 ELSE 'Lost / Hibernating' END AS segment
-  FROM scored
+  SELECT CustomerID, any_value(recency_days) AS recency_days, any_value(frequency) AS frequency,
+         any_value(monetary) AS monetary, any_value(r_score) AS r_score, any_value(f_score) AS f_score,
+         any_value(m_score) AS m_score, arg_min(name, place) AS segment
+  FROM scored JOIN rules ON r_score BETWEEN r_from AND r_to AND f_score BETWEEN f_from AND f_to GROUP BY CustomerID
 )"""
 
 FIRST = """
-f AS (SELECT CustomerID, MIN(YearMonth) AS first_month FROM s GROUP BY CustomerID),
+bought AS (SELECT DISTINCT CustomerID, date_trunc('month', InvoiceDay) AS month FROM s),
 activity AS (
-  SELECT DISTINCT s.YearMonth, s.CustomerID, f.first_month,
-         (CAST(substr(s.YearMonth, 1, 4) AS INTEGER) - CAST(substr(first_month, 1, 4) AS INTEGER)) * 12
-         + CAST(substr(s.YearMonth, 6, 2) AS INTEGER) - CAST(substr(first_month, 6, 2) AS INTEGER) AS later
-  FROM s JOIN f USING (CustomerID)
+  SELECT CustomerID, strftime(month, '%Y-%m') AS YearMonth,
+         strftime(min(month) OVER (PARTITION BY CustomerID), '%Y-%m') AS first_month,
+         date_diff('month', min(month) OVER (PARTITION BY CustomerID), month) AS later
+  FROM bought
 )"""
 
 
-def described(label: str, table: str, column: str, variance: bool) -> str:
+def described(label: str, table: str, column: str, variance: bool, digits: int | None = None) -> str:
+    def shown(x: str) -> str:
+        return f"CAST({x} AS DOUBLE)" if digits is None else r(x, digits)
+
     middle = f"(SELECT {column} AS v, row_number() OVER (ORDER BY {column}) AS rn, COUNT(*) OVER () AS n FROM {table})"
     median = f"(SELECT SUM(v) FROM (SELECT v FROM {middle} WHERE rn = (n+1)//2 UNION ALL SELECT v FROM {middle} WHERE rn = (n+2)//2))"
     last = f", {r(f'var_pop(CAST({column} AS DOUBLE))')} AS variance" if variance else ""
-    return f"""SELECT '{label}' AS metric, CAST(MIN({column}) AS DOUBLE) AS min_val,
-      {r(div(f'SUM({column})', f'COUNT({column})'))} AS mean_val, {r(f'CAST({median} AS DOUBLE) / 2', 6)} AS median_val,
-      CAST(MAX({column}) AS DOUBLE) AS max_val{last} FROM {table}"""
+    return f"""SELECT '{label}' AS metric, {shown(f'MIN({column})')} AS min_val,
+      {r(div(f'SUM({column})', f'COUNT({column})'))} AS mean_val, {r(f'CAST({median} AS DOUBLE) / 2', 6 if digits is None else digits)} AS median_val,
+      {shown(f'MAX({column})')} AS max_val{last} FROM {table}"""
 
 
-def pareto(key: str, noun: str, cuts: list[tuple[str, str]], target_label: str, count_first: bool = False) -> str:
+def pareto(key: str, noun: str, cuts: list[tuple[str, str]], target_label: str, count_first: bool = False, revenue: str = "") -> str:
     shown = f"band, {noun}, cumulative_revenue_pct" if count_first else f"band, cumulative_revenue_pct, {noun}"
     rows = [
         f"SELECT 'Top {label}% of {noun}' AS band, {r(f'100.0 * MAX(CASE WHEN rnk <= n * CAST({cut} AS DOUBLE) THEN share END)')}"
@@ -155,7 +160,8 @@ def pareto(key: str, noun: str, cuts: list[tuple[str, str]], target_label: str,
         f"""e AS (SELECT {key}, SUM(Revenue) AS revenue FROM s GROUP BY {key}),
         cum AS (SELECT {div('SUM(revenue) OVER (ORDER BY revenue DESC)', 'SUM(revenue) OVER ()')} AS share,
                        row_number() OVER (ORDER BY revenue DESC, {key}) AS rnk, COUNT(*) OVER () AS n FROM e)
-        SELECT {shown} FROM ({" UNION ALL ".join(rows)})"""
+        SELECT {shown} FROM ({" UNION ALL ".join(rows)})""",
+        revenue=revenue,
     )
 
 
@@ -171,9 +177,11 @@ def pairs(code: str, description: str, where: str) -> str:
       l AS (SELECT InvoiceNo, {code} AS code, {description} AS description FROM s),
       popular AS (SELECT code, MIN(description) AS description FROM l WHERE {where} GROUP BY code
                   ORDER BY COUNT(DISTINCT InvoiceNo) DESC, code LIMIT 30),
-      items AS (SELECT DISTINCT InvoiceNo, code FROM l WHERE code IN (SELECT code FROM popular)),
-      p AS (SELECT a.code AS item_a, b.code AS item_b, COUNT(*) AS orders_together
-            FROM items a JOIN items b ON a.InvoiceNo = b.InvoiceNo AND a.code < b.code GROUP BY 1, 2)
+      baskets AS (SELECT list_sort(list(DISTINCT code)) AS held FROM l SEMI JOIN popular USING (code)
+                  WHERE InvoiceNo IS NOT NULL GROUP BY InvoiceNo),
+      firsts AS (SELECT held, unnest(range(1, len(held))) AS i FROM baskets),
+      p AS (SELECT item_a, item_b, COUNT(*) AS orders_together
+            FROM (SELECT held[i] AS item_a, unnest(held[i + 1:]) AS item_b FROM firsts) GROUP BY 1, 2)
       SELECT item_a, na.description AS description_a, item_b, nb.description AS description_b, orders_together,
              {r(pct('orders_together', '(SELECT COUNT(DISTINCT InvoiceNo) FROM l)'))} AS support_pct
       FROM p JOIN popular na ON na.code = item_a JOIN popular nb ON nb.code = item_b
@@ -209,6 +217,36 @@ def grouped(keys: str, columns: str, by_events: bool = False) -> str:
     return (events if by_events else sales)(f"SELECT {keys}, {columns} FROM s GROUP BY {names}")
 
 
+def order_statistics(revenue: str = "") -> str:
+    columns = (("Order value", "order_value"), ("Units per order", "units"), ("Lines per order", "lines"))
+    rows = " UNION ALL ".join(described(label, "o", c, False, 2) for label, c in columns)
+    return sales(f"{BY_ORDER} {rows}", revenue=revenue)
+
+
+def tiles(n_tiles: int, labels: list[str], revenue: str = "") -> str:
+    return sales(
+        f"""
+          {CUST}, q AS (SELECT *, NTILE({n_tiles}) OVER (ORDER BY revenue DESC NULLS LAST, CustomerID) AS tile FROM cust)
+          SELECT {labels}[tile] AS value_segment,
+                 COUNT(*) AS customers, {r('MIN(revenue)')} AS min_revenue, {r('MAX(revenue)')} AS max_revenue,
+                 {r(div('SUM(revenue)', 'COUNT(*)'))} AS avg_revenue, {r('SUM(revenue)')} AS revenue,
+                 {r(pct('SUM(revenue)', '(SELECT SUM(revenue) FROM cust)'))} AS revenue_share_pct
+          FROM q GROUP BY tile""",
+        revenue=revenue,
+    )
+
+
+QUARTILES = [
+    "Q1 - Top 25% (High value)",
+    "Q2 - Upper-mid 25%",
+    "Q3 - Lower-mid 25%",
+    "Q4 - Bottom 25% (Low value)",
+]
+# every seventh customer, and the codes that end in 7, have no revenue at all
+CUSTOMER_GAPS = "CASE WHEN CustomerID % 7 <> 0 THEN Revenue END"
+CODE_GAPS = "CASE WHEN NOT suffix(StockCode, '7') THEN Revenue END"
+
+
 def statements() -> dict[str, str]:
     key = "InvoiceNo, StockCode, Description, Quantity, InvoiceDateTime, UnitPrice, CustomerID, Country"
 
@@ -322,14 +360,8 @@ def statements() -> dict[str, str]:
         "q3_04_describe_measures": sales(
             " UNION ALL ".join(described(c, "s", c, True) for c in ("Quantity", "UnitPrice", "Revenue"))
         ),
-        "q3_05_describe_orders": sales(
-            BY_ORDER
-            + " "
-            + " UNION ALL ".join(
-                described(label, "o", c, False)
-                for label, c in (("Order value", "order_value"), ("Units per order", "units"), ("Lines per order", "lines"))
-            )
-        ),
+        "q3_05_describe_orders": order_statistics(),
+        "q3_05_describe_orders_fine_money": order_statistics("CAST(Revenue + l_linenumber * 0.0007 AS DECIMAL(18,4))"),
         "q4_01_monthly_sales": sales(f"""
           m AS (SELECT YearMonth, {ORDERS} AS orders, {BUYERS} AS customers, {QTY} AS quantity, SUM(Revenue) AS rev
                 FROM s GROUP BY YearMonth)
@@ -388,14 +420,9 @@ def statements() -> dict[str, str]:
                  {r('SUM(revenue)')} AS revenue,
                  {r(pct('SUM(revenue)', '(SELECT SUM(revenue) FROM cust)'))} AS revenue_share_pct
           FROM cust GROUP BY 1"""),
-        "q5_04_value_quartiles": sales(f"""
-          {CUST}, q AS (SELECT *, NTILE(4) OVER (ORDER BY revenue DESC, CustomerID) AS tile FROM cust)
-          SELECT CASE tile WHEN 1 THEN 'Q1 - Top 25% (High value)' WHEN 2 THEN 'Q2 - Upper-mid 25%'
-                      WHEN 3 THEN 'Q3 - Lower-mid 25%' ELSE 'Q4 - Bottom 25% (Low value)' END AS value_segment,
-                 COUNT(*) AS customers, {r('MIN(revenue)')} AS min_revenue, {r('MAX(revenue)')} AS max_revenue,
-                 {r(div('SUM(revenue)', 'COUNT(*)'))} AS avg_revenue, {r('SUM(revenue)')} AS revenue,
-                 {r(pct('SUM(revenue)', '(SELECT SUM(revenue) FROM cust)'))} AS revenue_share_pct
-          FROM q GROUP BY tile"""),
+        "q5_04_value_quartiles": tiles(4, QUARTILES),
+        "q5_04_value_quartiles_gaps": tiles(4, QUARTILES, CUSTOMER_GAPS),
+        "q5_04_value_deciles": tiles(10, [f"Q{i} of 10" for i in range(1, 11)]),
         "q5_05_repeat_vs_onetime": sales(f"""
           {CUST}
           SELECT CASE WHEN orders > 1 THEN 'Repeat' ELSE 'One-time' END AS customer_type, COUNT(*) AS customers,
@@ -463,6 +490,13 @@ def statements() -> dict[str, str]:
         "q6_08_product_pareto": pareto(
             "StockCode", "products", [("10", "0.1"), ("20", "0.2")], "Products needed for 80% revenue"
         ),
+        "q6_08_product_pareto_gaps": pareto(
+            "StockCode",
+            "products",
+            [("10", "0.1"), ("20", "0.2")],
+            "Products needed for 80% revenue",
+            revenue=CODE_GAPS,
+        ),
         "q6_09_premium_products": top_products(
             f"{r(div('SUM(UnitPrice)', 'COUNT(UnitPrice)'))} AS avg_unit_price, {QTY} AS quantity, {REV} AS revenue",
             "avg_unit_price DESC",
@@ -503,6 +537,14 @@ def statements() -> dict[str, str]:
             "Customers needed for 80% of revenue",
             count_first=True,
         ),
+        "q8_01_customer_pareto_gaps": pareto(
+            "CustomerID",
+            "customers",
+            [("1", "0.01"), ("5", "0.05"), ("10", "0.1"), ("20", "0.2")],
+            "Customers needed for 80% of revenue",
+            count_first=True,
+            revenue=CUSTOMER_GAPS,
+        ),
         "q8_02_order_value_bands": sales(f"""
           {BY_ORDER}
           SELECT {amount_case('order_value', (75000, 125000, 200000, 300000, 400000))} AS order_value_band,

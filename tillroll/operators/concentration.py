@@ -17,7 +17,7 @@ from tillroll.functions.bands import (
 from tillroll.functions.metrics import details_for
 from tillroll.functions.numbers import percent, ratio, rounded, scale_of, unscaled
 from tillroll.operators.quality import LINE_KEY
-from tillroll.operators.ranks import rows_at_ranks, running_totals
+from tillroll.operators.ranks import descending, rows_at_ranks, running_totals
 
 # Items per 64-bit word of a basket's item set.
 WORD = 62
@@ -31,11 +31,12 @@ def pareto(s: DataFrame, key: str, noun: str, cuts: Sequence[float], target: flo
     """Share of revenue held by the top entities, and how many entities reach the target share.
 
     Entities of equal revenue are peers: they share one cumulative value, while ranks count them one by one. Equal
-    revenues are therefore merged first, which leaves rows without ties for ``running_totals``.
+    revenues are therefore merged first, which leaves rows without ties for ``running_totals``. Entities without any
+    revenue are the last level.
     """
     entities = s.groupBy(key).agg(F.sum("Revenue").alias("revenue"))
     amount = unscaled(F.col("revenue"), scale_of(entities, "revenue"))
-    levels = entities.groupBy((-amount).alias("value")).agg(
+    levels = entities.groupBy(descending(amount).alias("value")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("revenue").alias("revenue")
     )
     running = running_totals(levels, "value", ["n", "revenue"]).select(
@@ -226,14 +227,16 @@ def largest_lines(s: DataFrame, k: int = 10) -> DataFrame:
 def sensitivity_top_order(s: DataFrame, k: int = 1) -> DataFrame:
     """Revenue, orders, AOV and ASP with all orders and without the k largest.
 
-    Both scenarios come from the order totals: what the largest orders hold is taken off the sums.
+    Both scenarios come from the order totals: what the largest orders hold is taken off the sums. Lines without an order
+    number are kept out of the ranking by its order; a filter would be moved below the grouping, and the lines be
+    grouped twice.
     """
     orders = s.groupBy("InvoiceNo").agg(F.sum("Revenue").alias("revenue"), F.sum("Quantity").alias("quantity"))
     numbered = F.col("InvoiceNo").isNotNull()
     largest = (
-        orders.where(numbered)
-        .orderBy(F.desc("revenue"), "InvoiceNo")
+        orders.orderBy(numbered.desc(), F.desc("revenue"), "InvoiceNo")
         .limit(k)
+        .where(numbered)
         .agg(
             F.struct(
                 F.coalesce(F.sum("revenue"), F.lit(0)).alias("revenue"),

@@ -11,7 +11,7 @@ from tillroll.functions.calendar import month_number
 from tillroll.functions.metrics import BASE, details_for, sales_by
 from tillroll.functions.numbers import count_true, percent, ratio, rounded, scale_of, unscaled
 from tillroll.operators.kpis import per_customer
-from tillroll.operators.ranks import with_ntiles
+from tillroll.operators.ranks import descending, with_ntiles
 
 # Names of revenue quartiles and RFM segments.
 QUARTILE_LABELS = (
@@ -20,14 +20,14 @@ QUARTILE_LABELS = (
     "Q3 - Lower-mid 25%",
     "Q4 - Bottom 25% (Low value)",
 )
-# segment, least and greatest recency score, least and greatest frequency score; the first that fits counts
+# segment, least and greatest recency score, least and greatest frequency score (None: open); the first that fits counts
 RFM_SEGMENTS = (
-    ("Champions", 4, 5, 4, 5),
-    ("Loyal Customers", 3, 5, 3, 5),
-    ("New / Promising", 4, 5, 1, 2),
-    ("Need Attention", 3, 3, 1, 2),
-    ("Cannot Lose Them", 1, 2, 4, 5),
-    ("At Risk", 1, 2, 2, 5),
+    ("Champions", 4, None, 4, None),
+    ("Loyal Customers", 3, None, 3, None),
+    ("New / Promising", 4, None, None, 2),
+    ("Need Attention", 3, 3, None, 2),
+    ("Cannot Lose Them", None, 2, 4, None),
+    ("At Risk", None, 2, 2, None),
 )
 RFM_REST = "Lost / Hibernating"
 
@@ -46,8 +46,9 @@ def _top_by_revenue(s: DataFrame, k: int) -> DataFrame:
     totals = s.groupBy("CustomerID").agg(F.sum("Quantity").alias("quantity"), F.sum("Revenue").alias("sold"))
     order = [F.desc("revenue"), F.col("CustomerID")]
     top = totals.withColumn("revenue", rounded(F.col("sold"))).orderBy(order).limit(k)
-    total = s.agg(F.sum("Revenue")).scalar()
-    share = rounded(percent(F.col("sold"), total)).alias("revenue_share_pct")
+    # from the grouped customers, by all their columns, so that Spark reuses the shuffle of the ranking
+    total = totals.agg(F.struct(F.sum("sold").alias("sold"), F.sum("quantity").alias("quantity"))).scalar()
+    share = rounded(percent(F.col("sold"), total["sold"])).alias("revenue_share_pct")
     detailed = details_for(top, s, ["CustomerID"], {"country": F.min("Country"), "orders": BASE["orders"]()})
     return detailed.orderBy(order).select("CustomerID", "country", "orders", "quantity", "revenue", share)
 
@@ -81,10 +82,17 @@ def order_frequency_bands(s: DataFrame, tops: Sequence[int] = ORDER_COUNT_TOPS)
     )
 
 
-def value_quantiles(s: DataFrame, n: int = 4, labels: Sequence[str] = QUARTILE_LABELS) -> DataFrame:
-    """Customers split into n groups of equal size by revenue, largest first; ties go by customer."""
+def value_quantiles(s: DataFrame, n: int = 4, labels: Sequence[str] | None = None) -> DataFrame:
+    """Customers split into n groups of equal size by revenue, largest first; ties go by customer.
+
+    Customers without any revenue come last. ``labels`` name the n groups, by default "Q1" to "Qn" (quartiles: in full).
+    """
+    if labels is None:
+        labels = QUARTILE_LABELS if n == len(QUARTILE_LABELS) else [f"Q{i} of {n}" for i in range(1, n + 1)]
+    if len(labels) != n:
+        raise ValueError(f"{len(labels)} labels for {n} groups")
     customers = s.groupBy("CustomerID").agg(F.sum("Revenue").alias("revenue"))
-    order = [-unscaled(F.col("revenue"), scale_of(customers, "revenue")), F.col("CustomerID")]
+    order = [descending(unscaled(F.col("revenue"), scale_of(customers, "revenue"))), F.col("CustomerID")]
     tiles = (
         with_ntiles(customers, n, {"tile": order})
         .groupBy("tile")
@@ -174,18 +182,28 @@ def purchase_span(s: DataFrame) -> DataFrame:
     )
 
 
-def rfm(s: DataFrame, snapshot: Column | None = None, n: int = 5) -> DataFrame:
+def rfm(
+    s: DataFrame, snapshot: Column | None = None, n: int = 5, rules: Sequence[tuple] = RFM_SEGMENTS, rest: str = RFM_REST
+) -> DataFrame:
     """Recency, frequency and monetary value of every customer, their scores from 1 to n, and the segment.
 
     ``snapshot`` is the last day looked at, by default the last day with sales; recency counts from the day after it.
     Ties in a score are broken by customer. The customers are never sorted as a whole: see ``with_ntiles``.
+    ``rules`` name the segments by score (see ``RFM_SEGMENTS``); a rule that no score up to n can meet is refused.
     """
+    unmet = [name for name, *bounds in rules if max(b or 0 for b in bounds) > n]
+    if unmet:
+        raise ValueError(f"no score from 1 to {n} meets the rules of {', '.join(unmet)}")
     customers = s.groupBy("CustomerID").agg(
         F.max("InvoiceDay").alias("_last"),
         F.count_distinct("InvoiceNo").alias("frequency"),
         F.round(F.sum("Revenue"), 2).alias("monetary"),
     )
-    last_day = s.agg(F.max("InvoiceDay")).scalar() if snapshot is None else snapshot
+    if snapshot is None:
+        # from the grouped customers, by all their columns, so that Spark reuses their shuffle
+        parts = [F.max(c).alias(c) for c in ("_last", "frequency", "monetary")]
+        snapshot = customers.agg(F.struct(*parts)).scalar()["_last"]
+    last_day = snapshot
     base = customers.select(
         "CustomerID", (F.date_diff(last_day, F.col("_last")) + 1).alias("recency_days"), "frequency", "monetary"
     )
@@ -207,16 +225,19 @@ def rfm(s: DataFrame, snapshot: Column | None = None, n: int = 5) -> DataFrame:
         "r_score",
         "f_score",
         "m_score",
-        rfm_segment(),
+        rfm_segment(rules, rest),
     )
 
 
 def rfm_segment(rules: Sequence[tuple] = RFM_SEGMENTS, rest: str = RFM_REST) -> Column:
-    chosen = F
-    for segment, r_low, r_high, f_low, f_high in rules:
-        fits = F.col("r_score").between(r_low, r_high) & F.col("f_score").between(f_low, f_high)
-        chosen = chosen.when(fits, segment)
-    return chosen.otherwise(rest).alias("segment")
+    segment = F.lit(rest)
+    for name, r_low, r_high, f_low, f_high in reversed(rules):
+        fits = F.lit(True)
+        for score, low, high in (("r_score", r_low, r_high), ("f_score", f_low, f_high)):
+            fits &= F.lit(True) if low is None else F.col(score) >= low
+            fits &= F.lit(True) if high is None else F.col(score) <= high
+        segment = F.when(fits, name).otherwise(segment)
+    return segment.alias("segment")
 
 
 def rfm_summary(scored: DataFrame) -> DataFrame:

@@ -81,9 +81,13 @@ def yearly_sales(s: DataFrame) -> DataFrame:
     return sales_by(s, ["Year"], ["orders", "customers", "quantity", "revenue", "revenue_share_pct"]).orderBy("Year")
 
 
-def _described(df: DataFrame, columns: Mapping[str, str], variance: bool, aggregated: bool) -> DataFrame:
+def _described(
+    df: DataFrame, columns: Mapping[str, str], variance: bool, aggregated: bool, digits: int | None = None
+) -> DataFrame:
     """min, mean, exact median, max (and population variance) of several columns, one row per column.
 
+    ``digits`` rounds min, median and max; without it min and max are as stored and the median has six digits.
+
     The plain statistics take one aggregation. Spark's exact ``median`` would hold every distinct value in one task, so
     the two middle rows are found by counting instead; missing values take no part.
     """
@@ -92,12 +96,16 @@ def _described(df: DataFrame, columns: Mapping[str, str], variance: bool, aggreg
         parts += [F.count(c), F.sum(c), F.min(c), F.max(c), *([F.var_pop(F.col(c).cast("double"))] if variance else [])]
     step = 5 if variance else 4
     plain = df.agg(*[p.alias(f"_{i}") for i, p in enumerate(parts)])
+
+    def shown(x: Column) -> Column:
+        return x.cast("double") if digits is None else rounded(x, digits)
+
     rows = [
         F.struct(
             F.lit(label).alias("metric"),
-            F.col(f"_{i * step + 2}").cast("double").alias("min_val"),
+            shown(F.col(f"_{i * step + 2}")).alias("min_val"),
             rounded(ratio(F.col(f"_{i * step + 1}"), F.col(f"_{i * step}"))).alias("mean_val"),
-            F.col(f"_{i * step + 3}").cast("double").alias("max_val"),
+            shown(F.col(f"_{i * step + 3}")).alias("max_val"),
             *([rounded(F.col(f"_{i * step + 4}")).alias("variance")] if variance else []),
         )
         for i, label in enumerate(columns)
@@ -115,7 +123,7 @@ def _described(df: DataFrame, columns: Mapping[str, str], variance: bool, aggreg
     medians = middle.groupBy("metric").agg(F.sum("value").alias("middle")).withColumn("unit", unit)
 
     described = plain.join(F.broadcast(medians), "metric", "left")
-    median = rounded(ratio(F.col("middle"), F.col("unit")), 6).alias("median_val")
+    median = rounded(ratio(F.col("middle"), F.col("unit")), 6 if digits is None else digits).alias("median_val")
     return described.select("metric", "min_val", "mean_val", median, "max_val", *(["variance"] if variance else []))
 
 
@@ -127,4 +135,4 @@ def describe_measures(s: DataFrame, columns: Mapping[str, str] | None = None) ->
 def describe_orders(s: DataFrame) -> DataFrame:
     """Statistics of the orders: value, units, lines."""
     columns = {"Order value": "order_value", "Units per order": "units", "Lines per order": "lines"}
-    return _described(per_order(s), columns, variance=False, aggregated=True)
+    return _described(per_order(s), columns, variance=False, aggregated=True, digits=2)

@@ -24,12 +24,15 @@ def _ranked(s: DataFrame, totals: DataFrame, order: list[Column], k: int, **deta
 
 def top_products_by_revenue(s: DataFrame, k: int = 10, pattern: str = PRODUCT_PATTERN) -> DataFrame:
     """Top products by revenue; the share is of all revenue, fees and postage included."""
-    totals = _products(s, pattern).groupBy("StockCode").agg(
-        F.sum("Quantity").alias("quantity"), F.sum("Revenue").alias("sold")
-    )
-    totals = totals.withColumn("revenue", rounded(F.col("sold")))
-    total = s.agg(F.sum("Revenue")).scalar()
-    return _ranked(s, totals, [F.desc("revenue")], k, orders=BASE["orders"]()).select(
+    totals = s.groupBy("StockCode").agg(F.sum("Quantity").alias("quantity"), F.sum("Revenue").alias("sold"))
+    # all codes are grouped once, for the total (of all columns, so that the shuffle is reused) and for the ranking, from
+    # which others than products are kept by its order: a filter would be moved below the grouping
+    total = totals.agg(F.struct(F.sum("sold").alias("sold"), F.sum("quantity").alias("quantity"))).scalar()["sold"]
+    product = F.coalesce(is_product(F.col("StockCode"), pattern), F.lit(False))
+    order = [product.desc(), F.desc("revenue"), F.col("StockCode")]
+    top = totals.withColumn("revenue", rounded(F.col("sold"))).orderBy(order).limit(k).where(product)
+    details = {"description": F.min("Description"), "orders": BASE["orders"]()}
+    return details_for(top, s, ["StockCode"], details).orderBy(F.desc("revenue"), "StockCode").select(
         "StockCode",
         "description",
         "quantity",

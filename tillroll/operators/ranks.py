@@ -14,8 +14,9 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 LEADING_DIGITS = 4
-# Stands for NULL in an order key: below every real key, as NULLs sort first.
+# Stand for NULL in an order key: below every real key where NULLs sort first, above where they sort last.
 LOWEST = -(9 * 10**18)
+HIGHEST = 9 * 10**18
 
 
 def leading_digits(x: Column, digits: int = LEADING_DIGITS) -> Column:
@@ -33,6 +34,11 @@ def sort_key(x: Column) -> Column:
     return F.coalesce(x.cast("bigint"), F.lit(LOWEST))
 
 
+def descending(x: Column) -> Column:
+    """A BIGINT order key, largest value first and NULL last."""
+    return F.coalesce(-x.cast("bigint"), F.lit(HIGHEST))
+
+
 def rows_at_ranks(
     df: DataFrame,
     order: Sequence[str],
@@ -123,7 +129,8 @@ def with_ntiles(df: DataFrame, n_tiles: int, orders: Mapping[str, Sequence[Colum
 
     keys = F.array(*[F.struct(F.lit(name).alias("_order"), *key(cols)) for name, cols in orders.items()])
     rows = df.select(F.inline(keys))
-    ends = rows_at_ranks(rows, slots, ntile_ends(n_tiles), by=["_order"], merge_equal=True, finer_last=True)
+    # the orders end in identifiers, so there are no equal rows to be merged
+    ends = rows_at_ranks(rows, slots, ntile_ends(n_tiles), by=["_order"], finer_last=True)
     # one row: the ends of every order, n_tiles - 1 each
     ends = ends.groupBy("_order").agg(F.collect_list(F.struct(*slots)).alias("ends"))
     ends = ends.agg(F.map_from_entries(F.collect_list(F.struct("_order", "ends"))).alias("ends")).scalar()

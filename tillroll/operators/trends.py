@@ -96,8 +96,10 @@ def revenue_per_active_day(s: DataFrame) -> DataFrame:
 
 def largest_orders(order_values: DataFrame, k: int = 1) -> DataFrame:
     """The k orders with the largest revenue, from a frame of one or more rows (InvoiceNo, revenue) per order."""
-    totals = order_values.where(F.col("InvoiceNo").isNotNull()).groupBy("InvoiceNo").agg(F.sum("revenue").alias("total"))
-    return totals.orderBy(F.desc("total"), "InvoiceNo").limit(k).select("InvoiceNo")
+    totals = order_values.groupBy("InvoiceNo").agg(F.sum("revenue").alias("total"))
+    # no filter before the limit: it would be moved below the grouping, which then could not be shared with others
+    numbered = F.col("InvoiceNo").isNotNull()
+    return totals.orderBy(numbered.desc(), F.desc("total"), "InvoiceNo").limit(k).where(numbered).select("InvoiceNo")
 
 
 def monthly_excluding_top_orders(s: DataFrame, k: int = 1) -> DataFrame:

@@ -63,7 +63,9 @@ def sales_lines(
     """Order lines as sales lines.
 
     ``orders`` adds customer and date columns, ``countries`` (implies orders) the customer's nation, ``parts`` the
-    product name. ``dated_by='l_shipdate'`` takes the line's own date instead of the order's.
+    product name. ``dated_by='l_shipdate'`` takes the line's own date instead of the order's. Customer and nation meet
+    the orders, not the lines: lines are only ever shuffled by order or product, never by customer, so a customer with a
+    third of them does not end up in one task.
     """
     # amounts arrive as DOUBLE with two decimals; by way of whole cents they become DECIMAL at a fraction of the cost of
     # a direct cast, which goes through text
@@ -83,18 +85,18 @@ def sales_lines(
         placed = _table(spark, sf_dir, "orders").select(
             F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("CustomerID"), "o_orderdate"
         )
+        if countries:
+            customer = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("CustomerID"), "c_nationkey")
+            nation = _table(spark, sf_dir, "nation").select(
+                F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("Country")
+            )
+            placed = placed.join(customer, "CustomerID", "left").join(nation, "c_nationkey", "left")
         dates = _date_columns(F.col(dated_by))
         if dated_by == "o_orderdate":
             # once per order instead of once per line
             s = s.join(placed.withColumns(dates), "l_orderkey", "left")
         else:
             s = s.join(placed, "l_orderkey", "left").withColumns(dates)
-    if countries:
-        customer = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("CustomerID"), "c_nationkey")
-        nation = _table(spark, sf_dir, "nation").select(
-            F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("Country")
-        )
-        s = s.join(customer, "CustomerID", "left").join(nation, "c_nationkey", "left")
     if parts:
         part = _table(spark, sf_dir, "part").select(
             F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("Description"), F.col("p_brand").alias("Brand")
