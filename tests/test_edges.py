@@ -198,3 +198,54 @@ def test_approximate_counts_have_the_same_columns(spark):
 def test_money_sums_are_exact(spark):
     s = sales(spark, [line(price="0.10")] * 10)
     assert kpis.per_order(s).first().order_value == Decimal("1.0000")
+
+
+def test_entities_without_revenue_are_last(spark):
+    amounts = {"A": 70, "B": 20, "C": 10, "D": None, "E": None}
+    rows = [line(invoice=c, code=c, price=None if v is None else str(v)) for c, v in amounts.items()]
+    out = dicts(concentration.product_pareto(sales(spark, rows), cuts=(0.4,)))
+    assert [(r["products"], r["cumulative_revenue_pct"]) for r in out] == [(2, 90.0), (2, 90.0)]
+
+
+def test_customers_without_revenue_are_in_the_last_quartile(spark):
+    amounts = [None, 40, None, 30, 20, 10, 5, 1]
+    rows = [line(invoice=str(i), customer=i, price=None if v is None else str(v)) for i, v in enumerate(amounts)]
+    out = dicts(customers.value_quantiles(sales(spark, rows)))
+    assert [(r["max_revenue"], r["customers"]) for r in out] == [(40.0, 2), (20.0, 2), (5.0, 2), (None, 2)]
+
+
+def test_quantiles_have_labels_for_any_number(spark):
+    rows = sales(spark, [line(invoice=str(i), customer=i, price=str(i)) for i in range(1, 13)])
+    names = [r["value_segment"] for r in dicts(customers.value_quantiles(rows, 6))]
+    assert names == [f"Q{i} of 6" for i in range(1, 7)]
+    with pytest.raises(ValueError):
+        customers.value_quantiles(rows, 3, ["high", "low"])
+
+
+@pytest.mark.parametrize("n", [4, 5, 10])
+def test_segments_for_other_numbers_of_scores(spark, n):
+    lines = [
+        line(invoice=f"{c}-{i}", customer=c, price=str(c), ts=f"2011-{1 + c % 12:02d}-{1 + i:02d} 10:00")
+        for c in range(1, 41)
+        for i in range(1 + c % 5)
+    ]
+    rows = sales(spark, lines)
+    rows.createOrReplaceTempView("lines_of_rfm")
+    expected = spark.sql(f"""
+        WITH c AS (SELECT CustomerID, max(InvoiceDay) AS last, count(DISTINCT InvoiceNo) AS f, sum(Revenue) AS m
+                   FROM lines_of_rfm GROUP BY 1),
+        s AS (SELECT CustomerID, {n} + 1 - ntile({n}) OVER (ORDER BY last DESC, CustomerID) AS r,
+                     ntile({n}) OVER (ORDER BY f, m, CustomerID) AS f FROM c)
+        SELECT CustomerID, CASE WHEN r >= 4 AND f >= 4 THEN 'Champions' WHEN r >= 3 AND f >= 3 THEN 'Loyal Customers'
+            WHEN r >= 4 AND f <= 2 THEN 'New / Promising' WHEN r = 3 AND f <= 2 THEN 'Need Attention'
+            WHEN r <= 2 AND f >= 4 THEN 'Cannot Lose Them' WHEN r <= 2 AND f >= 2 THEN 'At Risk'
+            ELSE 'Lost / Hibernating' END AS segment FROM s""")
+    got = customers.rfm(rows, n=n).select("CustomerID", "segment")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_rules_that_no_score_meets_are_refused(spark):
+    with pytest.raises(ValueError, match="Champions"):
+        customers.rfm(sales(spark, [line()]), n=3)
+    own = [("Best", 3, None, 3, None)]
+    assert customers.rfm(sales(spark, [line()]), n=3, rules=own, rest="Other").columns[-1] == "segment"

@@ -5,8 +5,10 @@ import glob
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from sample import dicts, line, sales
+from tillroll.operators import marts
 from tillroll.operators.marts import mart_counts, register_views
 from tillroll.operators.quality import null_blank_counts, rule_violations
 from tillroll.plans.catalogue import REPORTS, TITLES, export_reports
@@ -27,10 +29,21 @@ def csv(tmp_path, body):
 
 def test_quotes_commas_and_line_breaks(spark, tmp_path):
     odd = '536366,22633,"LETTER ""O"" BLING, KEY\nRING",1,01-12-2010 08:28,1.85,17850,Spain,1.85,2010,4,December,Wednesday\n'
-    rows = read_sales_csv(spark, csv(tmp_path, GOOD + odd)).collect()
+    rows = read_sales_csv(spark, csv(tmp_path, GOOD + odd), multi_line=True).collect()
     assert [r.Description for r in rows] == ["  WHITE HOLDER ", 'LETTER "O" BLING, KEY\nRING']
 
 
+def test_large_files_are_split(spark, tmp_path):
+    path = csv(tmp_path, GOOD * 4000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        split, whole = (read_sales_csv(spark, path, multi_line=m) for m in (False, True))
+        counts = [df.select(F.spark_partition_id()).distinct().count() for df in (split, whole)]
+        assert counts[0] > 4 and counts[1] == 1 and split.count() == whole.count() == 4000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 @pytest.mark.parametrize("bad", ["1,2,3,4,5,6,7,8,9,10,11,12\n", "1,2,3,4,5,6,7,8,9,10,11,12,13,14\n"])
 def test_wrong_number_of_fields_fails(spark, tmp_path, bad):
     landed = read_sales_csv(spark, csv(tmp_path, GOOD + bad))
@@ -143,3 +156,12 @@ def test_views_and_their_counts(spark):
     assert dicts(mart_counts(marts)) == [
         {"monthly_rows": 2, "customer_rows": 2, "product_rows": 2, "country_rows": 1, "rfm_rows": 2}
     ]
+
+
+def test_stored_marts_equal_the_views(spark, tmp_path):
+    s = sales(spark, [line(invoice=str(i), customer=i % 3, code=f"1000{i % 4}") for i in range(12)])
+    computed = {name: build(s) for name, build in marts.MARTS.items()}
+    stored = marts.register_views(spark, s, str(tmp_path / "marts"))
+    for name, mart in computed.items():
+        assert stored[name].dtypes == mart.dtypes
+        assert sorted(map(str, spark.table(name).collect())) == sorted(map(str, mart.collect()))

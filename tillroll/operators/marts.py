@@ -54,14 +54,28 @@ MARTS = {
 }
 
 
-def register_views(spark: SparkSession, s: DataFrame) -> dict[str, DataFrame]:
-    """Create the five temporary views; like any view they are computed when read."""
-    marts = {name: build(s) for name, build in MARTS.items()}
+def register_views(spark: SparkSession, s: DataFrame, path: str | None = None) -> dict[str, DataFrame]:
+    """Create the five temporary views; like any view they are computed when read, unless a ``path`` stores them."""
+    marts = write_marts(s, path) if path else {name: build(s) for name, build in MARTS.items()}
     for name, mart in marts.items():
         mart.createOrReplaceTempView(name)
     return marts
 
 
+def write_marts(s: DataFrame, path: str) -> dict[str, DataFrame]:
+    """Write every mart to ``path/<view name>`` as Parquet, replacing what is there, and return them as stored.
+
+    Views compute a mart again for every reader; stored ones are computed once. RFM, the dearest, pays off first.
+    """
+    spark = s.sparkSession
+    stored = {}
+    for name, build in MARTS.items():
+        mart = build(s)
+        mart.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+        stored[name] = spark.read.schema(mart.schema).parquet(f"{path.rstrip('/')}/{name}")
+    return stored
+
+
 def mart_counts(marts: Mapping[str, DataFrame]) -> DataFrame:
     """Rows of every mart, in one row. Counting needs the group keys only: Spark drops the measures from each plan."""
     counted = {
