@@ -249,3 +249,14 @@ def test_rules_that_no_score_meets_are_refused(spark):
         customers.rfm(sales(spark, [line()]), n=3)
     own = [("Best", 3, None, 3, None)]
     assert customers.rfm(sales(spark, [line()]), n=3, rules=own, rest="Other").columns[-1] == "segment"
+
+
+def test_totals_beyond_bigint_keep_their_rank(spark):
+    big = "9" * 14 + ".9999"
+    lines = [line(invoice=str(i), code=f"1000{i % 3 // 2}", customer=i % 3 // 2, revenue=big) for i in range(30)]
+    rows = sales(spark, [*lines, line(invoice="x", code="2", customer=7, price="1")])
+    assert [r["products"] for r in dicts(concentration.product_pareto(rows, cuts=(0.4,)))] == [1, 2]
+    assert dicts(concentration.customer_pareto(rows, cuts=(0.4,)))[-1]["customers"] == 2
+    assert [r["customers"] for r in dicts(customers.value_quantiles(rows, 3))] == [1, 1, 1]
+    orders = sales(spark, [line(invoice="1", code=str(i), revenue=big) for i in range(20)])
+    assert dicts(kpis.describe_orders(orders))[0]["max_val"] == pytest.approx(2e15)

@@ -31,6 +31,14 @@ def unscaled(x: Column, scale: int) -> Column:
     return (x * F.lit(10**scale)).cast("bigint") if scale else x.cast("bigint")
 
 
+def rank_key(df: DataFrame, name: str) -> Column:
+    """A column in its smallest unit, to be ranked by: BIGINT, or DECIMAL(38,0) where sums may outgrow that."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.DecimalType) and kind.precision > 18:
+        return (F.col(name) * F.lit(10**kind.scale)).cast("decimal(38,0)")
+    return unscaled(F.col(name), scale_of(df, name))
+
+
 def from_cents(cents: Column) -> Column:
     """A BIGINT number of cents as DECIMAL(18,2)."""
     return (cents.cast("decimal(18,0)") * F.lit(Decimal("0.01"))).cast("decimal(18,2)")

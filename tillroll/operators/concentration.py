@@ -15,7 +15,7 @@ from tillroll.functions.bands import (
     is_product,
 )
 from tillroll.functions.metrics import details_for
-from tillroll.functions.numbers import percent, ratio, rounded, scale_of, unscaled
+from tillroll.functions.numbers import percent, rank_key, ratio, rounded, scale_of, unscaled
 from tillroll.operators.quality import LINE_KEY
 from tillroll.operators.ranks import descending, rows_at_ranks, running_totals
 
@@ -35,8 +35,7 @@ def pareto(s: DataFrame, key: str, noun: str, cuts: Sequence[float], target: flo
     revenue are the last level.
     """
     entities = s.groupBy(key).agg(F.sum("Revenue").alias("revenue"))
-    amount = unscaled(F.col("revenue"), scale_of(entities, "revenue"))
-    levels = entities.groupBy(descending(amount).alias("value")).agg(
+    levels = entities.groupBy(descending(rank_key(entities, "revenue")).alias("value")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("revenue").alias("revenue")
     )
     running = running_totals(levels, "value", ["n", "revenue"]).select(

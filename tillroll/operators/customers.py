@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tillroll.functions.bands import ORDER_COUNT_TOPS, count_band, customer_type
 from tillroll.functions.calendar import month_number
 from tillroll.functions.metrics import BASE, details_for, sales_by
-from tillroll.functions.numbers import count_true, percent, ratio, rounded, scale_of, unscaled
+from tillroll.functions.numbers import count_true, percent, rank_key, ratio, rounded, unscaled
 from tillroll.operators.kpis import per_customer
 from tillroll.operators.ranks import descending, with_ntiles
 
@@ -92,7 +92,7 @@ def value_quantiles(s: DataFrame, n: int = 4, labels: Sequence[str] | None = Non
     if len(labels) != n:
         raise ValueError(f"{len(labels)} labels for {n} groups")
     customers = s.groupBy("CustomerID").agg(F.sum("Revenue").alias("revenue"))
-    order = [descending(unscaled(F.col("revenue"), scale_of(customers, "revenue"))), F.col("CustomerID")]
+    order = [descending(rank_key(customers, "revenue")), F.col("CustomerID")]
     tiles = (
         with_ntiles(customers, n, {"tile": order})
         .groupBy("tile")

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tillroll.functions.numbers import count_true, percent, ratio, rounded, scale_of, unscaled
+from tillroll.functions.numbers import count_true, percent, rank_key, ratio, rounded, scale_of
 from tillroll.functions.metrics import BASE, DISTINCT, measured, sales_by
 from tillroll.operators.ranks import rows_at_ranks
 
@@ -113,10 +113,10 @@ def _described(
     plain = plain.select(F.inline(F.array(*rows)))
 
     scales = {label: scale_of(df, c) for label, c in columns.items()}
-    values = [
-        F.struct(F.lit(label).alias("metric"), unscaled(F.col(c), scales[label]).alias("value"))
-        for label, c in columns.items()
-    ]
+    keys = {label: rank_key(df, c) for label, c in columns.items()}
+    if aggregated:  # sums may outgrow BIGINT
+        keys = {label: key.cast("decimal(38,0)") for label, key in keys.items()}
+    values = [F.struct(F.lit(label).alias("metric"), key.alias("value")) for label, key in keys.items()]
     ranked = df.select(F.inline(F.array(*values))).where(F.col("value").isNotNull())
     middle = rows_at_ranks(ranked, ["value"], MIDDLE, by=["metric"], merge_equal=aggregated)
     unit = F.create_map(*[F.lit(x) for label, scale in scales.items() for x in (label, 2 * 10**scale)])[F.col("metric")]

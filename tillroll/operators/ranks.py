@@ -10,19 +10,21 @@ recomputed task gives the same answer.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 LEADING_DIGITS = 4
 # Stand for NULL in an order key: below every real key where NULLs sort first, above where they sort last.
 LOWEST = -(9 * 10**18)
-HIGHEST = 9 * 10**18
+HIGHEST = Decimal(10**37)
 
 
 def leading_digits(x: Column, digits: int = LEADING_DIGITS) -> Column:
-    """Order-preserving bucket of a BIGINT: its length and its first digits, e.g. 1234567 -> 71234.
+    """Order-preserving bucket of a whole number: its length and its first digits, e.g. 1234567 -> 71234.
 
-    At most 9 * 10**(digits-1) buckets per power of ten, so at most some 170,000 per sign for 4 digits.
+    At most 9 * 10**(digits-1) buckets per power of ten, so at most some 170,000 per sign for 4 digits of a BIGINT, twice
+    as many of a DECIMAL(38,0).
     """
     text = F.abs(x).cast("string")
     size = F.length(text) * F.lit(10**digits) + F.substring(text, 1, digits).cast("int")
@@ -30,13 +32,13 @@ def leading_digits(x: Column, digits: int = LEADING_DIGITS) -> Column:
 
 
 def sort_key(x: Column) -> Column:
-    """A BIGINT order key in which NULL comes first."""
-    return F.coalesce(x.cast("bigint"), F.lit(LOWEST))
+    """An order key in which NULL comes first; numbers of 19 digits and more must not be NULL."""
+    return F.coalesce(x, F.lit(LOWEST))
 
 
 def descending(x: Column) -> Column:
-    """A BIGINT order key, largest value first and NULL last."""
-    return F.coalesce(-x.cast("bigint"), F.lit(HIGHEST))
+    """A DECIMAL(38,0) order key, largest value first and NULL last."""
+    return F.coalesce(-x.cast("decimal(38,0)"), F.lit(HIGHEST).cast("decimal(38,0)"))
 
 
 def rows_at_ranks(
@@ -49,7 +51,7 @@ def rows_at_ranks(
 ) -> DataFrame:
     """The rows at given 1-based ranks, per group ``by``: columns ``by``, ``target``, ``order``.
 
-    ``order`` lists non-null BIGINT columns, most significant first. ``targets`` names each wanted rank and computes it
+    ``order`` lists non-null columns of whole numbers, most significant first. ``targets`` names each wanted rank and computes it
     from n, the row count of its group. The first pass over ``df`` counts by the leading digits of the first column;
     each further pass looks only at the bucket found, counts it by the exact value of one column and the leading digits
     of the next, and so closes in on the row. Between passes only the targets (a handful of rows) are broadcast.
@@ -114,7 +116,7 @@ def ntile_ends(n_tiles: int) -> dict[str, Callable[[Column], Column]]:
 
 
 def with_ntiles(df: DataFrame, n_tiles: int, orders: Mapping[str, Sequence[Column]]) -> DataFrame:
-    """Add NTILE columns over the whole frame: ``orders`` maps each new column to its order (BIGINT columns, ascending).
+    """Add NTILE columns over the whole frame: ``orders`` maps each new column to its order (whole numbers, ascending).
 
     NTILE only needs the row that ends each tile. Those few rows are found by ``rows_at_ranks`` for all orders at once;
     the tile of a row is then the number of ends before it, a comparison within the row's own task.
@@ -145,7 +147,7 @@ def with_ntiles(df: DataFrame, n_tiles: int, orders: Mapping[str, Sequence[Colum
 
 
 def running_totals(df: DataFrame, value: str, totals: Sequence[str]) -> DataFrame:
-    """Running and overall sums over rows ordered by ``value``, a BIGINT column without repeated values.
+    """Running and overall sums over rows ordered by ``value``, a column of whole numbers without repeated values.
 
     Adds ``<t>_upto`` and ``<t>_all`` for each column in ``totals``. Buckets by leading digits are totalled first (a
     bounded frame, the only one ordered in a single task), then every bucket is accumulated in a task of its own from
