@@ -115,6 +115,9 @@ def measured(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "te
     # a window covers five words, or as many as lie before the next one
     steps = _neighbours(F.col("_p"), 1, F.size("_p"), lambda a, b: F.least(F.lit(WINDOW), b - a))
     covered = F.when(F.size("_p") > 0, F.aggregate(steps, F.lit(WINDOW), lambda total, x: total + x)).otherwise(0)
+    # a filter on the result must not be moved below these projections, where all of them would be worked out again
+    # inside it: it stays above an expression that depends on the row's place
+    covered = F.when(F.monotonically_increasing_id() >= 0, covered).otherwise(0)
     return rows.select(
         *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)],
         *[F.col(c).cast("bigint") for c in scalars],
