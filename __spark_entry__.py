@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import oracle
 from tillroll.operators import concentration, customers, kpis, markets, marts, products, quality, trends
 from tillroll.sources import star
-from tillroll.sources.files import as_report, prepare_sales
+from tillroll.sources.files import as_report, prepare_sales, rejected_lines
 
 try:  # the training-data operators, where they are installed
     import corpus_pipeline
@@ -85,6 +85,20 @@ def _fine_money(s: DataFrame) -> DataFrame:
     return s.withColumn("Revenue", fine.cast("decimal(18,4)"))
 
 
+def _spoilt(raw: DataFrame) -> DataFrame:
+    """Text lines of which some have no date, and some a price that is no number."""
+    return raw.withColumns(
+        {
+            "InvoiceDate": F.when(F.col("Quantity") == "13", "unknown").otherwise(F.col("InvoiceDate")),
+            "UnitPrice": F.when(F.col("Quantity") == "17", "n/a").otherwise(F.col("UnitPrice")),
+        }
+    )
+
+
+def _rejected(raw: DataFrame) -> DataFrame:
+    return rejected_lines(_spoilt(raw)).select("InvoiceNo", "StockCode", "Quantity", "InvoiceDate", "UnitPrice")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every operator on the test tables; a query joins only the dimensions whose columns it uses."""
 
@@ -121,6 +135,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     home = star.HOME
     return {
         "s2_prepare_sales": on(star.raw_lines, prepare_sales),
+        "s2_rejected_lines": on(star.raw_lines, _rejected),
         "q2_01_table_shape": on(dated, quality.table_shape),
         "q2_02_null_blank_counts": on(full, lambda s: quality.null_blank_counts(_codes_with_gaps(s))),
         "q2_03_duplicate_summary": on(full, quality.duplicate_summary),
@@ -163,8 +178,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q5_06_new_vs_returning": on(dated, customers.new_vs_returning),
         "q5_07_purchase_span": on(dated, customers.purchase_span),
         "q5_08_rfm": on(dated, customers.rfm),
+        "q5_08_rfm_snapshot": on(dated, lambda s: customers.rfm(s, snapshot=F.lit("2001-01-01").cast("date"))),
         "q5_09_rfm_summary": on(dated, lambda s: customers.rfm_summary(customers.rfm(s))),
         "q5_10_cohort_retention": on(dated, customers.cohort_retention),
+        "q5_10_cohort_retention_censored": on(dated, lambda s: customers.cohort_retention(s, censor=True)),
         "q6_01_top_products_by_revenue": on(named, products.top_products_by_revenue),
         "q6_02_top_products_by_quantity": on(named, products.top_products_by_quantity),
         "q6_03_top_products_by_orders": on(named_orders, products.top_products_by_orders),

@@ -264,6 +264,11 @@ def statements() -> dict[str, str]:
                  CAST(Revenue AS DECIMAL(18,4)) AS Revenue, Year, Quarter, MonthName, WeekdayName,
                  {iso('InvoiceDateTime')} AS InvoiceDateTime, {iso('InvoiceDay')} AS InvoiceDay, YearMonth, MonthNum,
                  HourOfDay FROM s"""),
+        "s2_rejected_lines": sales("""
+          SELECT InvoiceNo, StockCode, CAST(Quantity AS VARCHAR) AS Quantity,
+                 CASE WHEN Quantity = 13 THEN 'unknown' ELSE strftime(InvoiceDateTime, '%d-%m-%Y %H:%M') END AS InvoiceDate,
+                 CASE WHEN Quantity = 17 THEN 'n/a' ELSE CAST(UnitPrice AS VARCHAR) END AS UnitPrice
+          FROM s WHERE Quantity IN (13, 17)"""),
         "q2_01_table_shape": sales(f"""
           SELECT COUNT(*) AS total_rows, {ORDERS} AS distinct_invoices, {iso('MIN(InvoiceDateTime)')} AS first_transaction,
                  {iso('MAX(InvoiceDateTime)')} AS last_transaction,
@@ -443,6 +448,9 @@ def statements() -> dict[str, str]:
                  CAST(MAX(days) AS DOUBLE) AS max_days_active FROM sp"""),
         "q5_08_rfm": sales(f"""
           {RFM} SELECT CustomerID, recency_days, frequency, monetary, r_score, f_score, m_score, segment FROM rfm"""),
+        "q5_08_rfm_snapshot": sales(f"""
+          {RFM.replace("(SELECT MAX(InvoiceDay) FROM s)", "DATE '2001-01-01'")}
+          SELECT CustomerID, recency_days, frequency, monetary, r_score, f_score, m_score, segment FROM rfm"""),
         "q5_09_rfm_summary": sales(f"""
           {RFM}
           SELECT segment, COUNT(*) AS customers, {r(pct('COUNT(*)', '(SELECT COUNT(*) FROM rfm)'))} AS customer_share_pct,
@@ -461,6 +469,15 @@ def statements() -> dict[str, str]:
             )
             + " FROM activity GROUP BY first_month"
         ),
+        "q5_10_cohort_retention_censored": sales(
+            f"{FIRST} SELECT first_month AS cohort, {n('SUM(CAST(later = 0 AS INTEGER))')} AS cohort_size, "
+            + ", ".join(
+                f"CASE WHEN date_diff('month', CAST(first_month || '-01' AS DATE), (SELECT MAX(month) FROM bought)) >= {m}"
+                f" THEN {r(pct(f'SUM(CAST(later = {m} AS INTEGER))', 'SUM(CAST(later = 0 AS INTEGER))'), 1)} END AS m{m}_pct"
+                for m in (1, 2, 3, 6, 12)
+            )
+            + " FROM activity GROUP BY first_month"
+        ),
         "q6_01_top_products_by_revenue": top_products(
             f"{QTY} AS quantity, {ORDERS} AS orders, {REV} AS revenue, {ASP} AS avg_selling_price, {SHARE} AS revenue_share_pct",
             "revenue DESC",
