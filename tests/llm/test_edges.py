@@ -221,3 +221,29 @@ def test_main_text_of_a_page_with_everything_around_it():
     <aside><p>Other, things, to, read, here, and, there, and, so, on.</p></aside><footer>(c)</footer></body></html>"""
     expected = ["Title é", "First paragraph, with a link, and more.", "Second one, long enough, to count, as text."]
     assert html_extraction.extract(page).split("\n") == [*expected, "item one", "item two"]
+
+
+@pytest.mark.parametrize(
+    "attributes, left_out",
+    [
+        ('class="main-nav"', True),
+        ('class="ad-box wide"', True),
+        ('id="comments"', True),
+        ('class="commentList"', True),
+        ('class="related-posts"', True),
+        ('class="cookieNotice"', True),
+        ('class="entry has-sidebar"', False),
+        ('class="post comments-open"', False),
+        ('class="main-content"', False),
+        ('class="loaded shadow"', False),
+        ('class="post-header"', False),
+        ('class="site-header"', True),
+        ('role="navigation"', True),
+        ('style="display: none"', True),
+        ("hidden", True),
+        ("data-x=1", False),
+    ],
+)
+def test_elements_are_left_out_by_name(attributes, left_out):
+    page = f"<body><div><p>Some text, long enough.</p><div {attributes}><p>Other text, as long.</p></div></div></body>"
+    assert ("Other" not in html_extraction.extract(page)) == left_out

@@ -52,15 +52,22 @@ SKIPPED = RAW | set(
 SKIPPED_ROLES = set(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar note".split()
 )
-# parts of a class or id, between blanks, hyphens, underscores or case changes
+# last words of a class or id that name what is no main text …
 SKIPPED_NAMES = set(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promos promotion"
     " banner banners sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead topbar"
     " cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription"
-    " signup login share sharing social related recommended recommendations widget widgets comment comments disqus"
-    " respond reply replies pagination pager toolbar tags skip outbrain taboola hidden".split()
+    " signup login share sharing social related recommended recommendations widget widgets comment comments commentlist"
+    " disqus respond reply replies discussion responses pagination pager toolbar tags skip outbrain taboola hidden alert"
+    " copyright disclaimer".split()
 )
-# class or id words of the article itself outweigh the names above
+# … also with one of these behind them, but not behind one of those
+TAILS = set(
+    "wrapper wrap container box block blocks list section area inner bar panel links link button buttons message messages"
+    " form thread posts post articles stories items item content text unit slot body holder group".split()
+)
+MODIFIERS = set("has with no is without not".split())
+# words of the article itself
 KEPT_NAMES = set("article content main body post entry story text".split())
 POSITIVE = 25
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -90,13 +97,25 @@ def _described(tag: str, attributes: str) -> tuple[bool, int]:
         return True, 0
     if named.get("role", "").lower() in SKIPPED_ROLES:
         return True, 0
-    words = {w.lower() for w in _PART.findall(f"{named.get('class', '')} {named.get('id', '')}")}
-    kept = words & KEPT_NAMES or tag in ("article", "main", "body", "html")
-    if tag == "header" or words & SKIPPED_NAMES and not (kept and not words & {"comment", "comments", "ad", "ads"}):
-        return tag not in ("article", "main", "body", "html"), 0
-    if "header" in words and tag not in ("article", "main", "h1", "h2", "h3", "body"):
-        return not kept, 0
-    return False, bonus or (POSITIVE if words & KEPT_NAMES else 0)
+    names = [
+        [w.lower() for w in _PART.findall(name) if not w.isdigit()]
+        for name in f"{named.get('class', '')} {named.get('id', '')}".split()
+    ]
+    if tag in ("article", "main", "body", "html"):
+        return False, bonus
+    if any(map(_names_other, names)) or tag == "header":
+        return True, 0
+    words = {w for name in names for w in name}
+    if "header" in words:
+        return not words & KEPT_NAMES and tag != "h1", 0
+    return False, POSITIVE if words & KEPT_NAMES else 0
+
+
+def _names_other(words: list[str]) -> bool:
+    """Whether a class or id names something else than main text: "main-nav", "ad-box", but not "has-sidebar"."""
+    while len(words) > 1 and words[-1] in TAILS:
+        words = words[:-1]
+    return bool(words) and words[-1] in SKIPPED_NAMES and words[0] not in MODIFIERS
 
 
 def parse(page: str) -> Element:
