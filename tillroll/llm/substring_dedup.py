@@ -38,7 +38,7 @@ from tillroll.llm.fm_index import FMIndex
 WINDOW = 35
 GRAM = 8
 HOT = 50_000
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 18
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2**64 divided by the golden ratio, odd
 
 
