@@ -74,7 +74,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 22) ->
         column = batch.column(text)
         if not batch.num_rows:
             continue
-        offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+        kind = np.dtype(np.int64 if pa.types.is_large_string(column.type) else np.int32)
+        offsets = np.frombuffer(column.buffers()[1], kind, len(column) + 1, kind.itemsize * column.offset)
         at = 0
         while at < batch.num_rows:
             end = max(at + 1, int(np.searchsorted(offsets, int(offsets[at]) + most, side="right")) - 1)
