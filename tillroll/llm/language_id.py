@@ -24,7 +24,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 from tillroll.llm.common import slices
 
 BUCKETS = 1 << 13
-# rows of the learned table on which the classifiers are weighted
+# rows of the learned table on which the classifiers are weighted, and any that equal the last of them
 WEIGHTING_ROWS = 2_000
 AMBIGUOUS = 0.15
 UNKNOWN = "und"
@@ -138,8 +138,10 @@ def learn(labelled: DataFrame) -> Model:
     model = Model(languages, code, weights.astype(np.float32), np.full(code.shape, 1 / max(1, code.shape[1])))
     if len(languages) < 2:
         return model
-    # the sampled rows are decoded by tasks; only sums reach the driver
-    sample = labelled.orderBy(F.xxhash64("text", "lang")).limit(WEIGHTING_ROWS)
+    # rows up to the hash of the last sampled one; they are decoded where they are, and only sums reach the driver
+    place = F.xxhash64("text", "lang")
+    last = labelled.select(place.alias("place")).orderBy("place").limit(WEIGHTING_ROWS).agg(F.max("place")).first()[0]
+    sample = labelled.filter(place <= F.lit(last))
     shared = labelled.sparkSession.sparkContext.broadcast(model)
     rated = sample.mapInArrow(_rate(shared), "lang string, bit int, fits bigint, n bigint")
     rated = rated.groupBy("lang", "bit").agg(F.sum("fits").alias("fits"), F.sum("n").alias("n")).toPandas()
