@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillroll.llm.common import WORD, fresh, identity, join_grouped, repeated, saved, uniform
 
-CHUNK = 32_768
+CHUNK = 4_096
 MOST = 3
 
 
