@@ -95,7 +95,7 @@ def test_rules_judge_null_like_empty(spark):
     rows = {r["doc_id"]: r for r in rows}
     assert rows[3]["n_words"] == rows[4]["n_words"] == rows[5]["n_words"] == 0
     assert not rows[3]["kept"] and not rows[12]["kept"] and rows[1]["kept"]
-    assert rows[12]["n_repeat_words"] == 200 and rows[9]["word_chars"] == 21
+    assert rows[12]["n_repeat_words"] == 200 and rows[9]["word_chars"] == 22  # a no-break space is none
 
 
 def test_one_of_each_keeps_the_first(spark):
