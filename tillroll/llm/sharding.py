@@ -7,7 +7,7 @@ place every row exactly. Rows with the same first key column (a group, such as e
 group is larger than ``whole_share`` of a shard. Only Spark's own functions are used; the driver sees the boundaries and the sums
 of the ranges, whose number is a parameter.
 
-Defined cases: null keys come first; rows that are equal in every column get places of their own, split like others; a
+Defined cases: null keys come first; a null size counts as 0; rows that are equal in every column get places of their own, split like others; a
 row larger than a shard's share makes its shard larger; sizes that are all zero put everything into shard 0; an empty
 table gives an empty result; extra columns are kept whatever their names.
 """
@@ -71,7 +71,7 @@ def assign_shards(
     # the tie tells equal rows apart; it is fixed by writing the rows before anything depends on it
     tie = F.xxhash64(F.monotonically_increasing_id())
     parts = [c.alias(f"k{i}") for i, c in enumerate([*key, tie])]
-    keyed = rows.withColumns(dict(zip(fresh(rows, k, s), (F.struct(*parts), size.cast("bigint")))))
+    keyed = rows.withColumns(dict(zip(fresh(rows, k, s), (F.struct(*parts), F.coalesce(size, F.lit(0)).cast("bigint")))))
     keyed = saved(keyed.toDF(*inner, k, s), "keyed")
     kind = keyed.schema[k].dataType
 
