@@ -247,3 +247,40 @@ def test_main_text_of_a_page_with_everything_around_it():
 def test_elements_are_left_out_by_name(attributes, left_out):
     page = f"<body><div><p>Some text, long enough.</p><div {attributes}><p>Other text, as long.</p></div></div></body>"
     assert ("Other" not in html_extraction.extract(page)) == left_out
+
+
+LONG = "<p>A paragraph, long enough, that goes on, and on, with commas, as the first section of an article does.</p>" * 15
+LONG_TEXT = "\n".join(["A paragraph, long enough, that goes on, and on, with commas, as the first section of an article does."] * 15)
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        (  # sections, the second much shorter, and a title in a header
+            f"<header>Site</header><article><header><h1>Title</h1></header><section>{LONG}</section>"
+            "<section><h2>Second</h2><p>Short.</p></section></article><footer>end</footer>",
+            f"Title\n{LONG_TEXT}\nSecond\nShort.",
+        ),
+        (  # a title beside the container, and link lists without a name
+            f"<div><a href=1>one</a> <a href=2>two</a></div><h1>Title</h1><div class='article-body'>{LONG}</div>"
+            "<p>Last.</p><ul><li><a href=3>three</a><li><a href=4>four</a></ul>",
+            f"Title\n{LONG_TEXT}\nLast.",
+        ),
+        (  # lists, tables, quotes, code, figures and loose text beside the top section
+            f"<main><div><div><section>{LONG}</section><ul><li>item<li>item 2</ul></div>"
+            "<table><tr><td>a<td>b</table><blockquote>Quote</blockquote></div><pre>x = 1</pre>"
+            "<figure><img src=x><figcaption>Caption</figcaption></figure>Loose, <a href=1>linked</a> text</main>",
+            f"{LONG_TEXT}\nitem\nitem 2\na\nb\nQuote\nx = 1\nCaption\nLoose, linked text",
+        ),
+        (  # articles beside each other
+            f"<article>{LONG}</article><article><p>Small, but one, too.</p></article>",
+            f"{LONG_TEXT}\nSmall, but one, too.",
+        ),
+        (  # a page of links around a text keeps the text
+            f"<div>{LONG}</div>" + "<div><a href=1>a link that is as long as a line of a text is</a></div>" * 99,
+            LONG_TEXT,
+        ),
+    ],
+)
+def test_main_text_is_whole(page, expected):
+    assert html_extraction.extract(f"<html><head><title>T</title></head><body>{page}</body></html>") == expected

@@ -3,8 +3,10 @@
 A page is read once, tag by tag, into a tree; unclosed, stray and wrongly nested tags are taken as browsers take them, as
 far as text needs it. Elements that never hold main text (scripts, forms, menus, notices …) are left out by tag, role or
 name. Every paragraph gives points for its length and commas, discounted by its link density, to its parent and half of
-them to its grandparent. The container with the most points is kept, with those of its siblings that score well or
-read like prose, and the text of all blocks in them is returned in page order.
+them to its grandparent. From the container with the most points the way leads up to the main around it, or without one as
+far as the text is mostly prose, but at least to the outermost article. All that stands there is kept in page order, whatever
+its tag or length, but for what stands beside that way and is mostly links (headings stay). A header is the site's only outside of
+article and main.
 
 Pages are handled row by row in Arrow batches: no shuffle, and no limit on the size of a page.
 
@@ -70,25 +72,29 @@ MODIFIERS = set("has with no is without not".split())
 # words of the article itself
 KEPT_NAMES = set("article content main body post entry story text".split())
 POSITIVE = 25
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "children", "skipped", "score", "bonus")
+    __slots__ = ("tag", "parent", "children", "skipped", "bonus", "chars", "links", "commas", "all_chars", "all_links")
 
     def __init__(self, tag: str, parent: Element | None, skipped: bool = False, bonus: int = 0):
         self.tag, self.parent, self.skipped, self.bonus = tag, parent, skipped, bonus
         self.children: list[Element | str] = []
-        self.score = 0.0
+        # characters, characters in links and commas of what stands in the element itself, not in blocks below it
+        self.chars = self.links = self.commas = 0
+        # of all that is not left out
+        self.all_chars = self.all_links = 0
 
 
-def _described(tag: str, attributes: str) -> tuple[bool, int]:
-    """(left out, points) of an element by its tag and attributes."""
+def _described(tag: str, attributes: str, framed: bool = False) -> tuple[bool, int]:
+    """(left out, points) of an element by its tag and attributes. ``framed``: a header within an article or main."""
     if tag in SKIPPED:
         return True, 0
     bonus = POSITIVE if tag in ("article", "main") else 0
     if not attributes or attributes.isspace():
-        return tag == "header", bonus
+        return tag == "header" and not framed, bonus
     named: dict[str, str] = {}
     for key, value, bare in _ATTRIBUTE.findall(attributes):
         named.setdefault((key or bare).lower(), value.strip("\"'"))
@@ -103,11 +109,11 @@ def _described(tag: str, attributes: str) -> tuple[bool, int]:
     ]
     if tag in ("article", "main", "body", "html"):
         return False, bonus
-    if any(map(_names_other, names)) or tag == "header":
+    if any(map(_names_other, names)) or tag == "header" and not framed:
         return True, 0
     words = {w for name in names for w in name}
     if "header" in words:
-        return not words & KEPT_NAMES and tag != "h1", 0
+        return not words & KEPT_NAMES and tag != "h1" and not framed, 0
     return False, POSITIVE if words & KEPT_NAMES else 0
 
 
@@ -118,9 +124,16 @@ def _names_other(words: list[str]) -> bool:
     return bool(words) and words[-1] in SKIPPED_NAMES and words[0] not in MODIFIERS
 
 
+def _framed(element: Element | None) -> bool:
+    while element is not None and element.tag not in ("article", "main"):
+        element = element.parent
+    return element is not None
+
+
 def parse(page: str) -> Element:
     """The page's tree; text stands in it as it is in the page, character references included."""
     root = at = Element("#root", None)
+    elements = [root]
     position = 0
     while (m := _TOKEN.search(page, position)) is not None:
         if m.start() > position:
@@ -136,7 +149,8 @@ def parse(page: str) -> Element:
             if open_ is not root:
                 at = open_.parent
             elif tag in ("p", "br"):
-                at.children.append(Element(tag, at))
+                elements.append(Element(tag, at))
+                at.children.append(elements[-1])
             continue
         if tag in BLOCK and tag != "html":
             at = _without_open_p(at, root)
@@ -147,8 +161,9 @@ def parse(page: str) -> Element:
                 if open_.tag in ended:
                     at = open_.parent
                 open_ = open_.parent
-        own = Element(tag, at, *_described(tag, m[3]))
+        own = Element(tag, at, *_described(tag, m[3], tag == "header" and _framed(at)))
         at.children.append(own)
+        elements.append(own)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
@@ -157,6 +172,7 @@ def parse(page: str) -> Element:
             continue
         at = own
     at.children.append(page[position:])
+    _measure(elements)
     return root
 
 
@@ -170,21 +186,27 @@ def _without_open_p(at: Element, root: Element) -> Element:
     return at
 
 
-def _measure(element: Element) -> tuple[int, int, int]:
-    """(characters, characters in links, commas) of what stands in the element itself, not in blocks below it."""
-    chars = links = commas = 0
-    stack = [(child, False) for child in element.children]
-    while stack:
-        child, linked = stack.pop()
-        if isinstance(child, str):
-            text = _BLANK.sub(" ", child)
-            length = len(text) if text != " " else 0
-            chars += length
-            links += length if linked else 0
-            commas += text.count(",")
-        elif not child.skipped and child.tag not in BLOCK:
-            stack += [(c, linked or child.tag == "a") for c in child.children]
-    return chars, links, commas
+def _measure(elements: list[Element]) -> None:
+    """Counts the text of all elements, given parents first, from the innermost outwards."""
+    for element in reversed(elements):
+        for child in element.children:
+            if isinstance(child, str):
+                text = _BLANK.sub(" ", child)
+                length = len(text) if text != " " else 0
+                element.chars += length
+                element.all_chars += length
+                element.commas += text.count(",")
+        if element.tag == "a":
+            element.links, element.all_links = element.chars, element.all_chars
+        above = element.parent
+        if element.skipped or above is None:
+            continue
+        above.all_chars += element.all_chars
+        above.all_links += element.all_links
+        if element.tag not in BLOCK:
+            above.chars += element.chars
+            above.links += element.links
+            above.commas += element.commas
 
 
 def _blocks_of(root: Element) -> Iterator[Element]:
@@ -204,15 +226,12 @@ def _container(element: Element) -> Element | None:
 
 
 def best(root: Element) -> list[Element]:
-    """The container with the most points, and the siblings that belong to it; empty if no paragraph scores."""
+    """The frame around the container with the most points, without link lists; empty if no paragraph scores."""
     scored: dict[Element, float] = {}
     for element in _blocks_of(root):
-        if element.tag not in PARAGRAPH:
-            continue
-        chars, links, commas = _measure(element)
-        if chars < 2:
+        if element.tag not in PARAGRAPH or element.chars < 2:
             continue
-        points = (1 + commas + min(chars / 100, 3)) * (1 - links / chars)
+        points = (1 + element.commas + min(element.chars / 100, 3)) * (1 - element.links / element.chars)
         own = element if element.tag in CONTAINER else _container(element)
         if own is None:
             continue
@@ -222,20 +241,39 @@ def best(root: Element) -> list[Element]:
     scored = {e: s for e, s in scored.items() if e.tag not in ("html", "#root")}
     if not scored:
         return []
-    top = max(scored, key=scored.get)
-    # an article within the page's frame goes before the frame that got half its points
-    limit = max(10.0, scored[top] * 0.2)
-    out = []
-    for sibling in top.parent.children if top.tag != "body" else [top]:
-        if isinstance(sibling, str) or sibling.skipped:
+    path = [max(scored, key=scored.get)]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    outer = next((e for e in reversed(path) if e.tag in ("article", "main")), None)
+    around = outer is None
+    for frame, parent in zip(path, path[1:]):
+        if frame is outer and frame.tag == "main":
+            return [frame]
+        around |= frame is outer
+        if around and 2 * parent.all_links > parent.all_chars:
+            return [frame]
+        _leave_out_links(parent, frame)
+    return path[-1:]
+
+
+def _leave_out_links(parent: Element, frame: Element) -> None:
+    """Leaves out what is mostly links beside the frame; headings stay."""
+    children: list[Element | str] = []
+    run: list[Element | str] = []  # text and inline elements that follow each other are judged together
+    for child in [*parent.children, None]:
+        if child is not None and child is not frame and (isinstance(child, str) or child.tag not in BLOCK):
+            run.append(child)
             continue
-        if sibling is top or scored.get(sibling, 0) >= limit and sibling.tag == top.tag:
-            out.append(sibling)
-        elif sibling.tag in ("p", "h1", "h2", "h3"):
-            chars, links, _ = _measure(sibling)
-            if chars > 80 and links < 0.25 * chars:
-                out.append(sibling)
-    return out
+        inline = [c for c in run if not isinstance(c, str) and not c.skipped]
+        chars = sum(len(_BLANK.sub(" ", c)) for c in run if isinstance(c, str)) + sum(c.all_chars for c in inline)
+        if 2 * sum(c.all_links for c in inline) <= chars:
+            children += run
+        run = []
+        if child is not None:
+            if child is not frame and child.tag not in HEADINGS and 2 * child.all_links > child.all_chars:
+                child.skipped = True
+            children.append(child)
+    parent.children = children
 
 
 def _text(elements: list[Element]) -> str:
