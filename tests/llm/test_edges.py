@@ -284,3 +284,30 @@ LONG_TEXT = "\n".join(["A paragraph, long enough, that goes on, and on, with com
 )
 def test_main_text_is_whole(page, expected):
     assert html_extraction.extract(f"<html><head><title>T</title></head><body>{page}</body></html>") == expected
+
+
+@pytest.mark.parametrize("name", ["sidebar-left", "menu-primary", "ad-top", "nav-main", "widget", "cookie-notice"])
+def test_first_words_name_what_is_left_out(name):
+    page = f"<body><div><p>Some text, long enough.</p><div class='{name}'><p>Other text, as long.</p></div></div></body>"
+    assert html_extraction.extract(page) == "Some text, long enough."
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        (  # a page builder's parts
+            "<div class='elementor-element elementor-widget elementor-widget-heading'>"
+            "<div class='elementor-widget-container'><h1>Title</h1></div></div>"
+            "<div class='elementor-widget elementor-widget-text-editor'>"
+            f"<div class='elementor-widget-container'>{LONG}</div></div>"
+            "<div class='elementor-widget'><a href=1>one</a><a href=2>two</a></div>",
+            f"Title\n{LONG_TEXT}",
+        ),
+        (f"<div class='widget'><p>{'Prose, and more. ' * 20}</p></div>", ("Prose, and more. " * 20).strip()),
+        (f"<div class='sidebar-left'><article>{LONG}</article></div>", LONG_TEXT),  # a layout's name
+        ("<div class='comments'><p>Nothing else is here.</p></div>", "Nothing else is here."),
+        (f"<div class='nav-main'>{LONG}</div><div><p>Main text, short.</p></div>", "Main text, short."),
+    ],
+)
+def test_names_are_checked_against_the_text(page, expected):
+    assert html_extraction.extract(f"<html><body>{page}</body></html>") == expected

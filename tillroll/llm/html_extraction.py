@@ -2,7 +2,8 @@
 
 A page is read once, tag by tag, into a tree; unclosed, stray and wrongly nested tags are taken as browsers take them, as
 far as text needs it. Elements that never hold main text (scripts, forms, menus, notices …) are left out by tag, role or
-name. Every paragraph gives points for its length and commas, discounted by its link density, to its parent and half of
+name; a name that may stand for main text as well (widget, related …) counts only if the element's own text is no prose, and
+if nothing is left, names do not count. Every paragraph gives points for its length and commas, discounted by its link density, to its parent and half of
 them to its grandparent. From the container with the most points the way leads up to the main around it, or without one as
 far as the text is mostly prose, but at least to the outermost article. All that stands there is kept in page order, whatever
 its tag or length, but for what stands beside that way and is mostly links (headings stay). A header is the site's only outside of
@@ -54,14 +55,17 @@ SKIPPED = RAW | set(
 SKIPPED_ROLES = set(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar note".split()
 )
-# last words of a class or id that name what is no main text …
+# words of a class or id that name what is no main text, as the last or the first word …
 SKIPPED_NAMES = set(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promos promotion"
-    " banner banners sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead topbar"
-    " cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription"
-    " signup login share sharing social related recommended recommendations widget widgets comment comments commentlist"
-    " disqus respond reply replies discussion responses pagination pager toolbar tags skip outbrain taboola hidden alert"
-    " copyright disclaimer".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promos"
+    " sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead topbar cookie cookies consent"
+    " gdpr popup modal newsletter subscribe signup login comment comments commentlist disqus respond pagination pager toolbar"
+    " skip outbrain taboola hidden".split()
+)
+# … and what mostly is none, as the last word, unless the element holds prose
+WEAK_NAMES = set(
+    "widget widgets related recommended recommendations social share sharing tags banner banners notice notices notification"
+    " alert overlay promotion subscription reply replies discussion responses copyright disclaimer".split()
 )
 # … also with one of these behind them, but not behind one of those
 TAILS = set(
@@ -69,59 +73,88 @@ TAILS = set(
     " form thread posts post articles stories items item content text unit slot body holder group".split()
 )
 MODIFIERS = set("has with no is without not".split())
+# "comments-open" is a state of the article
+STATES = set("open opened closed off on enabled disabled none false free less".split())
 # words of the article itself
 KEPT_NAMES = set("article content main body post entry story text".split())
 POSITIVE = 25
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+# named for something else: left out in any case, without a title or article in it, without prose, if mostly links
+SURE, UNTITLED, UNLESS_PROSE, LINKED = 4, 3, 2, 1
+# characters outside links of a block of prose
+PROSE = 150
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "children", "skipped", "bonus", "chars", "links", "commas", "all_chars", "all_links")
+    __slots__ = ("tag", "parent", "children", "skipped", "bonus", "chars", "links", "commas")
+    __slots__ += ("all_chars", "all_links", "longest", "titled", "named")
 
-    def __init__(self, tag: str, parent: Element | None, skipped: bool = False, bonus: int = 0):
-        self.tag, self.parent, self.skipped, self.bonus = tag, parent, skipped, bonus
+    def __init__(self, tag: str, parent: Element | None, skipped: bool = False, bonus: int = 0, named: int = 0):
+        self.tag, self.parent, self.skipped, self.bonus, self.named = tag, parent, skipped, bonus, named
         self.children: list[Element | str] = []
         # characters, characters in links and commas of what stands in the element itself, not in blocks below it
         self.chars = self.links = self.commas = 0
-        # of all that is not left out
-        self.all_chars = self.all_links = 0
+        # of all that is not left out; the longest block's characters outside links; an article, main or h1 in it
+        self.all_chars = self.all_links = self.longest = 0
+        self.titled = False
 
 
-def _described(tag: str, attributes: str, framed: bool = False) -> tuple[bool, int]:
-    """(left out, points) of an element by its tag and attributes. ``framed``: a header within an article or main."""
+def _described(tag: str, attributes: str, framed: bool = False) -> tuple[bool, int, int]:
+    """(left out, points, named for something else) by tag and attributes. ``framed``: a header within an article or main."""
     if tag in SKIPPED:
-        return True, 0
+        return True, 0, 0
     bonus = POSITIVE if tag in ("article", "main") else 0
     if not attributes or attributes.isspace():
-        return tag == "header" and not framed, bonus
+        return tag == "header" and not framed, bonus, 0
     named: dict[str, str] = {}
     for key, value, bare in _ATTRIBUTE.findall(attributes):
         named.setdefault((key or bare).lower(), value.strip("\"'"))
     style = named.get("style", "").replace(" ", "").lower()
     if "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in style:
-        return True, 0
+        return True, 0, 0
     if named.get("role", "").lower() in SKIPPED_ROLES:
-        return True, 0
+        return True, 0, 0
     names = [
         [w.lower() for w in _PART.findall(name) if not w.isdigit()]
         for name in f"{named.get('class', '')} {named.get('id', '')}".split()
     ]
     if tag in ("article", "main", "body", "html"):
-        return False, bonus
-    if any(map(_names_other, names)) or tag == "header" and not framed:
-        return True, 0
+        return False, bonus, 0
+    if tag == "header" and not framed:
+        return True, 0, 0
+    other = max(map(_named_other, names), default=0)
     words = {w for name in names for w in name}
-    if "header" in words:
-        return not words & KEPT_NAMES and tag != "h1" and not framed, 0
-    return False, POSITIVE if words & KEPT_NAMES else 0
+    if "header" in words and other < UNTITLED:
+        return False, 0, SURE if not words & KEPT_NAMES and tag != "h1" and not framed else other
+    return False, POSITIVE if words & KEPT_NAMES and other < UNTITLED else 0, other
 
 
-def _names_other(words: list[str]) -> bool:
-    """Whether a class or id names something else than main text: "main-nav", "ad-box", but not "has-sidebar"."""
+def _named_other(words: list[str]) -> int:
+    """How surely a class or id names something else than main text: "main-nav", "ad-box", but not "has-sidebar"."""
     while len(words) > 1 and words[-1] in TAILS:
         words = words[:-1]
-    return bool(words) and words[-1] in SKIPPED_NAMES and words[0] not in MODIFIERS
+    if not words or words[0] in MODIFIERS:
+        return 0
+    if words[-1] in SKIPPED_NAMES:
+        return SURE
+    if words[0] in SKIPPED_NAMES and words[-1] not in STATES:
+        return UNTITLED
+    if words[-1] in WEAK_NAMES:
+        # "elementor-widget" is a part of any kind
+        return LINKED if words[-1] in ("widget", "widgets") and len(words) > 1 else UNLESS_PROSE
+    return 0
+
+
+def _left_out(element: Element) -> bool:
+    """Whether the element's own text confirms its name."""
+    if element.named in (0, SURE):
+        return element.named == SURE
+    if element.named == UNTITLED:
+        return not element.titled
+    if element.named == LINKED:
+        return 2 * element.all_links > element.all_chars
+    return 4 * element.all_links > element.all_chars or element.longest < PROSE
 
 
 def _framed(element: Element | None) -> bool:
@@ -130,8 +163,11 @@ def _framed(element: Element | None) -> bool:
     return element is not None
 
 
-def parse(page: str) -> Element:
-    """The page's tree; text stands in it as it is in the page, character references included."""
+def parse(page: str, by_name: bool = True) -> Element:
+    """The page's tree; text stands in it as it is in the page, character references included.
+
+    ``by_name=False``: no element is left out for its class or id.
+    """
     root = at = Element("#root", None)
     elements = [root]
     position = 0
@@ -172,7 +208,7 @@ def parse(page: str) -> Element:
             continue
         at = own
     at.children.append(page[position:])
-    _measure(elements)
+    _measure(elements, by_name)
     return root
 
 
@@ -186,8 +222,8 @@ def _without_open_p(at: Element, root: Element) -> Element:
     return at
 
 
-def _measure(elements: list[Element]) -> None:
-    """Counts the text of all elements, given parents first, from the innermost outwards."""
+def _measure(elements: list[Element], by_name: bool) -> None:
+    """Counts the text of all elements, given parents first, from the innermost outwards, and judges their names by it."""
     for element in reversed(elements):
         for child in element.children:
             if isinstance(child, str):
@@ -198,9 +234,13 @@ def _measure(elements: list[Element]) -> None:
                 element.commas += text.count(",")
         if element.tag == "a":
             element.links, element.all_links = element.chars, element.all_chars
+        element.longest = max(element.longest, element.chars - element.links)
+        element.skipped = element.skipped or by_name and _left_out(element)
         above = element.parent
         if element.skipped or above is None:
             continue
+        above.longest = max(above.longest, element.longest)
+        above.titled |= element.titled or element.tag in ("article", "main", "h1")
         above.all_chars += element.all_chars
         above.all_links += element.all_links
         if element.tag not in BLOCK:
@@ -312,8 +352,12 @@ def extract(page: str | None) -> str:
     """The page's main text: blocks in page order, one per line."""
     if not page:
         return ""
-    root = parse(page)
-    return _text(best(root) or [root])
+    for by_name in (True, False):
+        root = parse(page, by_name)
+        text = _text(best(root) or [root])
+        if text:
+            break
+    return text
 
 
 def with_main_text(pages: DataFrame, name: str = "main_text", source: str = "html") -> DataFrame:
