@@ -44,6 +44,20 @@ def test_awkward_documents_agree_with_sql(spark, tmp_path, name):
     assert differences(registry.queries()[name](spark, str(tmp_path)), con, registry.oracle_sql()[name]) == []
 
 
+def test_awkward_benchmark_agrees_with_sql(spark, tmp_path):
+    documents(spark).select("doc_id", "text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(1, prose(2, 60)), (2, "one two three"), (None, prose(2, 60)), (None, "Two, three"), (3, None), (4, "")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    bench.coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    name = "op2_decontamination"
+    assert differences(registry.queries()[name](spark, str(tmp_path)), con, registry.oracle_sql()[name]) == []
+    rows = {r["doc_id"]: r["n_items"] for r in registry.queries()[name](spark, str(tmp_path)).collect()}
+    assert rows[7] == rows[11] == 2
+
+
 def test_mix_meets_its_targets(spark):
     rows = [tuple(r) for r in queries.op1_mixing(spark, SF_DIR).collect()]
     docs = registry.queries()["op1_mixing"](spark, SF_DIR)

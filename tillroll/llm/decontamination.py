@@ -10,8 +10,9 @@ The windows are broadcast in blocks of at most ``block_words`` benchmark words;
 same shards, in the same pass over the documents. (An item larger than that makes a larger block.)
 
 Defined cases: null texts have no words and no spans; items without words are ignored; items that repeat are found
-under each of their ids, a null id is found but not named; repeated rows are searched each for itself; empty tables give
-empty results, or no spans; extra columns are kept, but for old ones named spans, items or n_words.
+under each of their ids, a null id is found but not named (``unnamed=True`` gives a null for it); repeated rows are
+searched each for itself; empty tables give empty results, or no spans; extra columns are kept, but for old ones named
+spans, items or n_words.
 """
 
 from __future__ import annotations
@@ -53,7 +54,8 @@ class Phrases:
     """The windows of some items, as rows of word numbers, one matrix per length."""
 
     def __init__(self, items: list[tuple[str | None, str]], window: int):
-        self.ids = sorted({i for i, _ in items if i is not None})
+        # a null id comes last
+        self.ids = sorted({i for i, _ in items}, key=lambda i: (i is None, i or ""))
         number = {item: i for i, item in enumerate(self.ids)}
         self.vocabulary: dict[bytes, int] = {}
         found: dict[int, dict[tuple[int, ...], set[int]]] = {}
@@ -62,7 +64,7 @@ class Phrases:
             length = min(window, len(symbols))
             for i in range(len(symbols) - length + 1 if symbols else 0):
                 of = found.setdefault(length, {}).setdefault(tuple(symbols[i : i + length]), set())
-                of.update({number[item]} if item is not None else ())
+                of.add(number[item])
         self.matrices = [(n, np.array(list(rows), np.int64), list(rows.values())) for n, rows in sorted(found.items())]
         self.shortest = min(found, default=0)
 
@@ -109,7 +111,7 @@ def occurrences(numbers: list[list[int]], phrases: Phrases) -> Iterator[tuple[in
             yield d, f, f + length - 1, items[w]
 
 
-def _search(phrases, text: str, again: bool, returned: list[str]):
+def _search(phrases, text: str, again: bool, returned: list[str], unnamed: bool):
     """Task: every batch of documents is a shard. ``again``: adds to what an earlier block found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +131,8 @@ def _search(phrases, text: str, again: bool, returned: list[str]):
             columns["n_words"] = pa.array(map(len, numbers), pa.int64())
             merged = [[{"first": a, "last": b} for a, b in _merged(row)] for row in spans]
             columns["spans"] = pa.array(merged, _SPANS)
-            columns["items"] = pa.array([sorted(row) for row in items], pa.list_(pa.string()))
+            named = [sorted(row - {None}) + [None] * (unnamed and None in row) for row in items]
+            columns["items"] = pa.array(named, pa.list_(pa.string()))
             yield pa.RecordBatch.from_pydict({name: columns[name] for name in returned})
 
     return run
@@ -142,10 +145,12 @@ def find_spans(
     window: int = WINDOW,
     block_words: int = BLOCK_WORDS,
     keep_text: bool = True,
+    unnamed: bool = False,
 ) -> DataFrame:
     """``docs`` with n_words, ``spans`` (merged occurrences, by first and last word) and ``items`` (ids as strings).
 
-    ``keep_text=False`` leaves the texts out of the result, which then need not travel back from Python.
+    ``keep_text=False`` leaves the texts out of the result, which then need not travel back from Python. ``unnamed=True``
+    ends ``items`` with a null if an item without an id was found.
     """
     spark = docs.sparkSession
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_words", "spans", "items")])
@@ -163,7 +168,7 @@ def find_spans(
         phrases = spark.sparkContext.broadcast(Phrases([tuple(row) for row in own.collect()], window))
         kept = [f for f in fields if keep_text or block < n - 1 or f.name != text]
         schema = StructType([*kept, *FOUND])
-        out = out.mapInArrow(_search(phrases, text, block > 0, schema.names), schema)
+        out = out.mapInArrow(_search(phrases, text, block > 0, schema.names, unnamed), schema)
     return out.toDF(*[c for i, c in enumerate(names) if keep_text or inner[i] != text], "n_words", "spans", "items")
 
 

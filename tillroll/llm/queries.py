@@ -33,7 +33,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontamination.find_spans(docs, _table(spark, sf_dir, "benchmark"), keep_text=False)
+    found = decontamination.find_spans(docs, _table(spark, sf_dir, "benchmark"), keep_text=False, unnamed=True)
     hit = decontamination.n_hit(F.col("spans"))
     return found.select(
         "doc_id",
