@@ -176,6 +176,14 @@ def test_near_links_of_chains_and_crowds(spark, chunk):
     assert sorted((str(a), b) for a, b in got) == sorted((str(d), c) for d, _, c in expected)
 
 
+@pytest.mark.parametrize("radius", [0, 1])
+def test_near_links_within_a_small_radius(spark, radius):
+    fps = [5, 4, 6, 1 << 40, (1 << 40) + 3, 3 << 40]
+    links = simhash.near_links(spark.createDataFrame([(f,) for f in fps], "fp bigint"), radius)
+    got = {frozenset(row) for row in links.collect()}
+    assert got == ({frozenset(p) for p in [(5, 4), (4, 6), (1 << 40, 3 << 40)]} if radius else set())
+
+
 def test_shards_are_even_whole_and_gapless(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     rows = queries.op5_sharding(spark, SF_DIR).collect()

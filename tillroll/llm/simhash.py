@@ -72,7 +72,7 @@ def with_fingerprint(docs: DataFrame, name: str, text: str = "text", shingle: in
 
 def _block_plan(n: int, radius: int) -> list[int]:
     """Bit widths of the blocks: enough blocks that a bucket of random fingerprints stays small at ``n`` of them."""
-    for blocks in range(radius + 2, 2 * radius + 1):
+    for blocks in range(radius + 2, max(2 * radius + 1, radius + 3)):
         if n >> (64 // blocks * (blocks - radius)) <= 4:
             break
     return [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
