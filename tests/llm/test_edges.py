@@ -126,6 +126,14 @@ def test_items_shorter_than_a_window(spark):
     assert none.filter(F.size("spans") > 0).count() == 0
 
 
+def test_short_items_are_cut_out_of_documents(spark):
+    texts = {1: "a b One, two three c", 2: "one two three", 3: "x one two one two three three y", 4: f"p {prose(2, 60)} q"}
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in texts.items()], "doc_id bigint, text string, n_chars bigint")
+    out = {r["doc_id"]: r for r in decontamination.clean_documents(docs, benchmark(spark)).collect()}
+    assert {i: r["text"].split() for i, r in out.items()} == {1: ["a", "b", "c"], 3: ["x", "y"]}
+    assert all(r["n_chars"] == len(r["text"]) for r in out.values())
+
+
 def test_mixing_of_empty_sources_and_repeats(spark):
     rows = [(1, "a b", "x"), (1, "a b", "x"), (2, None, "y"), (3, "c", None), (4, "d " * 8, "z")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from tillroll.llm.common import slices
@@ -138,6 +138,18 @@ def _search(phrases, text: str, again: bool, returned: list[str], unnamed: bool)
     return run
 
 
+def _blocks(spark: SparkSession, benchmark: DataFrame, window: int, block_words: int) -> tuple[int, Iterator]:
+    """Number of blocks, and the broadcast phrases of each."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text")).dropna(subset="text")
+    # every word but the last has a byte behind it that is none
+    size = items.agg(F.sum(F.octet_length("text") / 2)).first()[0] or 0
+    n = int(size // block_words) + 1
+    parts = (
+        items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == block) if n > 1 else items for block in range(n)
+    )
+    return n, (spark.sparkContext.broadcast(Phrases([tuple(row) for row in own.collect()], window)) for own in parts)
+
+
 def find_spans(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -159,13 +171,8 @@ def find_spans(
     out = docs.toDF(*inner)
     fields = out.schema.fields
     text = inner[names.index(text)]
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text")).dropna(subset="text")
-    # every word but the last has a byte behind it that is none
-    size = items.agg(F.sum(F.octet_length("text") / 2)).first()[0] or 0
-    n = int(size // block_words) + 1
-    for block in range(n):
-        own = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == block) if n > 1 else items
-        phrases = spark.sparkContext.broadcast(Phrases([tuple(row) for row in own.collect()], window))
+    n, blocks = _blocks(spark, benchmark, window, block_words)
+    for block, phrases in enumerate(blocks):
         kept = [f for f in fields if keep_text or block < n - 1 or f.name != text]
         schema = StructType([*kept, *FOUND])
         out = out.mapInArrow(_search(phrases, text, block > 0, schema.names, unnamed), schema)
@@ -200,9 +207,58 @@ def without_spans(found: DataFrame, text: str = "text") -> DataFrame:
     return found.withColumn(text, cut(F.col(text), F.col("spans"))).drop("n_words", "spans", "items")
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents, with all their columns, in which no window of the benchmark occurs."""
+def _cut(phrases, text: str, n_chars: str | None):
+    """Task: cuts the phrases out until none is left; a document that has no words then goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sought = phrases.value
+        get = sought.vocabulary.get
+        for batch in slices(batches, text, SHARD_BYTES):
+            texts = batch.column(text).to_pylist()
+            cut: set[int] = set()
+            rows = list(range(len(texts)))
+            while rows:  # a cut joins what stood around it
+                spans: dict[int, list[tuple[int, int]]] = {}
+                numbers = [[get(w, 0) for w in words(texts[i])] for i in rows]
+                for doc, first, last, _ in occurrences(numbers, sought):
+                    spans.setdefault(rows[doc], []).append((first, last))
+                for i, found in spans.items():
+                    texts[i] = cut_spans(texts[i], _merged(found))
+                rows = sorted(spans)
+                cut.update(rows)
+            columns = dict(zip(batch.schema.names, batch.columns))
+            columns[text] = pa.array(texts, columns[text].type)
+            if n_chars and cut:
+                old = columns[n_chars]
+                sizes = [len(texts[i]) if i in cut and v is not None else v for i, v in enumerate(old.to_pylist())]
+                columns[n_chars] = pa.array(sizes, old.type)
+            left = pa.array([i not in cut or bool(words(t)) for i, t in enumerate(texts)], pa.bool_())
+            yield pa.RecordBatch.from_pydict(columns).filter(left)
+
+    return run
+
+
+def clean_documents(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS
+) -> DataFrame:
+    """The documents, with all their columns, without the benchmark.
+
+    A document with a full window goes. Items shorter than a window are cut out of the others (an integer ``n_chars`` then
+    is the new length); only a document of which no word is left goes.
+    """
     names = docs.columns
     inner = [f"_clean{i}" for i in range(len(names))]
-    found = find_spans(docs.toDF(*inner), benchmark, inner[names.index("text")], window)
-    return found.filter(F.size("spans") == 0).select(*inner).toDF(*names)
+    rows = docs.toDF(*inner)
+    text = inner[names.index("text")]
+    n_words = F.size(F.regexp_extract_all("text", F.lit(r"[0-9A-Za-z[^\x00-\x7F]]+"), F.lit(0)))
+    found = find_spans(rows, benchmark.filter(n_words >= window), text, window, block_words)
+    out = found.filter(F.size("spans") == 0).select(*inner)
+    if not benchmark.filter((n_words > 0) & (n_words < window)).isEmpty():
+        integer = "n_chars" in names and dict(docs.dtypes)["n_chars"] in ("int", "bigint")
+        n_chars = inner[names.index("n_chars")] if integer else None
+        # full windows that a cut makes are cut as well; a second round meets what a later block's cut has joined
+        n, _ = _blocks(rows.sparkSession, benchmark, window, block_words)
+        for _ in range(1 if n == 1 else 2):
+            for phrases in _blocks(rows.sparkSession, benchmark, window, block_words)[1]:
+                out = out.mapInArrow(_cut(phrases, text, n_chars), rows.schema)
+    return out.toDF(*names)
