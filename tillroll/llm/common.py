@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +17,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 20_000
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="tillroll-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none, as in tests."""
+    """The folder that driver and executors share. Only a session within one process, as in tests, can do without."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tillroll-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _own_folder()
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -68,6 +76,13 @@ def identity(*parts: Column) -> list[Column]:
     return [F.xxhash64(F.lit("a"), *parts), F.xxhash64(F.lit("b"), *parts)]
 
 
+def usable(vector: Column, dim: int) -> Column:
+    """Vectors of ``dim`` components, none of them null, NaN or infinite; also false for a null vector."""
+    numbers = F.transform(vector, lambda x: x.cast("double"))
+    finite = F.forall(numbers, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
+    return F.coalesce((F.size(vector) == dim) & finite, F.lit(False))
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``most`` bytes of text (at least a row), so that a task's memory stays bounded."""
     for batch in batches:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillroll.llm import (
+    centroid_clustering,
     decontamination,
     html_extraction,
     language_id,
     mixing,
+    nearest_neighbours,
+    prefix_trie,
     quality_rules,
     sharding,
     simhash,
@@ -226,6 +230,121 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, centroids = centroid_clustering.clustered(_table(spark, sf_dir, "embeddings"))
+    digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids.tolist()]
+    digest = F.array(*[F.lit(d) for d in digests]) if digests else F.lit(None).cast("array<string>")
+    rows = centroid_clustering.with_inertia(rows).withColumnRenamed("id", "vec_id")
+    return rows.withColumn("centroid_sha256", F.get(digest, F.col("cluster")))
+
+
+def _op11_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every round measures all distances: a step for the assignment and one for the means, the same each time."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""apart{i} AS (
+    SELECT r, number, list_sum(list_transform(range(1, 65), lambda j: (v[j] - c[j]) * (v[j] - c[j])))::BIGINT AS d
+    FROM x, c{i}
+)""")
+        steps.append(f"""near{i} AS MATERIALIZED (
+    SELECT r, number, d FROM apart{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, number) = 1
+)""")
+        if i < rounds:
+            steps.append(f"""means{i} AS (
+    SELECT number, j, sum(v[j])::BIGINT AS total, count(*) AS n
+    FROM near{i} JOIN x USING (r), range(1, 65) AS t(j) GROUP BY number, j
+), c{i + 1} AS MATERIALIZED (
+    SELECT number, coalesce(m.c, c{i}.c) AS c FROM c{i} LEFT JOIN (
+        SELECT number, list((total - ((total % n) + n) % n) // n ORDER BY j) AS c FROM means{i} GROUP BY number
+    ) m USING (number)
+)""")
+    return f"""
+WITH x AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS v
+    FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64
+), c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR), v) - 1 AS number, v AS c
+    FROM x WHERE vec_id IS NOT NULL QUALIFY number < {k}
+), {", ".join(steps)}
+SELECT vec_id, number::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY number))::BIGINT AS cluster_inertia,
+    (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM near{rounds} JOIN x USING (r) JOIN c{rounds} USING (number)
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
+def rebuilt(conversations: DataFrame) -> DataFrame:
+    """Conversations whose first turns are those of the first conversation of their hundred.
+
+    The turns are dealt by that conversation, so its start meets the others without a further shuffle of theirs.
+    """
+    first = F.col("conv_id") - F.col("conv_id") % 100
+    own = prefix_trie.sequences(conversations.withColumn("first", first), "first")
+    heads = prefix_trie.sequences(conversations.filter(F.col("conv_id") % 100 == 0))
+    heads = heads.select(F.col("conv_id").alias("first"), F.slice("turns", 1, 5).alias("head"))
+    n = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).cast("int")
+    head = F.coalesce(F.slice("head", 1, n), F.expr("slice(turns, 1, 0)"))
+    rest = F.slice("turns", n + 1, F.size("turns"))
+    return own.join(heads, "first", "left").select("conv_id", F.concat(head, rest).alias("turns"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(rebuilt(_table(spark, sf_dir, "conversations")))
+
+
+OP12_SQL = r"""
+WITH ids AS (
+    SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL
+), crc AS (
+    -- CRC-32 of the decimal digits: eight shifts a byte, from all ones to its complement
+    SELECT c, xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda state, byte: list_reduce(
+            list_prepend(xor(state, byte), range(8)),
+            lambda s, i: xor(s >> 1, (s & 1) * 3988292384)
+        ))) % 6 AS h
+    FROM ids
+), turns AS (
+    SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))
+    ) AS i
+    FROM conversations WHERE conv_id IS NOT NULL
+), again AS (
+    SELECT crc.c, i, role, text FROM crc JOIN turns t ON t.c = crc.c - crc.c % 100 AND i <= h
+    UNION ALL
+    SELECT crc.c, i + 1000000000, role, text FROM crc JOIN turns t ON t.c = crc.c AND i > h
+), whole AS (
+    SELECT c, coalesce(list({'role': role, 'text': text} ORDER BY i) FILTER (i IS NOT NULL), []) AS s
+    FROM ids LEFT JOIN again USING (c) GROUP BY c
+), firsts AS (
+    SELECT c, len(s) AS n, d, s[1:d] AS p FROM whole, LATERAL (SELECT unnest(range(0, len(s) + 1)) AS d)
+), nodes AS MATERIALIZED (
+    SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d) AS ends,
+        CASE WHEN d > 0 THEN (count(*) - 1) * length(p[d].text) ELSE 0 END AS own_saved
+    FROM firsts GROUP BY p, d
+), children AS (
+    SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL
+), marked AS (
+    SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children USING (p, d)
+), below AS (
+    SELECT p[1:k] AS p, k AS d, sum(own_saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+    FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM marked) GROUP BY ALL
+)
+SELECT m.conv_id, m.d::BIGINT AS depth, u.conv_id AS parent_conv_id, m.n_convs::BIGINT AS n_convs,
+    m.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens,
+    sha256(coalesce(m.ends, '')) AS ends_sha256
+FROM marked m JOIN below USING (p, d) LEFT JOIN nodes u ON u.d = m.d - 1 AND u.p = m.p[1:m.d - 1]
+"""
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nearest_neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+    return found.select(*[F.col(c).cast("bigint") for c in ("query_id",)], "rank", F.col("vec_id").cast("bigint"), "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -238,8 +357,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_html_extraction": op9_html_extraction,
         "op10_url_filters": op10_url_filters,
+        "op11_clustering": op11_clustering,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_neighbours": op13_neighbours,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op7_quality_rules": OP7_SQL, "op8_substring_dedup": OP8_SQL}
+    return {
+        "op2_decontamination": OP2_SQL,
+        "op7_quality_rules": OP7_SQL,
+        "op8_substring_dedup": OP8_SQL,
+        "op11_clustering": OP11_SQL,
+        "op12_prefix_trie": OP12_SQL,
+    }
