@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import oracle
 from tillroll.operators import concentration, customers, kpis, markets, marts, products, quality, trends
+from tillroll.plans import grains
+from tillroll.plans.catalogue import marts_from, report_from
 from tillroll.sources import star
 from tillroll.sources.files import as_report, prepare_sales, rejected_lines
 
@@ -132,8 +134,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def line_numbers(s):
         return quality.duplicate_summary(s, ["l_orderkey", "l_linenumber"])
 
+    def shared(tag: str):
+        return lambda s: report_from(tag, grains.grains_of(s))
+
     home = star.HOME
     return {
+        "s7_grain_control": on(full, lambda s: grains.control(grains.grains_of(s))),
+        "s7_monthly_sales_from_sums": on(full, shared("Q4.1")),
+        "s7_headline_kpis_from_sums": on(full, shared("Q3.1")),
+        "s7_rfm_summary_from_sums": on(full, shared("Q5.9")),
+        "s7_top_products_by_orders_from_sums": on(full, shared("Q6.3")),
+        "s7_premium_products_from_sums": on(full, shared("Q6.9")),
+        "s7_country_league_from_sums": on(full, shared("Q7.1")),
+        "s7_mart_product_from_sums": on(full, lambda s: marts_from(grains.grains_of(s))["vw_product_summary"]),
         "s2_prepare_sales": on(star.raw_lines, prepare_sales),
         "s2_rejected_lines": on(star.raw_lines, _rejected),
         "q2_01_table_shape": on(dated, quality.table_shape),

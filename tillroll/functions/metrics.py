@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tillroll.functions.numbers import percent, ratio, rounded
+from tillroll.functions.numbers import count_true, percent, ratio, rounded
 
 SUMS = {"quantity": "Quantity", "revenue": "Revenue"}
 DISTINCT = {
@@ -26,13 +26,24 @@ DISTINCT = {
 # columns that (nearly always) have one value per order
 PER_ORDER = {"InvoiceNo", "CustomerID", "Country", "YearMonth", "InvoiceDay"}
 LINES = "line_items"
+# a frame of summed lines (see ``plans.grains``) holds their number in this column
+LINE_COUNT = "Lines"
 BASE = {
-    LINES: lambda: F.count(F.lit(1)),
     **{name: lambda c=c: F.count_distinct(c) for name, c in DISTINCT.items()},
     **{name: lambda c=c: F.sum(c) for name, c in SUMS.items()},
 }
 
 
+def n_lines(s: DataFrame) -> Column:
+    """How many sales lines a group has: rows, or the lines that went into rows already summed."""
+    return F.coalesce(F.sum(LINE_COUNT), F.lit(0)) if LINE_COUNT in s.columns else F.count(F.lit(1))
+
+
+def n_lines_where(s: DataFrame, condition: Column) -> Column:
+    """Lines for which the condition holds; NULL when it is NULL for every one, as for ``count_true``."""
+    return F.sum(condition.cast("int") * F.col(LINE_COUNT)) if LINE_COUNT in s.columns else count_true(condition)
+
+
 def _over_all(name: str) -> Column:
     return F.sum(name).over(Window.partitionBy())
 
@@ -84,14 +95,23 @@ def measured(s: DataFrame, keys: list[str], metrics: Iterable[str]) -> DataFrame
         grain = [*keys, *sorted(counted - set(keys))]
         partial = [F.sum(c).alias(c) for m, c in SUMS.items() if m in base]
         if LINES in base:
-            partial.append(F.count(F.lit(1)).alias("_lines"))
+            partial.append(n_lines(s).alias("_lines"))
         s = s.groupBy(*grain).agg(*partial) if partial else s.select(*grain).distinct()
         lines = F.coalesce(F.sum("_lines"), F.lit(0))
     else:
-        lines = BASE[LINES]()
+        lines = n_lines(s)
     return s.groupBy(*keys).agg(*[(lines if m == LINES else BASE[m]()).alias(m) for m in base])
 
 
+def occurring(s: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct values of ``keys``, grouped once for all that is derived from them.
+
+    Spark drops a plain ``distinct`` below a grouping that can do without, and so reads the lines anew for each of several
+    groupings. The (always true) condition on the number of lines keeps it, and its shuffle is then shared.
+    """
+    return s.groupBy(*keys).agg(n_lines(s).alias("_n")).where("_n > 0").drop("_n")
+
+
 def sales_by(s: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Named metrics per group of ``keys``, as reported.
 

@@ -14,7 +14,7 @@ from tillroll.functions.bands import (
     count_band,
     is_product,
 )
-from tillroll.functions.metrics import details_for
+from tillroll.functions.metrics import details_for, occurring
 from tillroll.functions.numbers import percent, rank_key, ratio, rounded, scale_of, unscaled
 from tillroll.operators.quality import LINE_KEY
 from tillroll.operators.ranks import descending, rows_at_ranks, running_totals
@@ -114,12 +114,15 @@ def basket_pairs(
     lines becomes a few bytes before the shuffle. Orders with equal sets are merged, and only then is a set taken
     apart into pairs, at most top_items * (top_items - 1) / 2 of them, which are summed in the same task.
     """
-    products = s if pattern is None else s.where(is_product(F.col("StockCode"), pattern))
+    # popularity, baskets and the number of orders all start from the products that each order holds
+    held = occurring(s, ["InvoiceNo", "StockCode"])
+    product = F.lit(True) if pattern is None else F.coalesce(is_product(F.col("StockCode"), pattern), F.lit(False))
     popular = (
-        products.groupBy("StockCode")
-        .agg(F.count_distinct("InvoiceNo").alias("orders"))
-        .orderBy(F.desc("orders"), "StockCode")
+        held.groupBy("StockCode")
+        .agg(F.count("InvoiceNo").alias("orders"))
+        .orderBy(product.desc(), F.desc("orders"), "StockCode")
         .limit(top_items)
+        .where(product)
     )
     words = [f"_w{i}" for i in range(-(-top_items // WORD))]
     # numbered in the order of the codes: of two items the smaller number has the smaller code
@@ -129,22 +132,21 @@ def basket_pairs(
         here = F.floor(F.col("item") / WORD) == word
         return F.when(here, F.expr(f"shiftleft(1L, item % {WORD})")).otherwise(F.lit(0).cast("bigint"))
 
-    item_bits = numbered.select("StockCode", *[bit_in(i).alias(w) for i, w in enumerate(words)])
+    item_bits = numbered.select(F.col("StockCode").alias("_code"), *[bit_in(i).alias(w) for i, w in enumerate(words)])
 
+    # joined null-safe, and lines without an order left out by the count: a filter would part the shared grouping
     baskets = (
-        s.where(F.col("InvoiceNo").isNotNull())
-        .select("InvoiceNo", "StockCode")
-        .join(F.broadcast(item_bits), "StockCode")
+        held.join(F.broadcast(item_bits), F.col("StockCode").eqNullSafe(F.col("_code")))
         .groupBy("InvoiceNo")
         .agg(*[F.bit_or(w).alias(w) for w in words])
         .groupBy(*words)
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count("InvoiceNo").alias("n"))
     )
 
-    def held(i: Column) -> Column:
+    def has(i: Column) -> Column:
         return F.getbit(F.get(F.array(*words), F.floor(i / WORD).cast("int")), i % WORD) == 1
 
-    items = F.filter(F.sequence(F.lit(0), F.lit(top_items - 1)), held)
+    items = F.filter(F.sequence(F.lit(0), F.lit(top_items - 1)), has)
     pairs = F.flatten(
         F.transform(
             F.col("items"),
@@ -158,13 +160,14 @@ def basket_pairs(
         .select("n", F.inline(pairs))
         .groupBy("a", "b")
         .agg(F.sum("n").alias("orders_together"))
+        .where("orders_together > 0")
     )
 
     # one row: number -> code and name of each popular product
     named = details_for(numbered.select("StockCode", "item"), s, ["StockCode"], {"description": F.min("Description")})
     entries = F.collect_list(F.struct("item", F.struct("StockCode", "description")))
     catalog = named.agg(F.map_from_entries(entries)).scalar()
-    all_orders = s.agg(F.count_distinct("InvoiceNo")).scalar()
+    all_orders = held.agg(F.count_distinct("InvoiceNo")).scalar()
     return (
         # numbers follow the order of the codes, so ties go by code
         counted.orderBy(F.desc("orders_together"), "a", "b")

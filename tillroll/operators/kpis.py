@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillroll.functions.numbers import count_true, percent, rank_key, ratio, rounded, scale_of
-from tillroll.functions.metrics import BASE, DISTINCT, measured, sales_by
+from tillroll.functions.metrics import BASE, DISTINCT, LINES, measured, n_lines, sales_by
 from tillroll.operators.ranks import rows_at_ranks
 
 MIDDLE = {"low": lambda n: F.floor((n + 1) / 2), "high": lambda n: F.floor((n + 2) / 2)}
@@ -27,7 +27,7 @@ def per_order(s: DataFrame) -> DataFrame:
     return s.groupBy("InvoiceNo").agg(
         F.sum("Revenue").alias("order_value"),
         F.sum("Quantity").alias("units"),
-        F.count(F.lit(1)).alias("lines"),
+        n_lines(s).alias("lines"),
     )
 
 
@@ -36,7 +36,8 @@ def headline_kpis(s: DataFrame, approx: bool = False) -> DataFrame:
     if approx:
         base = s.agg(
             *[F.approx_count_distinct(DISTINCT[m]).alias(m) for m in ("orders", "customers", "products", "countries")],
-            *[BASE[m]().alias(m) for m in ("line_items", "quantity", "revenue")],
+            n_lines(s).alias(LINES),
+            *[BASE[m]().alias(m) for m in ("quantity", "revenue")],
         )
     else:
         # products vary within an order: counted apart, so that everything else can be summed per order first

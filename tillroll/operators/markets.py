@@ -52,22 +52,27 @@ def top_products_per_country(
 ) -> DataFrame:
     """The n best products of each of the largest countries abroad.
 
-    The countries are found first, from sums that hardly need a shuffle; products are then totalled for their lines only.
+    The lines are summed once, by country and product: the countries' totals are sums of those groups, fees included.
     Spark turns the rank filter into a group limit that runs before the shuffle, so even one huge country sends n rows a
-    task.
+    task. Only the names of the best take a second look at the lines.
     """
-    totals = s.where(F.col("Country") != home).groupBy("Country").agg(F.sum("Revenue").alias("total"))
-    largest = totals.orderBy(F.desc("total"), "Country").limit(countries)
-    sales = (
-        s.where(is_product(F.col("StockCode"), pattern))
-        .join(F.broadcast(largest), "Country", "left_semi")
-        .groupBy("Country", "StockCode")
-        .agg(F.sum("Quantity").alias("quantity"), F.sum("Revenue").alias("sold"))
-    )
-    place = F.row_number().over(Window.partitionBy("Country").orderBy(F.desc("sold"), "StockCode"))
+    sums = s.groupBy("Country", "StockCode").agg(F.sum("Quantity").alias("quantity"), F.sum("Revenue").alias("sold"))
+    # what is not abroad, or no product, comes last: a filter would be moved below the grouping and part it in two
+    abroad = F.coalesce(F.col("Country") != home, F.lit(False))
+    totals = sums.groupBy("Country").agg(F.sum("sold").alias("total"), F.sum("quantity").alias("units"))
+    # the last column decides nothing; it keeps both sums, so that the groups are the same for both readers
+    largest = totals.orderBy(abroad.desc(), F.desc("total"), "Country", "units").limit(countries).where(abroad)
+    product = F.coalesce(is_product(F.col("StockCode"), pattern), F.lit(False))
+    place = F.row_number().over(Window.partitionBy("Country").orderBy(product.desc(), F.desc("sold"), "StockCode"))
     # at most countries * n rows
-    best = sales.withColumn("rank_in_country", place).where(F.col("rank_in_country") <= n)
-    named = details_for(best, s, ["Country", "StockCode"], {"description": F.min("Description")})
+    # null-safe and inner, so that Spark moves neither a filter nor the join below one reader's grouping only
+    same = F.col("Country").eqNullSafe(F.col("_country"))
+    best = (
+        sums.join(F.broadcast(largest.select(F.col("Country").alias("_country"))), same)
+        .withColumn("rank_in_country", place)
+        .where((F.col("rank_in_country") <= n) & product)
+    )
+    named = details_for(best.drop("_country"), s, ["Country", "StockCode"], {"description": F.min("Description")})
     revenue = rounded(F.col("sold")).alias("revenue")
     return named.select("Country", "rank_in_country", "StockCode", "description", "quantity", revenue).orderBy(
         "Country", "rank_in_country"

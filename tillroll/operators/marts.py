@@ -62,15 +62,16 @@ def register_views(spark: SparkSession, s: DataFrame, path: str | None = None) -
     return marts
 
 
-def write_marts(s: DataFrame, path: str) -> dict[str, DataFrame]:
+def write_marts(s: DataFrame | Mapping[str, DataFrame], path: str) -> dict[str, DataFrame]:
     """Write every mart to ``path/<view name>`` as Parquet, replacing what is there, and return them as stored.
 
     Views compute a mart again for every reader; stored ones are computed once. RFM, the dearest, pays off first.
+    ``s`` are the lines, or already the marts by name.
     """
-    spark = s.sparkSession
+    marts = s if isinstance(s, Mapping) else {name: build(s) for name, build in MARTS.items()}
+    spark = next(iter(marts.values())).sparkSession
     stored = {}
-    for name, build in MARTS.items():
-        mart = build(s)
+    for name, mart in marts.items():
         mart.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
         stored[name] = spark.read.schema(mart.schema).parquet(f"{path.rstrip('/')}/{name}")
     return stored

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillroll.functions.bands import PRICE_EDGES, PRODUCT_PATTERN, amount_band, code_type, is_product
-from tillroll.functions.metrics import BASE, details_for, sales_by
+from tillroll.functions.metrics import BASE, details_for, occurring, sales_by
 from tillroll.functions.numbers import percent, ratio, rounded
 
 
@@ -50,12 +50,22 @@ def top_products_by_quantity(s: DataFrame, k: int = 10, pattern: str = PRODUCT_P
 
 
 def top_products_by_orders(s: DataFrame, k: int = 10, pattern: str = PRODUCT_PATTERN) -> DataFrame:
-    """Products in most orders, with the share of all orders that contain them."""
-    totals = _products(s, pattern).groupBy("StockCode").agg(BASE["orders"]().alias("orders_containing"))
-    all_orders = s.agg(BASE["orders"]()).scalar()
+    """Products in most orders, with the share of all orders that contain them.
+
+    The lines are grouped once, by product, order and customer; popularity, the customers of the best and the number of
+    all orders come from those groups. Only the names of the best take a second look at the lines, at two of their columns.
+    """
+    sold = occurring(s, ["StockCode", "InvoiceNo", "CustomerID"])
+    totals = sold.groupBy("StockCode").agg(F.count_distinct("InvoiceNo").alias("orders_containing"))
+    # products are kept by the order, not by a filter, which would be moved below the grouping and part it in two
+    product = F.coalesce(is_product(F.col("StockCode"), pattern), F.lit(False))
+    order = [F.desc("orders_containing"), F.col("StockCode")]
+    top = totals.orderBy(product.desc(), *order).limit(k).where(product)
+    all_orders = sold.agg(BASE["orders"]()).scalar()
     penetration = rounded(percent(F.col("orders_containing"), all_orders)).alias("order_penetration_pct")
-    top = _ranked(s, totals, [F.desc("orders_containing")], k, customers=BASE["customers"]())
-    return top.select("StockCode", "description", "orders_containing", penetration, "customers")
+    buyers = details_for(top, sold, ["StockCode"], {"customers": BASE["customers"]()})
+    named = details_for(buyers, s, ["StockCode"], {"description": F.min("Description")}).orderBy(order)
+    return named.select("StockCode", "description", "orders_containing", penetration, "customers")
 
 
 def bottom_products(s: DataFrame, min_quantity: int = 10, k: int = 10, pattern: str = PRODUCT_PATTERN) -> DataFrame:
@@ -73,8 +83,11 @@ def top_products_by_countries(s: DataFrame, k: int = 10, pattern: str = PRODUCT_
 
 def premium_products(s: DataFrame, min_average=20, k: int = 10, pattern: str = PRODUCT_PATTERN) -> DataFrame:
     """Products whose price, averaged over lines, is at least ``min_average``, dearest first."""
+    # summed lines (``plans.grains``) bring sum and number of their prices
+    summed = "PricedLines" in s.columns
+    total, n = (F.sum("PriceSum"), F.sum("PricedLines")) if summed else (F.sum("UnitPrice"), F.count("UnitPrice"))
     totals = _products(s, pattern).groupBy("StockCode").agg(
-        ratio(F.sum("UnitPrice"), F.count("UnitPrice")).alias("price"),
+        ratio(total, n).alias("price"),
         F.sum("Quantity").alias("quantity"),
         rounded(F.sum("Revenue")).alias("revenue"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tillroll.functions.bands import PRODUCT_PATTERN, is_product
 from tillroll.functions.calendar import month_name, weekday_name
+from tillroll.functions.metrics import n_lines, n_lines_where
 from tillroll.functions.numbers import count_true, percent, rounded
 
 # Columns that make a line: two lines equal in all of them are duplicates.
@@ -30,7 +31,7 @@ BLANK_CHECKED = {
 def table_shape(s: DataFrame) -> DataFrame:
     """Rows, invoices, first and last transaction, inclusive number of days between them."""
     return s.agg(
-        F.count(F.lit(1)).alias("total_rows"),
+        n_lines(s).alias("total_rows"),
         F.count_distinct("InvoiceNo").alias("distinct_invoices"),
         F.min("InvoiceDateTime").alias("first_transaction"),
         F.max("InvoiceDateTime").alias("last_transaction"),
@@ -86,7 +87,7 @@ def sales_rules(tolerance: float = 0.01) -> dict[str, Column]:
 def rule_violations(s: DataFrame, rules: Mapping[str, Column] | None = None) -> DataFrame:
     """Lines breaking each rule, one column per rule."""
     rules = sales_rules() if rules is None else rules
-    return s.agg(*[count_true(broken).alias(name) for name, broken in rules.items()])
+    return s.agg(*[n_lines_where(s, broken).alias(name) for name, broken in rules.items()])
 
 
 def calendar_consistency(s: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ def nonconforming_codes(s: DataFrame, pattern: str = PRODUCT_PATTERN) -> DataFra
     described = (
         s.where(~is_product(F.col("StockCode"), pattern))
         .groupBy("StockCode", "Description")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("Quantity").alias("qty"), F.sum("Revenue").alias("revenue"))
+        .agg(n_lines(s).alias("n"), F.sum("Quantity").alias("qty"), F.sum("Revenue").alias("revenue"))
     )
     return (
         described.groupBy("StockCode")
@@ -208,7 +209,7 @@ def period_coverage(s: DataFrame) -> DataFrame:
     return (
         s.groupBy("YearMonth")
         .agg(
-            F.count(F.lit(1)).alias("rows_in_month"),
+            n_lines(s).alias("rows_in_month"),
             F.min("InvoiceDay").alias("first_day"),
             F.max("InvoiceDay").alias("last_day"),
             F.count_distinct("InvoiceDay").alias("active_days"),
@@ -221,6 +222,6 @@ def day_of_month_coverage(s: DataFrame) -> DataFrame:
     """Rows per day of the month and in how many months that day occurs."""
     return (
         s.groupBy(F.dayofmonth("InvoiceDay").alias("day_of_month"))
-        .agg(F.count(F.lit(1)).alias("rows_on_that_day"), F.count_distinct("YearMonth").alias("months_with_data"))
+        .agg(n_lines(s).alias("rows_on_that_day"), F.count_distinct("YearMonth").alias("months_with_data"))
         .orderBy("day_of_month")
     )
