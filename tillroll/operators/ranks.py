@@ -15,6 +15,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 LEADING_DIGITS = 4
+# rows looked at to part an order, and parts
+SAMPLE, SPLITTERS = 4096, 511
 # Stand for NULL in an order key: below every real key where NULLs sort first, above where they sort last.
 LOWEST = -(9 * 10**18)
 HIGHEST = Decimal(10**37)
@@ -118,8 +120,12 @@ def ntile_ends(n_tiles: int) -> dict[str, Callable[[Column], Column]]:
 def with_ntiles(df: DataFrame, n_tiles: int, orders: Mapping[str, Sequence[Column]]) -> DataFrame:
     """Add NTILE columns over the whole frame: ``orders`` maps each new column to its order (whole numbers, ascending).
 
-    NTILE only needs the row that ends each tile. Those few rows are found by ``rows_at_ranks`` for all orders at once;
-    the tile of a row is then the number of ends before it, a comparison within the row's own task.
+    NTILE only needs the row that ends each tile; the tile of a row is then the number of ends before it, a comparison
+    within the row's own task. The ends of all orders are found together in two passes over ``df``. A sample of bounded
+    size gives splitters, whole keys at even distances; the first pass counts the rows between any two of them, which
+    tells exactly between which two an end lies and at which place there. The second pass sorts only those rows, one
+    N / ``SPLITTERS`` th of all for each end. Each order must end in a column that makes its keys unique: then equal values of the
+    columns before it do not gather anywhere. The sample decides how even the parts are, never the result.
     """
     width = max(len(cols) for cols in orders.values())
     slots = [f"_k{i}" for i in range(width)]
@@ -129,12 +135,39 @@ def with_ntiles(df: DataFrame, n_tiles: int, orders: Mapping[str, Sequence[Colum
         padded = [*[F.lit(0).cast("bigint")] * (width - len(cols)), *map(sort_key, cols)]
         return [c.alias(slot) for c, slot in zip(padded, slots)]
 
-    keys = F.array(*[F.struct(F.lit(name).alias("_order"), *key(cols)) for name, cols in orders.items()])
+    keys = F.array(*[F.struct(F.lit(name).alias("_order"), F.struct(*key(cols)).alias("_key")) for name, cols in orders.items()])
     rows = df.select(F.inline(keys))
-    # the orders end in identifiers, so there are no equal rows to be merged
-    ends = rows_at_ranks(rows, slots, ntile_ends(n_tiles), by=["_order"], finer_last=True)
-    # one row: the ends of every order, n_tiles - 1 each
-    ends = ends.groupBy("_order").agg(F.collect_list(F.struct(*slots)).alias("ends"))
+
+    # one row: the splitters of every order
+    sample = df.select(keys.alias("_keys")).orderBy(F.xxhash64("_keys")).limit(SAMPLE).select(F.inline("_keys"))
+    sorted_keys = F.sort_array(F.collect_list("_key"))
+    every = F.greatest(F.lit(1), F.ceil(F.size("_all") / SPLITTERS))
+    even = sample.groupBy("_order").agg(sorted_keys.alias("_all"))
+    even = even.select("_order", F.filter("_all", lambda k, i: (i + 1) % every == 0).alias("_splitters"))
+    splitters = even.agg(F.map_from_entries(F.collect_list(F.struct("_order", "_splitters")))).scalar()
+
+    # the number of splitters below a key, by halving: a column for each step, as a loop over an array is not compiled
+    parted = rows.withColumns({"_splitters": splitters[F.col("_order")], "_part": F.lit(0)})
+    for step in (1 << i for i in reversed(range(SPLITTERS.bit_length()))):
+        further = F.get(F.col("_splitters"), F.col("_part") + (step - 1)) < F.col("_key")
+        parted = parted.withColumn("_part", F.col("_part") + F.when(further, step).otherwise(0))
+    parted = parted.drop("_splitters")
+
+    in_order, of_order = Window.partitionBy("_order").orderBy("_part"), Window.partitionBy("_order")
+    wanted = F.array(
+        *[F.struct(F.lit(t).alias("_tile"), rank(F.col("_n")).cast("bigint").alias("rank")) for t, rank in ntile_ends(n_tiles).items()]
+    )
+    counted = (
+        parted.groupBy("_order", "_part")
+        .agg(F.count(F.lit(1)).alias("cnt"))
+        .withColumns({"upto": F.sum("cnt").over(in_order), "_n": F.sum("cnt").over(of_order)})
+        .select("_order", "_part", "cnt", "upto", F.inline(wanted))
+    )
+    found = _holding_rank(counted, ["_order", "_part", "_tile"])
+    # at most n_tiles - 1 rows for each order, and of the second pass as many parts
+    place = F.row_number().over(Window.partitionBy("_order", "_tile").orderBy("_key"))
+    ends = parted.join(F.broadcast(found), ["_order", "_part"]).withColumn("place", place).where("place = rank")
+    ends = ends.groupBy("_order").agg(F.collect_list("_key").alias("ends"))
     ends = ends.agg(F.map_from_entries(F.collect_list(F.struct("_order", "ends"))).alias("ends")).scalar()
 
     df = df.withColumn("_ends", ends)
