@@ -8,7 +8,8 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import oracle
-from tillroll.operators import concentration, customers, kpis, markets, marts, products, quality, trends
+from tillroll.operators import concentration, customers, itemsets, kpis, markets, marts, products, quality, rollups, trends
+from tillroll.functions.metrics import measured
 from tillroll.plans import grains
 from tillroll.plans.catalogue import marts_from, report_from
 from tillroll.sources import star
@@ -87,6 +88,10 @@ def _fine_money(s: DataFrame) -> DataFrame:
     return s.withColumn("Revenue", fine.cast("decimal(18,4)"))
 
 
+def _set_texts(sets: DataFrame) -> DataFrame:
+    return sets.withColumn("items", F.concat_ws(" + ", "items"))
+
+
 def _spoilt(raw: DataFrame) -> DataFrame:
     """Text lines of which some have no date, and some a price that is no number."""
     return raw.withColumns(
@@ -137,8 +142,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def shared(tag: str):
         return lambda s: report_from(tag, grains.grains_of(s))
 
+    def rolled(mart, roll, keys: list[str]):
+        """Sums and counts of coarser groups from a sketched mart, beside the exact counts from the lines."""
+
+        def query(s: DataFrame) -> DataFrame:
+            counted = ["orders", "customers", "products", *([] if mart is rollups.mart_country_sketched else ["countries"])]
+            split = s.withColumn("market", F.when(F.col("Country") == star.HOME, star.HOME).otherwise("International"))
+            return rollups.checked(roll(mart(s)), measured(split, keys, counted), keys)
+
+        return query
+
     home = star.HOME
     return {
+        "q9_01_year_from_months": on(full, rolled(rollups.mart_monthly_sketched, rollups.by_year, ["Year"])),
+        "q9_01_quarter_from_months": on(full, rolled(rollups.mart_monthly_sketched, rollups.by_quarter, ["Year", "Quarter"])),
+        "q3_01_totals_from_months": on(full, rolled(rollups.mart_monthly_sketched, rollups.rolled_up, [])),
+        "q9_04_market_from_countries": on(
+            full, rolled(rollups.mart_country_sketched, lambda m: rollups.by_market(m, star.HOME), ["market"])
+        ),
+        "q5_10_purchase_gaps": on(dated, customers.purchase_gaps),
         "s7_grain_control": on(full, lambda s: grains.control(grains.grains_of(s))),
         "s7_monthly_sales_from_sums": on(full, shared("Q4.1")),
         "s7_headline_kpis_from_sums": on(full, shared("Q3.1")),
@@ -216,6 +238,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q8_03_basket_size_bands": on(plain, lambda s: concentration.basket_size_bands(s, BASKET_TOPS)),
         "q8_04_basket_pairs": on(named, concentration.basket_pairs),
         "q8_04_brand_pairs": on(_brands, lambda s: concentration.basket_pairs(s, pattern=None)),
+        "q8_04_frequent_sets": on(_brands, lambda s: _set_texts(itemsets.frequent_itemsets(s, 0.006, 3, None))),
+        "q8_04_frequent_product_sets": on(plain, lambda s: _set_texts(itemsets.frequent_itemsets(s, 0.0001, 3))),
         "q8_05_tukey_upper": on(star.event_lines, concentration.tukey_upper),
         "q8_05_tukey_upper_lines": on(plain, concentration.tukey_upper),
         "q8_06_largest_lines": on(full, concentration.largest_lines),

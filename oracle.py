@@ -278,6 +278,29 @@ def statements() -> dict[str, str]:
     return {"s7_grain_control": control(), **{name: found[other] for name, other in again.items()}, **found}
 
 
+def frequent(code: str, where: str, share: str) -> str:
+    """Pairs and triples by self joins of the orders' distinct codes; support as a share of all orders."""
+    return sales(f"""
+      l AS (SELECT DISTINCT InvoiceNo AS o, {code} AS code FROM s WHERE {where}),
+      n AS (SELECT COUNT(DISTINCT InvoiceNo) AS n FROM s),
+      two AS (SELECT a.o, a.code AS a, b.code AS b FROM l a JOIN l b ON a.o = b.o AND a.code < b.code),
+      sets AS (
+        SELECT a || ' + ' || b AS items, 2 AS size, COUNT(*) AS orders FROM two GROUP BY a, b
+        UNION ALL
+        SELECT a || ' + ' || b || ' + ' || code, 3, COUNT(*) FROM two JOIN l ON l.o = two.o AND code > b GROUP BY a, b, code)
+      SELECT items, size, orders, {r(pct('orders', 'n'))} AS support_pct FROM sets, n WHERE orders >= n * {share}""")
+
+
+def rolled(keys: str, counted: str) -> str:
+    """Exact counts; the estimates beside them must keep within their error."""
+    columns = {"orders": "InvoiceNo", "customers": "CustomerID", "products": "StockCode", "countries": "Country"}
+    counts = ", ".join(f"COUNT(DISTINCT {columns[m]}) AS {m}" for m in counted.split())
+    within = ", ".join(f"TRUE AS {m}_within" for m in counted.split())
+    lead = f"{keys}, " if keys else ""
+    group = " GROUP BY " + ", ".join(str(i + 1) for i in range(len(keys.split(", ")))) if keys else ""
+    return sales(f"SELECT {lead}COUNT(*) AS line_items, {QTY} AS quantity, {REV} AS revenue, {counts}, {within} FROM s{group}")
+
+
 def _statements() -> dict[str, str]:
     key = "InvoiceNo, StockCode, Description, Quantity, InvoiceDateTime, UnitPrice, CustomerID, Country"
 
@@ -509,6 +532,18 @@ def _statements() -> dict[str, str]:
             )
             + " FROM activity GROUP BY first_month"
         ),
+        "q9_01_year_from_months": rolled("Year", "orders customers products countries"),
+        "q9_01_quarter_from_months": rolled("Year, Quarter", "orders customers products countries"),
+        "q3_01_totals_from_months": rolled("", "orders customers products countries"),
+        "q9_04_market_from_countries": rolled(
+            f"CASE WHEN Country = '{HOME}' THEN '{HOME}' ELSE 'International' END AS market", "orders customers products"
+        ),
+        "q5_10_purchase_gaps": sales("""
+          bought AS (SELECT DISTINCT CustomerID, date_trunc('month', InvoiceDay) AS month FROM s WHERE CustomerID IS NOT NULL),
+          gaps AS (SELECT CustomerID, CAST(date_diff('month', lag(month) OVER (PARTITION BY CustomerID ORDER BY month), month)
+                   AS INTEGER) AS gap_months FROM bought)
+          SELECT gap_months, COUNT(*) AS gaps, COUNT(DISTINCT CustomerID) AS customers FROM gaps
+          WHERE gap_months IS NOT NULL GROUP BY gap_months"""),
         "q6_01_top_products_by_revenue": top_products(
             f"{QTY} AS quantity, {ORDERS} AS orders, {REV} AS revenue, {ASP} AS avg_selling_price, {SHARE} AS revenue_share_pct",
             "revenue DESC",
@@ -607,6 +642,8 @@ def _statements() -> dict[str, str]:
           FROM b GROUP BY 1"""),
         "q8_04_basket_pairs": pairs("StockCode", "Description", "regexp_matches(code, '^[0-9]{5}')"),
         "q8_04_brand_pairs": pairs("Brand", "upper(Brand)", "true"),
+        "q8_04_frequent_sets": frequent("Brand", "true", "0.006"),
+        "q8_04_frequent_product_sets": frequent("StockCode", PRODUCT, "0.0001"),
         "q8_05_tukey_upper": events(tukey()),
         "q8_05_tukey_upper_lines": sales(tukey()),
         "q8_06_largest_lines": sales(f"""

@@ -35,6 +35,13 @@ def year_month(day: Column) -> Column:
     return F.concat(F.year(day).cast("string"), F.when(month < 10, "-0").otherwise("-"), month.cast("string"))
 
 
+def month_label(number: Column) -> Column:
+    """'yyyy-MM' of a number of months since year 0."""
+    month = F.pmod(number - 1, F.lit(12)) + 1
+    year = F.floor((number - 1) / 12).cast("string")
+    return F.concat(F.lpad(year, 4, "0"), F.when(month < 10, "-0").otherwise("-"), month.cast("string"))
+
+
 def month_number(yyyy_mm: Column) -> Column:
     """Months since year 0 of a 'yyyy-MM' text, so that differences are whole months."""
     return F.substring(yyyy_mm, 1, 4).cast("int") * 12 + F.substring(yyyy_mm, 6, 2).cast("int")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillroll.functions.bands import ORDER_COUNT_TOPS, count_band, customer_type
-from tillroll.functions.calendar import month_number
+from tillroll.functions.calendar import month_label, month_number
 from tillroll.functions.metrics import BASE, details_for, sales_by
 from tillroll.functions.numbers import count_true, percent, rank_key, ratio, rounded, unscaled
 from tillroll.operators.kpis import per_customer
@@ -31,6 +31,10 @@ RFM_SEGMENTS = (
 )
 RFM_REST = "Lost / Hibernating"
 
+# months per 64-bit word of a customer's activity, and the months there is room for
+WORD = 62
+SINCE, UNTIL = "1990-01", "2030-12"
+
 
 def _share_of_all(name: str) -> Column:
     """A grouped amount as percentage of its sum over the (few) groups."""
@@ -135,25 +139,40 @@ def repeat_vs_onetime(s: DataFrame) -> DataFrame:
     ).orderBy("customer_type")
 
 
-def active_months(s: DataFrame) -> DataFrame:
-    """One row per customer and month with sales, with the customer's first month.
+def active_months(s: DataFrame, since: str = SINCE, until: str = UNTIL) -> DataFrame:
+    """(CustomerID, months): the months with sales of every customer, as sorted numbers (``month_number``).
 
-    The distinct step runs on (customer, month), so a customer with a third of all lines is reduced in every task before
-    the shuffle; the window then sees at most one row per month and customer.
+    A month is a bit of one of a few 64-bit words, or-ed together in every task: one row per customer and task is shuffled,
+    however many lines or months the customer has. A month before ``since`` or after ``until`` raises an error.
     """
-    first = F.min("YearMonth").over(Window.partitionBy("CustomerID"))
+    first, last = (12 * int(x[:4]) + int(x[5:]) for x in (since, until))
+    n_words = -(-(last - first + 1) // WORD)
     known = s.where(F.col("CustomerID").isNotNull() & F.col("YearMonth").isNotNull())
-    return known.select("CustomerID", "YearMonth").distinct().withColumn("first_month", first)
+    at = month_number(F.col("YearMonth")) - first
+    beyond = F.raise_error(F.concat(F.lit(f"not from {since} to {until}: "), F.col("YearMonth"))).cast("int")
+    placed = known.select("CustomerID", F.when(at.between(0, last - first), at).otherwise(beyond).alias("_at"))
+    here, bit = F.floor(F.col("_at") / WORD), F.expr(f"shiftleft(1L, _at % {WORD})")
+    words = placed.groupBy("CustomerID").agg(
+        *[F.bit_or(F.when(here == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"_w{i}") for i in range(n_words)]
+    )
+
+    def months_of(i: int) -> Column:
+        word = F.col(f"_w{i}")
+        start = first + WORD * i
+        bits = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda b: F.getbit(word, b) == 1)
+        return F.when(word != 0, F.transform(bits, lambda b: b + start)).otherwise(F.array().cast("array<int>"))
+
+    return words.select("CustomerID", F.concat(*[months_of(i) for i in range(n_words)]).alias("months"))
 
 
 def new_vs_returning(s: DataFrame) -> DataFrame:
     """Active customers of every month: bought for the first time, or before."""
-    returning = count_true(F.col("YearMonth") > F.col("first_month"))
+    active = active_months(s).select(F.col("months")[0].alias("first"), F.explode("months").alias("month"))
+    returning = count_true(F.col("month") > F.col("first"))
     return (
-        active_months(s)
-        .groupBy("YearMonth")
+        active.groupBy(month_label(F.col("month")).alias("YearMonth"))
         .agg(
-            count_true(F.col("YearMonth") == F.col("first_month")).alias("new_customers"),
+            count_true(F.col("month") == F.col("first")).alias("new_customers"),
             returning.alias("returning_customers"),
             F.count(F.lit(1)).alias("active_customers"),
             rounded(percent(returning, F.count(F.lit(1)))).alias("returning_pct"),
@@ -162,6 +181,19 @@ def new_vs_returning(s: DataFrame) -> DataFrame:
     )
 
 
+def purchase_gaps(s: DataFrame) -> DataFrame:
+    """How many months lie between a customer's active months: gaps of each length, and customers who have one."""
+    gaps = F.transform(F.col("months"), lambda m, i: m - F.get(F.col("months"), i - 1))
+    lengths = active_months(s).select(F.slice(gaps, 2, F.size("months")).alias("gaps"))
+    each = lengths.select(F.explode(F.array_distinct("gaps")).alias("gap_months"), "gaps")
+    times = F.size(F.filter("gaps", lambda g: g == F.col("gap_months")))
+    return (
+        each.groupBy("gap_months")
+        .agg(F.sum(times).alias("gaps"), F.count(F.lit(1)).alias("customers"))
+        .orderBy("gap_months")
+    )
+
+
 def purchase_span(s: DataFrame) -> DataFrame:
     """Days between first and last purchase of customers with several orders, and the mean gap between orders."""
     spans = (
@@ -266,10 +298,14 @@ def cohort_retention(s: DataFrame, offsets: Sequence[int] = (1, 2, 3, 6, 12), ce
 
     Months after the end of the data count as 0, or as NULL with ``censor``.
     """
-    index = month_number(F.col("YearMonth")) - month_number(F.col("first_month"))
-    activity = active_months(s).select(F.col("first_month").alias("cohort"), index.alias("later"))
-    counted = activity.groupBy("cohort").agg(
-        *[count_true(F.col("later") == m).alias(f"_m{m}") for m in (0, *offsets)], F.max("later").alias("_seen")
+    months, first = F.col("months"), F.col("months")[0]
+    counted = (
+        active_months(s)
+        .groupBy(month_label(first).alias("cohort"))
+        .agg(
+            *[count_true(F.array_contains(months, first + m)).alias(f"_m{m}") for m in (0, *offsets)],
+            F.max(F.element_at(months, -1) - first).alias("_seen"),
+        )
     )
     end = F.max(month_number(F.col("cohort")) + F.col("_seen")).over(Window.partitionBy())
 
