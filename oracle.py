@@ -172,6 +172,15 @@ def top_products(columns: str, order: str, where: str = PRODUCT, having: str = "
       SELECT {outer} FROM p ORDER BY {order}, StockCode LIMIT 10""")
 
 
+def usual_names(body: str) -> str:
+    """Names by the most lines, ties by text; ``body`` selects from p (codes with their measures) and u (their names)."""
+    return sales(f"""
+      g AS (SELECT * REPLACE (CASE WHEN Quantity < 15 THEN 'A sample' ELSE Description END AS Description) FROM s),
+      c AS (SELECT StockCode, Description, COUNT(*) AS n FROM g WHERE Description IS NOT NULL GROUP BY ALL),
+      u AS (SELECT StockCode, Description FROM c QUALIFY row_number() OVER (PARTITION BY StockCode ORDER BY n DESC, Description) = 1),
+      {body}""")
+
+
 def pairs(code: str, description: str, where: str) -> str:
     return sales(f"""
       l AS (SELECT InvoiceNo, {code} AS code, {description} AS description FROM s),
@@ -548,6 +557,16 @@ def _statements() -> dict[str, str]:
             f"{QTY} AS quantity, {ORDERS} AS orders, {REV} AS revenue, {ASP} AS avg_selling_price, {SHARE} AS revenue_share_pct",
             "revenue DESC",
         ),
+        "q6_01_usual_names": usual_names(f"""
+          p AS (SELECT StockCode, {QTY} AS quantity, {ORDERS} AS orders, {REV} AS revenue, {ASP} AS avg_selling_price,
+                       {SHARE} AS revenue_share_pct FROM s WHERE {PRODUCT} GROUP BY StockCode)
+          SELECT StockCode, Description AS description, quantity, orders, revenue, avg_selling_price, revenue_share_pct
+          FROM p LEFT JOIN u USING (StockCode) ORDER BY revenue DESC, StockCode LIMIT 10"""),
+        "q9_03_usual_names": usual_names(f"""
+          p AS (SELECT StockCode, {ORDERS} AS orders, {BUYERS} AS customers, {QTY} AS quantity, {REV} AS revenue,
+                       {ASP} AS avg_selling_price FROM s GROUP BY StockCode)
+          SELECT StockCode, Description, orders, customers, quantity, revenue, avg_selling_price
+          FROM p LEFT JOIN u USING (StockCode)"""),
         "q6_02_top_products_by_quantity": top_products(
             f"{QTY} AS quantity, {REV} AS revenue, {ASP} AS avg_selling_price", "quantity DESC"
         ),

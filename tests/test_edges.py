@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sample import dicts, line, sales
 from tillroll.functions.bands import ORDER_COUNT_TOPS, PRICE_EDGES, amount_labels, count_labels
 from tillroll.functions.numbers import rounded
-from tillroll.operators import concentration, customers, kpis, markets, products, quality, trends
+from tillroll.operators import concentration, customers, kpis, markets, marts, products, quality, trends
+from tillroll.plans import grains
 
 
 def test_band_labels():
@@ -260,3 +261,25 @@ def test_totals_beyond_bigint_keep_their_rank(spark):
     assert [r["customers"] for r in dicts(customers.value_quantiles(rows, 3))] == [1, 1, 1]
     orders = sales(spark, [line(invoice="1", code=str(i), revenue=big) for i in range(20)])
     assert dicts(kpis.describe_orders(orders))[0]["max_val"] == pytest.approx(2e15)
+
+
+def test_usual_names_go_by_lines_then_by_text(spark):
+    lines = [line(code="10001", description=d) for d in ["white", "white", "cream", "azure", "azure", None, None, None]]
+    lines += [line(code="10002", description=None), line(code="10003", description="b"), line(code="10003", description="a")]
+    s = sales(spark, lines)
+    for frame in (s, grains.item_grain(s)):  # a summed row counts as the lines it stands for
+        got = {r["StockCode"]: r["description"] for r in products.top_products_by_quantity(frame, label="mode").collect()}
+        assert got == {"10001": "azure", "10002": None, "10003": "a"}
+        mart = {r["StockCode"]: r["Description"] for r in marts.mart_product(frame, label="mode").collect()}
+        assert mart == got
+    with pytest.raises(ValueError):
+        products.top_products_by_quantity(s, label="longest")
+
+
+def test_names_from_a_table_keep_products_without_one(spark):
+    s = sales(spark, [line(code="10001", quantity=5), line(code="10002", quantity=3), line(code="10003")]).drop("Description")
+    names = spark.createDataFrame([("10001", "tea"), ("10003", "cup"), ("10003", "Cup")], "StockCode string, Description string")
+    for label, cup in (("min", "Cup"), ("mode", "Cup")):
+        for top in (products.top_products_by_quantity, products.top_products_by_revenue, products.top_products_by_orders):
+            got = {r["StockCode"]: r["description"] for r in top(s, label=label, names=names).collect()}
+            assert got == {"10001": "tea", "10002": None, "10003": cup}

@@ -57,6 +57,30 @@ def test_lines_are_not_shuffled_by_customer_before_they_are_summed(spark, large_
             assert "l_extendedprice" not in whole or "HashAggregate" in below[0] or "partial_" in below[0], text
 
 
+@pytest.mark.parametrize(
+    "name",
+    [
+        "q2_07_nonconforming_codes",
+        "q6_01_top_products_by_revenue",
+        "q6_02_top_products_by_quantity",
+        "q6_03_top_products_by_orders",
+        "q6_04_bottom_products",
+        "q6_07_top_products_by_countries",
+        "q6_09_premium_products",
+        "q7_04_top_products_per_country",
+        "q8_04_basket_pairs",
+        "q9_03_mart_product",
+    ],
+)
+def test_lines_are_not_shuffled_by_product_before_they_are_summed(spark, large_tables, name):
+    """What is dealt by product has been summed, or cut to distinct values, within each task before."""
+    lines = plan(QUERIES[name](spark, SF_DIR))
+    assert not any(re.search(r"Exchange hashpartitioning\(l_partkey#\d+L?, \d+\)", text) for text in lines)
+    for i, text in enumerate(lines):
+        if re.search(r"Exchange hashpartitioning\(_?StockCode#\d+, \d+\)", text) and "ReusedExchange" not in text:
+            assert i + 1 == len(lines) or re.search("Aggregate|WindowGroupLimit|TakeOrdered", lines[i + 1]), text
+
+
 def scans(df) -> int:
     return sum("FileScan parquet" in text for text in plan(df))
 

@@ -165,3 +165,19 @@ def test_stored_marts_equal_the_views(spark, tmp_path):
     for name, mart in computed.items():
         assert stored[name].dtypes == mart.dtypes
         assert sorted(map(str, spark.table(name).collect())) == sorted(map(str, mart.collect()))
+
+
+def test_malformed_lines_can_be_set_aside(spark, tmp_path):
+    names = "InvoiceNo,StockCode,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country,Revenue,Year,Quarter,Month,Day"
+    good = '536365,85123A,"WHITE, ""BIG"" CUP",6,01-12-2010 08:26,2.55,17850,United Kingdom,15.30,2010,4,December,Wednesday'
+    short, long, blank = good.rsplit(",", 2)[0], good + ",more,and more", good.replace("01-12-2010", "soon")
+    path = tmp_path / "lines.csv"
+    path.write_text("\n".join([names, good, short, long, blank, good]) + "\n", encoding="utf-8")
+    raw = read_sales_csv(spark, str(path), keep_malformed=True)
+    kept = prepare_sales(raw)
+    assert kept.columns == prepare_sales(read_sales_csv(spark, str(path))).columns
+    assert [r["Description"] for r in kept.collect()] == ['WHITE, "BIG" CUP'] * 2
+    aside = rejected_lines(raw)
+    assert sorted(r["Malformed"] or "" for r in aside.collect()) == sorted([short, long, ""])
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        read_sales_csv(spark, str(path)).collect()

@@ -121,8 +121,10 @@ def sales_by(s: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     return measured(s, keys, metrics).select(*keys, *[shown(m) for m in metrics])
 
 
-def details_for(top: DataFrame, s: DataFrame, keys: list[str], details: Mapping[str, Column]) -> DataFrame:
-    """Add aggregates (name -> expression) to the few rows of ``top``, found by ``keys``.
+def details_for(
+    top: DataFrame, s: DataFrame, keys: list[str], details: Mapping[str, Column], also: Iterable[str] = ()
+) -> DataFrame:
+    """Add aggregates (name -> expression) to the few rows of ``top``, found by ``keys``; per value of ``also``, if given.
 
     A ranking needs no name and no distinct count of the entities it drops: those are taken afterwards, over the lines
     of the ranked entities only. It also keeps text out of the ranking's aggregation, which Spark would else do by
@@ -131,15 +133,62 @@ def details_for(top: DataFrame, s: DataFrame, keys: list[str], details: Mapping[
     lines = s.withColumnsRenamed({k: f"_{k}" for k in keys})
     kept = top.withColumnsRenamed({c: f"_top_{c}" for c in top.columns if c not in keys})
     same = reduce(Column.__and__, [F.col(f"_{k}").eqNullSafe(F.col(k)) for k in keys])
-    joined = lines.join(F.broadcast(kept), same).groupBy(*kept.columns)
+    joined = lines.join(F.broadcast(kept), same).groupBy(*kept.columns, *also)
     detailed = joined.agg(*[expression.alias(name) for name, expression in details.items()])
     return detailed.withColumnsRenamed({f"_top_{c}": c for c in top.columns if c not in keys})
 
 
-def with_name(entities: DataFrame, s: DataFrame, key: str, column: str, name: str) -> DataFrame:
-    """Add the alphabetically first ``column`` of every entity.
+LABELS = ("min", "mode")
 
-    The distinct pairs are found by hashing; a text minimum next to the measures would make Spark sort all lines.
+
+def names_of(s: DataFrame, keys: list[str], column: str, label: str = "min") -> DataFrame:
+    """One ``column`` value for every group of ``keys``: the alphabetically first, or (``mode``) the one on most lines.
+
+    Lines are counted by (keys, value) first, by hashing: a text minimum over lines would make Spark sort them, and a product with a
+    third of all lines is counted in all tasks. Values equally frequent go by text; a missing value names nothing.
+    """
+    if label not in LABELS:
+        raise ValueError(f"{label!r} is none of {', '.join(LABELS)}")
+    if label == "min":
+        return s.select(*keys, column).distinct().groupBy(*keys).agg(F.min(column).alias(column))
+    counts = s.groupBy(*keys, F.col(column).alias("Description")).agg(n_lines(s).alias("_n"))
+    return _usual(counts, keys).withColumnRenamed("description", column)
+
+
+def named(
+    top: DataFrame, s: DataFrame, keys: list[str], label: str = "min", names: DataFrame | None = None, **details: Column
+) -> DataFrame:
+    """Add the ``description`` of the few products in ``top``, found by ``keys``, and further details, from the lines.
+
+    With ``names``, a frame of StockCode and Description such as a product table, the lines are not looked at and need hold no
+    names: they then need not meet the product table, whose key may be as unevenly spread as products are sold.
     """
-    names = s.select(F.col(key).alias("_key"), column).distinct().groupBy("_key").agg(F.min(column).alias(name))
+    if label not in LABELS:
+        raise ValueError(f"{label!r} is none of {', '.join(LABELS)}")
+    if names is None and label == "min":
+        return details_for(top, s, keys, {"description": F.min("Description"), **details})
+    top = details_for(top, s, keys, details) if details else top
+    source, by = (s, keys) if names is None else (names, ["StockCode"])
+    if label == "min":
+        described = details_for(top, source, by, {"description": F.min("Description")})
+    else:
+        described = _usual(details_for(top, source, [*by], {"_n": n_lines(source)}, also=["Description"]), top.columns)
+    if names is None:
+        return described
+    # a product that the names lack keeps its place; all columns are used, so that Spark shares what leads to the ranking
+    known = described.select(F.col("StockCode").alias("_known"))
+    unnamed = top.join(F.broadcast(known), F.col("StockCode").eqNullSafe(F.col("_known")), "left_anti")
+    return described.unionByName(unnamed.withColumn("description", F.lit(None).cast("string")))
+
+
+def _usual(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """The description on most lines of every group, from (keys, Description, _n); ties by text, null never."""
+    pair = F.struct((-F.col("_n")).alias("n"), F.col("Description").alias("value"))
+    usual = F.min(F.when(F.col("Description").isNotNull(), pair))
+    return counts.groupBy(*keys).agg(usual["value"].alias("description"))
+
+
+def with_name(entities: DataFrame, s: DataFrame, key: str, column: str, name: str, label: str = "min") -> DataFrame:
+    """Add a ``column`` value to every entity, see ``names_of``."""
+    names = names_of(s, [key], column, label).select(F.col(key).alias("_key"), F.col(column).alias(name))
     return entities.join(names, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")

@@ -14,7 +14,7 @@ from tillroll.functions.bands import (
     count_band,
     is_product,
 )
-from tillroll.functions.metrics import details_for, occurring
+from tillroll.functions.metrics import named, occurring
 from tillroll.functions.numbers import percent, rank_key, ratio, rounded, scale_of, unscaled
 from tillroll.operators.quality import LINE_KEY
 from tillroll.operators.ranks import descending, rows_at_ranks, running_totals
@@ -106,7 +106,8 @@ def basket_size_bands(s: DataFrame, tops: Sequence[int] = BASKET_SIZE_TOPS) -> D
 
 
 def basket_pairs(
-    s: DataFrame, top_items: int = 30, top_pairs: int = 10, pattern: str | None = PRODUCT_PATTERN
+    s: DataFrame, top_items: int = 30, top_pairs: int = 10, pattern: str | None = PRODUCT_PATTERN,
+    label: str = "min", names: DataFrame | None = None,
 ) -> DataFrame:
     """Pairs among the most popular products that occur together in most orders.
 
@@ -164,9 +165,9 @@ def basket_pairs(
     )
 
     # one row: number -> code and name of each popular product
-    named = details_for(numbered.select("StockCode", "item"), s, ["StockCode"], {"description": F.min("Description")})
+    described = named(numbered.select("StockCode", "item"), s, ["StockCode"], label, names)
     entries = F.collect_list(F.struct("item", F.struct("StockCode", "description")))
-    catalog = named.agg(F.map_from_entries(entries)).scalar()
+    catalog = described.agg(F.map_from_entries(entries)).scalar()
     all_orders = held.agg(F.count_distinct("InvoiceNo")).scalar()
     return (
         # numbers follow the order of the codes, so ties go by code

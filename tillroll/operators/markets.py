@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tillroll.functions.bands import HOME_MARKET, PRODUCT_PATTERN, is_product, market
-from tillroll.functions.metrics import details_for, sales_by
+from tillroll.functions.metrics import named, sales_by
 from tillroll.functions.numbers import count_true, percent, rounded
 
 
@@ -48,7 +48,8 @@ def repeat_rate_by(s: DataFrame, key: str = "Country", min_customers: int = 20)
 
 
 def top_products_per_country(
-    s: DataFrame, countries: int = 5, n: int = 3, home: str = HOME_MARKET, pattern: str = PRODUCT_PATTERN
+    s: DataFrame, countries: int = 5, n: int = 3, home: str = HOME_MARKET, pattern: str = PRODUCT_PATTERN,
+    label: str = "min", names: DataFrame | None = None,
 ) -> DataFrame:
     """The n best products of each of the largest countries abroad.
 
@@ -72,9 +73,9 @@ def top_products_per_country(
         .withColumn("rank_in_country", place)
         .where((F.col("rank_in_country") <= n) & product)
     )
-    named = details_for(best.drop("_country"), s, ["Country", "StockCode"], {"description": F.min("Description")})
     revenue = rounded(F.col("sold")).alias("revenue")
-    return named.select("Country", "rank_in_country", "StockCode", "description", "quantity", revenue).orderBy(
+    detailed = named(best.drop("_country"), s, ["Country", "StockCode"], label, names)
+    return detailed.select("Country", "rank_in_country", "StockCode", "description", "quantity", revenue).orderBy(
         "Country", "rank_in_country"
     )
 

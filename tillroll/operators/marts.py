@@ -33,11 +33,12 @@ def mart_customer(s: DataFrame) -> DataFrame:
     )
 
 
-def mart_product(s: DataFrame) -> DataFrame:
-    """Every code, fees included."""
+def mart_product(s: DataFrame, label: str = "min", names: DataFrame | None = None) -> DataFrame:
+    """Every code, fees included; ``label`` and ``names`` as for rankings of products."""
     metrics = ["orders", "customers", "quantity", "revenue", "avg_selling_price"]
     products = sales_by(s, ["StockCode"], metrics)
-    return with_name(products, s, "StockCode", "Description", "Description").select("StockCode", "Description", *metrics)
+    source = s if names is None else names
+    return with_name(products, source, "StockCode", "Description", "Description", label).select("StockCode", "Description", *metrics)
 
 
 def mart_country(s: DataFrame) -> DataFrame:

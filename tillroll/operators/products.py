@@ -1,4 +1,8 @@
-"""Products: rankings, price bands, code types."""
+"""Products: rankings, price bands, code types.
+
+Rankings name a product by its alphabetically first description, or with ``label='mode'`` by its usual one. ``names`` takes
+descriptions from a frame of codes and descriptions instead of the lines.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillroll.functions.bands import PRICE_EDGES, PRODUCT_PATTERN, amount_band, code_type, is_product
-from tillroll.functions.metrics import BASE, details_for, occurring, sales_by
+from tillroll.functions.metrics import BASE, details_for, named, occurring, sales_by
 from tillroll.functions.numbers import percent, ratio, rounded
 
 
@@ -15,14 +19,17 @@ def _products(s: DataFrame, pattern: str) -> DataFrame:
     return s.where(is_product(F.col("StockCode"), pattern))
 
 
-def _ranked(s: DataFrame, totals: DataFrame, order: list[Column], k: int, **details: Column) -> DataFrame:
-    """The first k products of ``totals``, with name and further details, in that order."""
+def _ranked(
+    s: DataFrame, totals: DataFrame, order: list[Column], k: int, label: str, names: DataFrame | None
+) -> DataFrame:
+    """The first k products of ``totals``, with their names, in that order."""
     order = [*order, F.col("StockCode")]
-    top = totals.orderBy(order).limit(k)
-    return details_for(top, s, ["StockCode"], {"description": F.min("Description"), **details}).orderBy(order)
+    return named(totals.orderBy(order).limit(k), s, ["StockCode"], label, names).orderBy(order)
 
 
-def top_products_by_revenue(s: DataFrame, k: int = 10, pattern: str = PRODUCT_PATTERN) -> DataFrame:
+def top_products_by_revenue(
+    s: DataFrame, k: int = 10, pattern: str = PRODUCT_PATTERN, label: str = "min", names: DataFrame | None = None
+) -> DataFrame:
     """Top products by revenue; the share is of all revenue, fees and postage included."""
     totals = s.groupBy("StockCode").agg(F.sum("Quantity").alias("quantity"), F.sum("Revenue").alias("sold"))
     # all codes are grouped once, for the total (of all columns, so that the shuffle is reused) and for the ranking, from
@@ -31,8 +38,8 @@ def top_products_by_revenue(s: DataFrame, k: int = 10, pattern: str = PRODUCT_PA
     product = F.coalesce(is_product(F.col("StockCode"), pattern), F.lit(False))
     order = [product.desc(), F.desc("revenue"), F.col("StockCode")]
     top = totals.withColumn("revenue", rounded(F.col("sold"))).orderBy(order).limit(k).where(product)
-    details = {"description": F.min("Description"), "orders": BASE["orders"]()}
-    return details_for(top, s, ["StockCode"], details).orderBy(F.desc("revenue"), "StockCode").select(
+    detailed = named(top, s, ["StockCode"], label, names, orders=BASE["orders"]())
+    return detailed.orderBy(F.desc("revenue"), "StockCode").select(
         "StockCode",
         "description",
         "quantity",
@@ -43,13 +50,17 @@ def top_products_by_revenue(s: DataFrame, k: int = 10, pattern: str = PRODUCT_PA
     )
 
 
-def top_products_by_quantity(s: DataFrame, k: int = 10, pattern: str = PRODUCT_PATTERN) -> DataFrame:
+def top_products_by_quantity(
+    s: DataFrame, k: int = 10, pattern: str = PRODUCT_PATTERN, label: str = "min", names: DataFrame | None = None
+) -> DataFrame:
     metrics = ["quantity", "revenue", "avg_selling_price"]
     totals = sales_by(_products(s, pattern), ["StockCode"], metrics)
-    return _ranked(s, totals, [F.desc("quantity")], k).select("StockCode", "description", *metrics)
+    return _ranked(s, totals, [F.desc("quantity")], k, label, names).select("StockCode", "description", *metrics)
 
 
-def top_products_by_orders(s: DataFrame, k: int = 10, pattern: str = PRODUCT_PATTERN) -> DataFrame:
+def top_products_by_orders(
+    s: DataFrame, k: int = 10, pattern: str = PRODUCT_PATTERN, label: str = "min", names: DataFrame | None = None
+) -> DataFrame:
     """Products in most orders, with the share of all orders that contain them.
 
     The lines are grouped once, by product, order and customer; popularity, the customers of the best and the number of
@@ -64,24 +75,31 @@ def top_products_by_orders(s: DataFrame, k: int = 10, pattern: str = PRODUCT_PAT
     all_orders = sold.agg(BASE["orders"]()).scalar()
     penetration = rounded(percent(F.col("orders_containing"), all_orders)).alias("order_penetration_pct")
     buyers = details_for(top, sold, ["StockCode"], {"customers": BASE["customers"]()})
-    named = details_for(buyers, s, ["StockCode"], {"description": F.min("Description")}).orderBy(order)
-    return named.select("StockCode", "description", "orders_containing", penetration, "customers")
+    return named(buyers, s, ["StockCode"], label, names).orderBy(order).select("StockCode", "description", "orders_containing", penetration, "customers")
 
 
-def bottom_products(s: DataFrame, min_quantity: int = 10, k: int = 10, pattern: str = PRODUCT_PATTERN) -> DataFrame:
+def bottom_products(
+    s: DataFrame, min_quantity: int = 10, k: int = 10, pattern: str = PRODUCT_PATTERN, label: str = "min",
+    names: DataFrame | None = None,
+) -> DataFrame:
     """Products with the smallest revenue among those that sold at least ``min_quantity`` units."""
     totals = sales_by(_products(s, pattern), ["StockCode"], ["quantity", "revenue"])
     totals = totals.where(F.col("quantity") >= min_quantity)
-    return _ranked(s, totals, [F.col("revenue")], k).select("StockCode", "description", "quantity", "revenue")
+    return _ranked(s, totals, [F.col("revenue")], k, label, names).select("StockCode", "description", "quantity", "revenue")
 
 
-def top_products_by_countries(s: DataFrame, k: int = 10, pattern: str = PRODUCT_PATTERN) -> DataFrame:
+def top_products_by_countries(
+    s: DataFrame, k: int = 10, pattern: str = PRODUCT_PATTERN, label: str = "min", names: DataFrame | None = None
+) -> DataFrame:
     totals = sales_by(_products(s, pattern), ["StockCode"], ["countries", "revenue"])
-    top = _ranked(s, totals, [F.desc("countries"), F.desc("revenue")], k)
+    top = _ranked(s, totals, [F.desc("countries"), F.desc("revenue")], k, label, names)
     return top.select("StockCode", "description", "countries", "revenue")
 
 
-def premium_products(s: DataFrame, min_average=20, k: int = 10, pattern: str = PRODUCT_PATTERN) -> DataFrame:
+def premium_products(
+    s: DataFrame, min_average=20, k: int = 10, pattern: str = PRODUCT_PATTERN, label: str = "min",
+    names: DataFrame | None = None,
+) -> DataFrame:
     """Products whose price, averaged over lines, is at least ``min_average``, dearest first."""
     # summed lines (``plans.grains``) bring sum and number of their prices
     summed = "PricedLines" in s.columns
@@ -92,7 +110,7 @@ def premium_products(s: DataFrame, min_average=20, k: int = 10, pattern: str = P
         rounded(F.sum("Revenue")).alias("revenue"),
     )
     dear = totals.where(F.col("price") >= min_average).withColumn("avg_unit_price", rounded(F.col("price")))
-    top = _ranked(s, dear, [F.desc("avg_unit_price")], k)
+    top = _ranked(s, dear, [F.desc("avg_unit_price")], k, label, names)
     return top.select("StockCode", "description", "avg_unit_price", "quantity", "revenue")
 
 

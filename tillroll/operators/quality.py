@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tillroll.functions.bands import PRODUCT_PATTERN, is_product
 from tillroll.functions.calendar import month_name, weekday_name
-from tillroll.functions.metrics import n_lines, n_lines_where
+from tillroll.functions.metrics import n_lines, n_lines_where, with_name
 from tillroll.functions.numbers import count_true, percent, rounded
 
 # Columns that make a line: two lines equal in all of them are duplicates.
@@ -117,8 +117,14 @@ def cardinality(s: DataFrame, columns: Mapping[str, str] | None = None, approx:
     return s.agg(*[count(c).alias(label) for label, c in columns.items()])
 
 
-def nonconforming_codes(s: DataFrame, pattern: str = PRODUCT_PATTERN) -> DataFrame:
-    """Codes that do not look like products, largest revenue first."""
+def nonconforming_codes(s: DataFrame, pattern: str = PRODUCT_PATTERN, names: DataFrame | None = None) -> DataFrame:
+    """Codes that do not look like products, largest revenue first; ``names`` as for rankings of products."""
+    if names is not None:
+        sums = [n_lines(s).alias("line_items"), F.sum("Quantity").alias("qty"), rounded(F.sum("Revenue")).alias("revenue")]
+        odd = s.where(~is_product(F.col("StockCode"), pattern)).groupBy("StockCode").agg(*sums)
+        described = with_name(odd, names, "StockCode", "Description", "description")
+        columns = ["StockCode", "description", "line_items", "qty", "revenue"]
+        return described.select(*columns).orderBy(F.desc("revenue"), "StockCode")
     # by code and description first: a text minimum over lines would make Spark sort them
     described = (
         s.where(~is_product(F.col("StockCode"), pattern))

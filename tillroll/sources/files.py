@@ -25,18 +25,26 @@ NUMBERS = {
 }
 
 
-def read_sales_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+# the whole text of a line with another number of fields, where such lines are kept
+MALFORMED = "Malformed"
+
+
+def read_sales_csv(spark: SparkSession, path: str, multi_line: bool = False, keep_malformed: bool = False) -> DataFrame:
     """The input file as 13 text columns; reading fails on a line with another number of fields.
 
     By default a line break ends a line, also within quotes, so that Spark can split a large file among tasks; a quoted
     line break then fails as a line with too few fields. ``multi_line`` allows it, and reads each file in one task.
+    With ``keep_malformed`` such lines do not end the load: they come with their whole text in a 14th column, are left out by
+    ``prepare_sales`` and listed by ``rejected_lines``.
     """
+    schema = T.StructType([*RAW_SCHEMA.fields, T.StructField(MALFORMED, T.StringType())]) if keep_malformed else RAW_SCHEMA
     return (
-        spark.read.schema(RAW_SCHEMA)
+        spark.read.schema(schema)
         .option("header", True)
         .option("escape", '"')
         .option("multiLine", multi_line)
-        .option("mode", "FAILFAST")
+        .option("mode", "PERMISSIVE" if keep_malformed else "FAILFAST")
+        .option("columnNameOfCorruptRecord", MALFORMED)
         # all fields are parsed even if a query needs few, so that a bad line is always noticed
         .option("columnPruning", False)
         .csv(path)
@@ -62,9 +70,14 @@ def _unreadable() -> Column:
     return F.coalesce(bad, F.lit(False))
 
 
+def _malformed(raw: DataFrame) -> Column:
+    return F.col(MALFORMED).isNotNull() if MALFORMED in raw.columns else F.lit(False)
+
+
 def rejected_lines(raw: DataFrame) -> DataFrame:
-    """Lines ``prepare_sales`` leaves out: no readable date, or a number that is none (a blank one is just missing)."""
-    return raw.where(_unreadable())
+    """Lines ``prepare_sales`` leaves out: no readable date, a number that is none (a blank one is just missing), or, where they
+    were kept, another number of fields."""
+    return raw.where(_unreadable() | _malformed(raw))
 
 
 def prepare_sales(raw: DataFrame) -> DataFrame:
@@ -80,7 +93,7 @@ def prepare_sales(raw: DataFrame) -> DataFrame:
         *[value.alias(name) for name, value in parsed.items()],
         *[value.alias(f"_has_{name}") for name, value in given.items()],
     )
-    readable = F.col("InvoiceDateTime").isNotNull()
+    readable = F.col("InvoiceDateTime").isNotNull() & ~_malformed(raw)
     for name in NUMBERS:
         readable &= ~F.coalesce(F.col(f"_has_{name}"), F.lit(False)) | F.col(name).isNotNull()
     ts = F.col("InvoiceDateTime")

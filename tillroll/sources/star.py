@@ -105,6 +105,12 @@ def sales_lines(
     return s
 
 
+def product_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """StockCode and Description of every part: names for lines that were not joined with the parts."""
+    part = _table(spark, sf_dir, "part")
+    return part.select(stock_code(F.col("p_partkey")).alias("StockCode"), F.col("p_name").alias("Description"))
+
+
 def with_supplier_country(spark: SparkSession, sf_dir: str, s: DataFrame) -> DataFrame:
     """Country of the line's supplier instead of the customer's, so that one customer has several."""
     supplier = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
