@@ -148,9 +148,13 @@ WITH d AS (
         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
     FROM documents
 ), w AS (
-    SELECT r, unnest(range(1, len(words) - 3)) AS i, words FROM d WHERE len(words) >= 5
+    SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d
+), five AS (
+    SELECT r, i, concat_ws(' ', word, lead(word) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o) AS four,
+        lead(word, 4) OVER o AS fifth
+    FROM w WINDOW o AS (PARTITION BY r ORDER BY i)
 ), g AS (
-    SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(words[i:i + 4], ' ')) AS n FROM w
+    SELECT r, i, count(*) OVER (PARTITION BY r, four, fifth) AS n FROM five WHERE fifth IS NOT NULL
 ), covered AS (
     SELECT r, count(DISTINCT p) AS n_repeat_words
     FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM g WHERE n > 1) GROUP BY r
