@@ -1,5 +1,7 @@
 """Awkward rows through every operator and stage: nulls, blanks, long texts, ties, repeats, empty tables, other columns."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -319,3 +321,50 @@ def test_first_words_name_what_is_left_out(name):
 )
 def test_names_are_checked_against_the_text(page, expected):
     assert html_extraction.extract(f"<html><body>{page}</body></html>") == expected
+
+
+@pytest.mark.parametrize(
+    "broken",
+    [
+        lambda n: '<a "' * n,
+        lambda n: "<div>" + "</b>" * n,
+        lambda n: "<span>" * n + "</b>" * n,
+        lambda n: "<b>" * n + "<h1></h1>" * n,
+        lambda n: "<ul><li><ul>" + "<span>" * n + "<li></li>" * n,
+        lambda n: "<table><tr><td>" * n + "<li></li>" * n,
+        lambda n: "<span>" * n + "<p>some words, one after the other</p>" * n,
+        lambda n: "<script>" + "</script " * n,
+        lambda n: "<a \"'>" * n,
+    ],
+)
+def test_broken_pages_take_time_in_proportion(broken):
+    """Four times the page takes some four times as long; what grows with the square would take sixteen times."""
+
+    def seconds(page):
+        start = time.perf_counter()
+        html_extraction.extract(page)
+        return time.perf_counter() - start
+
+    small, large = broken(8_000), broken(32_000)
+    assert min(seconds(large) / max(seconds(small), 0.02) for _ in range(3)) < 9
+
+
+PROSE = "This block holds a good many words, some commas, and more than enough text to be taken for prose by its length alone. " * 2
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        (f"<form id=aspnet><h1>Title</h1><div><p>{PROSE}</p></div></form>", ["Title", PROSE.strip()]),
+        (f"<form><div><p>{PROSE}</p></div></form>", [PROSE.strip()]),
+        (f"<div><h1>Title</h1><p>{PROSE}</p></div><form><p>Your mail, please</p></form>", ["Title", PROSE.strip()]),
+        (f"<div class=page-header><h1>Title</h1></div><div><p>{PROSE}</p></div>", ["Title", PROSE.strip()]),
+        (f"<article><p>{PROSE}</p></article><div class=discussion><p>I think, {PROSE}</p></div>", [PROSE.strip()]),
+        (f"<article><p>{PROSE}</p></article><div class=replies><p>I think, {PROSE}</p></div>", [PROSE.strip()]),
+        (f"<div class=notice>We use, {PROSE}</div><article><p>{PROSE}</p></article>", [PROSE.strip()]),
+        (f"<div><p>{PROSE}</p></div><div id=ft>(c) us, {PROSE}</div>", [PROSE.strip()]),
+        (f'<div><p title="a > b">{PROSE}</p><a href="x>y</a><p>{PROSE}</p></div>', [PROSE.strip(), "y", PROSE.strip()]),
+    ],
+)
+def test_forms_notices_discussions_and_page_headers(page, expected):
+    assert html_extraction.extract(f"<html><body>{page}</body></html>").split("\n") == expected

@@ -1,8 +1,8 @@
 """Main text of web pages by scoring the element tree.
 
 A page is read once, tag by tag, into a tree; unclosed, stray and wrongly nested tags are taken as browsers take them, as
-far as text needs it. Elements that never hold main text (scripts, forms, menus, notices …) are left out by tag, role or
-name; a name that may stand for main text as well (widget, related …) counts only if the element's own text is no prose, and
+far as text needs it. Elements that never hold main text (scripts, menus, adverts …) are left out by tag, role or
+name, forms, notices and discussions unless the title or the article stands in them; a name that may stand for main text as well (widget, related …) counts only if the element's own text is no prose, and
 if nothing is left, names do not count. Every paragraph gives points for its length and commas, discounted by its link density, to its parent and half of
 them to its grandparent. From the container with the most points the way leads up to the main around it, or without one as
 far as the text is mostly prose, but at least to the outermost article. All that stands there is kept in page order, whatever
@@ -20,18 +20,23 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+# a comment, a declaration, or the start of a tag; and the rest of a tag, with and without regard to quotes
+_START = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_QUOTED = re.compile(r"""((?:"[^"]*+"|'[^']*+'|[^>"']++)*+)>""")
+_UNQUOTED = re.compile(r"([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|([^\s=/"'>]+)""")
 _BLANK = re.compile(r"\s+")
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 # their content is not markup
 RAW = set("script style textarea title noscript iframe xmp noembed noframes".split())
+_END_OF = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)|\Z", re.I) for tag in RAW}
 BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -49,7 +54,7 @@ ENDS = {
     "option": ({"option"}, {"select"}),
 }
 SKIPPED = RAW | set(
-    "head nav footer aside form button select option input label object svg canvas template dialog menu audio video map"
+    "head nav footer aside button select option input label object svg canvas template dialog menu audio video map"
     " fieldset datalist".split()
 )
 SKIPPED_ROLES = set(
@@ -60,12 +65,16 @@ SKIPPED_NAMES = set(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promos"
     " sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead topbar cookie cookies consent"
     " gdpr popup modal newsletter subscribe signup login comment comments commentlist disqus respond pagination pager toolbar"
-    " skip outbrain taboola hidden".split()
+    " skip outbrain taboola hidden ft".split()
+)
+# … also as the last word, unless the element holds the title or the article
+TITLE_NAMES = set(
+    "notice notices notification notifications alert alerts disclaimer copyright discussion discussions reply replies responses".split()
 )
 # … and what mostly is none, as the last word, unless the element holds prose
 WEAK_NAMES = set(
-    "widget widgets related recommended recommendations social share sharing tags banner banners notice notices notification"
-    " alert overlay promotion subscription reply replies discussion responses copyright disclaimer".split()
+    "widget widgets related recommended recommendations social share sharing tags banner banners overlay promotion"
+    " subscription".split()
 )
 # … also with one of these behind them, but not behind one of those
 TAILS = set(
@@ -77,6 +86,8 @@ MODIFIERS = set("has with no is without not".split())
 STATES = set("open opened closed off on enabled disabled none false free less".split())
 # words of the article itself
 KEPT_NAMES = set("article content main body post entry story text".split())
+# a header of these is the article's, if it holds the title
+TITLE_HEADERS = set("page title".split())
 POSITIVE = 25
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 # named for something else: left out in any case, without a title or article in it, without prose, if mostly links
@@ -88,10 +99,12 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 class Element:
     __slots__ = ("tag", "parent", "children", "skipped", "bonus", "chars", "links", "commas")
-    __slots__ += ("all_chars", "all_links", "longest", "titled", "named")
+    __slots__ += ("all_chars", "all_links", "longest", "titled", "named", "container")
 
     def __init__(self, tag: str, parent: Element | None, skipped: bool = False, bonus: int = 0, named: int = 0):
         self.tag, self.parent, self.skipped, self.bonus, self.named = tag, parent, skipped, bonus, named
+        # the nearest container around it
+        self.container = parent if parent is None or parent.tag in CONTAINER else parent.container
         self.children: list[Element | str] = []
         # characters, characters in links and commas of what stands in the element itself, not in blocks below it
         self.chars = self.links = self.commas = 0
@@ -106,7 +119,7 @@ def _described(tag: str, attributes: str, framed: bool = False) -> tuple[bool, i
         return True, 0, 0
     bonus = POSITIVE if tag in ("article", "main") else 0
     if not attributes or attributes.isspace():
-        return tag == "header" and not framed, bonus, 0
+        return tag == "header" and not framed, bonus, UNTITLED if tag == "form" else 0
     named: dict[str, str] = {}
     for key, value, bare in _ATTRIBUTE.findall(attributes):
         named.setdefault((key or bare).lower(), value.strip("\"'"))
@@ -121,11 +134,15 @@ def _described(tag: str, attributes: str, framed: bool = False) -> tuple[bool, i
     ]
     if tag in ("article", "main", "body", "html"):
         return False, bonus, 0
+    if tag == "form":
+        return False, 0, UNTITLED
     if tag == "header" and not framed:
         return True, 0, 0
     other = max(map(_named_other, names), default=0)
     words = {w for name in names for w in name}
     if "header" in words and other < UNTITLED:
+        if words & TITLE_HEADERS:
+            return False, 0, UNTITLED
         return False, 0, SURE if not words & KEPT_NAMES and tag != "h1" and not framed else other
     return False, POSITIVE if words & KEPT_NAMES and other < UNTITLED else 0, other
 
@@ -138,7 +155,7 @@ def _named_other(words: list[str]) -> int:
         return 0
     if words[-1] in SKIPPED_NAMES:
         return SURE
-    if words[0] in SKIPPED_NAMES and words[-1] not in STATES:
+    if words[-1] in TITLE_NAMES or words[0] in SKIPPED_NAMES and words[-1] not in STATES:
         return UNTITLED
     if words[-1] in WEAK_NAMES:
         # "elementor-widget" is a part of any kind
@@ -157,71 +174,99 @@ def _left_out(element: Element) -> bool:
     return 4 * element.all_links > element.all_chars or element.longest < PROSE
 
 
-def _framed(element: Element | None) -> bool:
-    while element is not None and element.tag not in ("article", "main"):
-        element = element.parent
-    return element is not None
+class _Path:
+    """The open elements from the root down, and where each tag stands among them: nothing is found by walking up."""
+
+    def __init__(self, root: Element):
+        self.open: list[Element] = [root]
+        self.places: dict[str, list[int]] = {}
+        self.borders: list[int] = []  # places of what an open paragraph does not reach across
+
+    @property
+    def last(self) -> Element:
+        return self.open[-1]
+
+    def nearest(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element of these tags; 0, the root, if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def outermost(self, tags: Iterable[str], below: int) -> int:
+        """Place of the outermost open element of these tags below a place; 0 if there is none."""
+        found = [held[i] for t in tags if (held := self.places.get(t)) and (i := bisect_right(held, below)) < len(held)]
+        return min(found, default=0)
+
+    def enter(self, element: Element) -> None:
+        place = len(self.open)
+        self.open.append(element)
+        self.places.setdefault(element.tag, []).append(place)
+        if element.tag in CONTAINER or element.tag in ("li", "dd", "dt"):
+            self.borders.append(place)
+
+    def close(self, place: int) -> None:
+        """Closes the element at this place and all in it."""
+        while len(self.open) > place:
+            self.places[self.open.pop().tag].pop()
+        while self.borders and self.borders[-1] >= place:
+            self.borders.pop()
 
 
 def parse(page: str, by_name: bool = True) -> Element:
     """The page's tree; text stands in it as it is in the page, character references included.
 
-    ``by_name=False``: no element is left out for its class or id.
+    ``by_name=False``: no element is left out for its class or id. The time taken grows with the length of the page,
+    whatever is broken in it.
     """
-    root = at = Element("#root", None)
-    elements = [root]
-    position = 0
-    while (m := _TOKEN.search(page, position)) is not None:
+    root = Element("#root", None)
+    path, elements = _Path(root), [root]
+    position, rest = 0, _QUOTED
+
+    def add(tag: str, *described) -> Element:
+        element = Element(tag, path.last, *described)
+        path.last.children.append(element)
+        elements.append(element)
+        return element
+
+    while (m := _START.search(page, position)) is not None:
+        tag, attributes, end = (m[2] or "").lower(), "", m.end()
+        if tag:
+            inside = rest.match(page, end)
+            if inside is None and rest is _QUOTED:
+                # a quote that nothing closes: from here on tags end at the next bracket, as no second look is affordable
+                rest = _UNQUOTED
+                inside = rest.match(page, end)
+            if inside is None:
+                break  # no tag ends any more
+            attributes, end = inside[1], inside.end()
         if m.start() > position:
-            at.children.append(page[position : m.start()])
-        position = m.end()
-        tag = (m[2] or "").lower()
+            path.last.children.append(page[position : m.start()])
+        position = end
         if not tag:
             continue
-        if m[1]:  # closes the nearest open element of that name, if it is not behind a table cell or the like
-            open_ = at
-            while open_ is not root and open_.tag != tag:
-                open_ = open_.parent
-            if open_ is not root:
-                at = open_.parent
+        if m[1]:
+            place = path.nearest((tag,))
+            if place:
+                path.close(place)
             elif tag in ("p", "br"):
-                elements.append(Element(tag, at))
-                at.children.append(elements[-1])
+                add(tag)
             continue
-        if tag in BLOCK and tag != "html":
-            at = _without_open_p(at, root)
+        if tag in BLOCK and (place := path.nearest(("p",))) > (path.borders[-1] if path.borders else 0):
+            path.close(place)  # a block ends an open paragraph, and the inline elements in it
         if tag in ENDS:
             ended, border = ENDS[tag]
-            open_ = at
-            while open_ is not root and open_.tag not in border:
-                if open_.tag in ended:
-                    at = open_.parent
-                open_ = open_.parent
-        own = Element(tag, at, *_described(tag, m[3], tag == "header" and _framed(at)))
-        at.children.append(own)
-        elements.append(own)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
+            if place := path.outermost(ended, path.nearest(border)):
+                path.close(place)
+        own = add(tag, *_described(tag, attributes, tag == "header" and path.nearest(("article", "main")) > 0))
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(page, position)
-            position = end.end()
+            position = _END_OF[tag].search(page, position).end()
             continue
-        at = own
-    at.children.append(page[position:])
+        path.enter(own)
+    path.last.children.append(page[position:])
     _measure(elements, by_name)
     return root
 
 
-def _without_open_p(at: Element, root: Element) -> Element:
-    """A block ends an open paragraph, and the inline elements in it; not across a container."""
-    open_ = at
-    while open_ is not root and open_.tag not in CONTAINER and open_.tag not in ("li", "dd", "dt"):
-        if open_.tag == "p":
-            return open_.parent
-        open_ = open_.parent
-    return at
-
-
 def _measure(elements: list[Element], by_name: bool) -> None:
     """Counts the text of all elements, given parents first, from the innermost outwards, and judges their names by it."""
     for element in reversed(elements):
@@ -258,13 +303,6 @@ def _blocks_of(root: Element) -> Iterator[Element]:
         stack += [c for c in reversed(element.children) if not isinstance(c, str) and not c.skipped]
 
 
-def _container(element: Element) -> Element | None:
-    above = element.parent
-    while above is not None and above.tag not in CONTAINER:
-        above = above.parent
-    return above
-
-
 def best(root: Element) -> list[Element]:
     """The frame around the container with the most points, without link lists; empty if no paragraph scores."""
     scored: dict[Element, float] = {}
@@ -272,10 +310,10 @@ def best(root: Element) -> list[Element]:
         if element.tag not in PARAGRAPH or element.chars < 2:
             continue
         points = (1 + element.commas + min(element.chars / 100, 3)) * (1 - element.links / element.chars)
-        own = element if element.tag in CONTAINER else _container(element)
+        own = element if element.tag in CONTAINER else element.container
         if own is None:
             continue
-        for container, share in ((own, 1.0), (_container(own), 0.5)):
+        for container, share in ((own, 1.0), (own.container, 0.5)):
             if container is not None:
                 scored[container] = scored.get(container, container.bonus) + points * share
     scored = {e: s for e, s in scored.items() if e.tag not in ("html", "#root")}
