@@ -1,10 +1,11 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Every source has a target number of words. Its documents are taken ``target / size of the source`` times: a whole number
-of copies that all of them get, and one fractional copy. Fractions are made whole in pairs: two documents hand words to
-each other, in a random direction whose odds keep both expectations, until one of them is taken or left. What one gives
-the other gets, so a source's words never change; at the end one document of a source has a fraction left, and only that
-one is rounded. Chunks of documents are reduced in parallel; the one that each leaves open meets those of other chunks in
+of copies that all of them get, and one fractional copy. Fractions are made whole in pairs: a document and all shorter ones
+together hand words to each other, in a random direction whose odds keep all expectations, until one document is taken or
+left. What one side gives the other gets, so a source's words never change; at the end one document of a source has a
+fraction left, mostly a short one, and only that one is rounded. Only where all shorter documents together are too short to
+make up for a long one, the long one is what is rounded. Chunks of documents are reduced in parallel; the one that each leaves open meets those of other chunks in
 the next level of a reduction tree, until one is left per source. Nothing but document ids, sources and sizes is moved.
 
 Draws depend on the values only: a rerun gives the same mix. Rows that agree in id, source and size are counted first and
@@ -57,21 +58,31 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = MO
 
 
 def _reduce(rows: pa.Table) -> pa.Table:
-    """Pairs the open fractions of one chunk, long documents first; at most one, mostly a short one, stays open."""
-    part, size, coin = (rows[c].to_numpy().tolist() for c in ("part", "size", "coin"))
-    a = -1
-    for b in np.lexsort((rows["unit"].to_numpy(), rows["draw"].to_numpy(), -rows["size"].to_numpy())).tolist():
-        if not 0.0 < part[b] < 1.0:
-            continue
-        if a < 0:
-            a = b
-            continue
-        up = min((1.0 - part[a]) * size[a], part[b] * size[b])  # words that a can get from b
-        down = min(part[a] * size[a], (1.0 - part[b]) * size[b])  # words that b can get from a
-        gained = up if coin[b] * (up + down) < down else -down
-        x, y = part[a] + gained / size[a], part[b] - gained / size[b]
-        part[a], part[b] = (float(round(v)) if abs(v - round(v)) < 1e-9 else v for v in (x, y))
-        a = a if 0.0 < part[a] < 1.0 else b if 0.0 < part[b] < 1.0 else -1
+    """Makes the fractions of one chunk whole, the longest document's first; at most one, mostly a short one, stays open.
+
+    The longest open document's partner are all shorter open ones together: words go from it to them or from them to it, in
+    a random direction, until it is taken or left, or one of them is. Every one of the others gains or loses the same
+    fraction, so a long document's rounding is made up for by many short ones.
+    """
+    part, size, coin = (rows[c].to_numpy().astype(np.float64) for c in ("part", "size", "coin"))
+    order = np.lexsort((rows["unit"].to_numpy(), rows["draw"].to_numpy(), -size))
+    order = order[(part[order] > 0.0) & (part[order] < 1.0)]
+    coins = iter(coin[order])
+    # the documents still open: fractions and sizes, longest first
+    f, s = part[order], size[order]
+    while len(f) > 1:
+        others = s[1:].sum()
+        up = min((1.0 - f[0]) * s[0], others * f[1:].min())  # words that the first can get from the others
+        down = min(f[0] * s[0], others * (1.0 - f[1:].max()))  # words that they can get from it
+        gained = up if next(coins) * (up + down) < down else -down
+        f[0] += gained / s[0]
+        f[1:] -= gained / others
+        f[np.abs(f) < 1e-9] = 0.0
+        f[np.abs(f - 1.0) < 1e-9] = 1.0
+        closed = (f == 0.0) | (f == 1.0)
+        part[order[closed]] = f[closed]
+        order, f, s = order[~closed], f[~closed], s[~closed]
+    part[order] = f
     at = rows.schema.get_field_index("part")
     return rows.set_column(at, rows.schema.field(at), pa.array(part, pa.float64()))
 
