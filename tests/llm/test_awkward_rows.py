@@ -368,3 +368,19 @@ PROSE = "This block holds a good many words, some commas, and more than enough t
 )
 def test_forms_notices_discussions_and_page_headers(page, expected):
     assert html_extraction.extract(f"<html><body>{page}</body></html>").split("\n") == expected
+
+
+def test_cuts_that_join_across_blocks(spark):
+    """Nested items in blocks of their own: each cut joins the next, whatever the order of the blocks."""
+    nested = ["a b", "c d", "e f", "g h", "i j", "k l"]
+    bench = spark.createDataFrame([(i, t, "x") for i, t in enumerate(nested)], BENCH)
+    inner = "a b"
+    for pair in nested[1:]:
+        first, last = pair.split()
+        inner = f"{first} {inner} {last}"
+    docs = spark.createDataFrame([(1, f"x {inner} y", 30), (2, "nothing to cut", 14), (3, inner, 5)], "doc_id bigint, text string, n_chars bigint")
+    for block_words in (1, 4, 1000):
+        out = {r["doc_id"]: r["text"].split() for r in decontamination.clean_documents(docs, bench, block_words=block_words).collect()}
+        assert out == {1: ["x", "y"], 2: ["nothing", "to", "cut"]}
+    spans = [decontamination.find_spans(docs, bench, block_words=b).orderBy("doc_id").collect() for b in (1, 1000)]
+    assert spans[0] == spans[1]

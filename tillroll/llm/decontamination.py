@@ -24,9 +24,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from tillroll.llm.common import slices
+from tillroll.llm.common import saved, slices
 from tillroll.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -37,6 +37,8 @@ _LETTER = rb"[0-9a-z\x80-\xff]"
 _TABLE = bytes(b if re.match(_LETTER, bytes([b])) else 32 for b in bytes(range(256)).lower())
 
 _SPAN = StructType([StructField("first", IntegerType()), StructField("last", IntegerType())])
+# marks the documents that a task has cut
+CUT = "_was_cut"
 FOUND = [
     StructField("n_words", LongType()),
     StructField("spans", ArrayType(_SPAN)),
@@ -173,9 +175,13 @@ def find_spans(
     text = inner[names.index(text)]
     n, blocks = _blocks(spark, benchmark, window, block_words)
     for block, phrases in enumerate(blocks):
-        kept = [f for f in fields if keep_text or block < n - 1 or f.name != text]
+        last = block == n - 1
+        kept = [f for f in fields if keep_text or not last or f.name != text]
         schema = StructType([*kept, *FOUND])
         out = out.mapInArrow(_search(phrases, text, block > 0, schema.names, unnamed), schema)
+        if not last:  # what was found is written, so that one block's phrases are in memory at a time
+            out = saved(out, f"block{block}")
+            phrases.unpersist()
     return out.toDF(*[c for i, c in enumerate(names) if keep_text or inner[i] != text], "n_words", "spans", "items")
 
 
@@ -228,6 +234,7 @@ def _cut(phrases, text: str, n_chars: str | None):
                 cut.update(rows)
             columns = dict(zip(batch.schema.names, batch.columns))
             columns[text] = pa.array(texts, columns[text].type)
+            columns[CUT] = pa.array([i in cut for i in range(len(texts))], pa.bool_())
             if n_chars and cut:
                 old = columns[n_chars]
                 sizes = [len(texts[i]) if i in cut and v is not None else v for i, v in enumerate(old.to_pylist())]
@@ -256,9 +263,18 @@ def clean_documents(
     if not benchmark.filter((n_words > 0) & (n_words < window)).isEmpty():
         integer = "n_chars" in names and dict(docs.dtypes)["n_chars"] in ("int", "bigint")
         n_chars = inner[names.index("n_chars")] if integer else None
-        # full windows that a cut makes are cut as well; a second round meets what a later block's cut has joined
-        n, _ = _blocks(rows.sparkSession, benchmark, window, block_words)
-        for _ in range(1 if n == 1 else 2):
-            for phrases in _blocks(rows.sparkSession, benchmark, window, block_words)[1]:
-                out = out.mapInArrow(_cut(phrases, text, n_chars), rows.schema)
+        # full windows that a cut makes are cut as well, and what a block's cut joins may be another block's: until nothing is
+        schema = StructType([*rows.schema.fields, StructField(CUT, BooleanType())])
+        while True:
+            n, blocks = _blocks(rows.sparkSession, benchmark, window, block_words)
+            changed = False
+            for phrases in blocks:
+                out = out.drop(CUT).mapInArrow(_cut(phrases, text, n_chars), schema)
+                if n > 1:
+                    out = saved(out, "cut")
+                    phrases.unpersist()
+                    changed |= not out.filter(CUT).isEmpty()
+            if not changed:
+                break
+        out = out.drop(CUT)
     return out.toDF(*names)
