@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 # up to so many rows a grouped side is broadcast; beyond, Spark joins by shuffling
 BROADCAST_ROWS = 20_000
+# a key with more rows is not gathered in one task, see ``join_uneven``
+HOT_ROWS = 1_000
 
 
 @lru_cache(maxsize=1)
@@ -58,6 +60,25 @@ def join_grouped(rows: DataFrame, grouped: DataFrame, condition: Column, how: st
     return rows.join(F.broadcast(grouped) if small else grouped, condition, how)
 
 
+def join_uneven(rows: DataFrame, grouped: DataFrame, key: str, grouped_key: str, n: str, hot: int = HOT_ROWS) -> DataFrame:
+    """Inner join with a (saved) table of one row per key that knows the key's number ``n`` of ``rows``.
+
+    Of the keys with more than ``hot`` rows, the ``BROADCAST_ROWS`` largest meet their rows where those are. The others are
+    shuffled, and none of them has more than ``hot`` rows or one in ``BROADCAST_ROWS`` of all.
+    """
+    many = grouped.filter(F.col(n) > hot).orderBy(F.desc(n), grouped_key).limit(BROADCAST_ROWS)
+    if many.isEmpty():
+        return rows.join(grouped, F.col(key) == F.col(grouped_key)).drop(grouped_key, n)
+    many = saved(many, "hot")
+    (mark,) = fresh(rows, "hot")
+    marks = F.broadcast(many.select(F.col(grouped_key).alias(mark)))
+    marked = rows.join(marks, F.col(key) == F.col(mark), "left")
+    large = marked.filter(F.col(mark).isNotNull()).drop(mark).join(F.broadcast(many), F.col(key) == F.col(grouped_key))
+    others = grouped.join(marks, F.col(grouped_key) == F.col(mark), "left_anti")
+    small = marked.filter(F.col(mark).isNull()).drop(mark).join(others, F.col(key) == F.col(grouped_key))
+    return large.unionByName(small).drop(grouped_key, n)
+
+
 def repeated(df: DataFrame, times: str, number: str, block: int = 10_000) -> DataFrame:
     """Every row ``times`` times with its ``number`` from 0; in blocks, so that no array grows with the count."""
     (b,) = fresh(df, "block")

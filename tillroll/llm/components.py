@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tillroll.llm.common import saved
+from tillroll.llm.common import join_uneven, saved
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for links (a, b) of orderable nodes; root is the smallest node reachable.
 
     Alternates two steps until nothing changes: every node hands its larger neighbours to the smallest one it knows, then
-    hands its smaller neighbours to the smallest of them. Both are joins with grouped minima, so a node with very many
-    links is spread like any other; paths shrink by half or more in each round.
+    hands its smaller neighbours to the smallest of them; paths shrink by half or more in each round. Both are joins with
+    grouped minima. In the end a component is a star, so a node with very many links is the rule: its minimum is sent to its
+    links instead of its links to one task.
+
+    Defined cases: links of a node to itself and repeated links count for nothing, links may be given in either direction; a
+    node without links to others is not in the result; without links the result is empty.
     """
     edges = _directed(links, "links")
     state = _checksum(edges)
@@ -44,6 +48,7 @@ def _directed(links: DataFrame, name: str) -> DataFrame:
 
 def _to_smallest(edges: DataFrame, which) -> DataFrame:
     """Links from the neighbours v of every node u (those ``which`` holds for), and from u, to the smallest of both."""
-    smallest = edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")).select(F.col("u").alias("_u"), "m")
-    moved = edges.filter(which).join(smallest, F.col("u") == F.col("_u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    smallest = edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("_n"))
+    smallest = saved(smallest.select(F.col("u").alias("_u"), "m", "_n"), "smallest")
+    moved = join_uneven(edges.filter(which), smallest, "u", "_u", "_n").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(smallest.select(F.col("_u").alias("u"), F.col("m").alias("v"))).filter("u != v")

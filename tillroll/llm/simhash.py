@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tillroll.llm.common import fresh, identity, saved
+from tillroll.llm.common import fresh, identity, join_grouped, join_uneven, saved
 from tillroll.llm.components import components
 
 SEED = 42
@@ -232,9 +232,13 @@ def near_links(prints: DataFrame, radius: int = 4, chunk: int = CHUNK) -> DataFr
     """Links (a, b) that join all fingerprints (fp, each once) within the radius."""
     widths = _block_plan(prints.count(), radius)
     keys = prints.select("fp", F.explode(_bucket_keys(F.col("fp"), widths, radius)).alias("_k")).select("fp", "_k.*")
-    sized = keys.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("combination", "value"))).filter("_n > 1")
+    # buckets are counted by partial sums, and only those of several chunks, one in ``chunk`` keys at most, are looked up
+    large = keys.groupBy(F.col("combination").alias("_c"), F.col("value").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    large = saved(large.filter(F.col("_n") > chunk), "buckets")
+    same = (F.col("combination") == F.col("_c")) & (F.col("value") == F.col("_v"))
+    sized = join_grouped(keys, large, same, "left")
     # a row of chunk c of k chunks goes to the pairs (c, 0) … (c, k - 1), named by the smaller chunk first
-    k = F.ceil(F.col("_n") / chunk).cast("int")
+    k = F.coalesce(F.ceil(F.col("_n") / chunk).cast("int"), F.lit(1))
     mine = F.pmod(F.xxhash64("fp"), k).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), k - 1), lambda o: F.least(mine, o) * k + F.greatest(mine, o))
     rows = sized.withColumn("pair", F.explode(F.when(k == 1, F.array(F.lit(0))).otherwise(pairs)))
@@ -253,12 +257,15 @@ def near_groups(prints: DataFrame, radius: int = 4) -> DataFrame:
 
 def near_duplicates(prints: DataFrame, radius: int = 4) -> DataFrame:
     """(doc_id, fp) with ``component_id``: the smallest doc_id of the group."""
-    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("_first"))
+    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     groups = near_groups(prints, radius).withColumnsRenamed({"fp": "_fp"})
-    named = saved(groups.join(firsts, F.col("_fp") == F.col("fp")).select("fp", "root", "_first"), "groups")
-    smallest = named.groupBy("root").agg(F.min("_first").alias("component_id")).withColumnRenamed("root", "_root")
-    ids = named.join(smallest, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "root", "component_id")
-    return prints.join(ids, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "root", "component_id")
+    named = saved(groups.join(firsts, F.col("_fp") == F.col("fp")).select("fp", "root", "_first", "_rows"), "groups")
+    smallest = named.groupBy("root").agg(F.min("_first").alias("component_id"), F.count(F.lit(1)).alias("_n"))
+    smallest = saved(smallest.withColumnRenamed("root", "_root"), "components")
+    # neither the fingerprints of one component nor the documents of one fingerprint are gathered
+    ids = join_uneven(named, smallest, "root", "_root", "_n")
+    ids = saved(ids.select(F.col("fp").alias("_fp"), "root", "component_id", "_rows"), "ids")
+    return join_uneven(prints, ids, "fp", "_fp", "_rows").select("doc_id", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
