@@ -164,6 +164,8 @@ def test_languages_without_letters_or_labels(spark):
     rows = {r["doc_id"]: r for r in language_id.predict(spark, model, docs).collect()}
     assert rows[3]["lang_pred"] == rows[4]["lang_pred"] == rows[5]["lang_pred"] == "und"
     assert all(0 <= r["score"] <= 1 for r in rows.values())
+    clash = docs.withColumns({"Score": F.lit("old"), "Lang_Pred": F.lit("old")})
+    assert language_id.predict(spark, model, clash).columns == [*[c for c in docs.columns if c != "text"], "lang_pred", "score", "ambiguous"]
     nothing = language_id.learn(docs.filter("lang IS NULL"))
     assert {r["lang_pred"] for r in language_id.predict(spark, nothing, docs).collect()} == {"und"}
     single = language_id.learn(docs.filter("lang = 'en'"))

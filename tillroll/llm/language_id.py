@@ -194,7 +194,7 @@ def _predict(model, text: str):
 
 def predict(spark: SparkSession, model: Model, docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``docs`` but the text, with lang_pred, score (0 to 1) and ``ambiguous``."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
+    names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "ambiguous")]
     inner = [f"_doc{i}" for i in range(len(names))]
     rows = docs.select(*names).toDF(*inner)
     own = inner[names.index(text)]
