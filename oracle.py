@@ -102,25 +102,40 @@ BY_ORDER = """o AS (SELECT InvoiceNo, SUM(Revenue) AS order_value, SUM(Quantity)
                  FROM s GROUP BY InvoiceNo)"""
 BIG = """big AS (SELECT InvoiceNo FROM s GROUP BY InvoiceNo ORDER BY SUM(Revenue) DESC, InvoiceNo LIMIT 1)"""
 
+def tile(place: str, n_tiles: int) -> str:
+    """The tile of a 0-based place among n: the first n % n_tiles tiles hold one more than the others."""
+    small, longer = f"(n // {n_tiles})", f"(n % {n_tiles})"
+    long_ones = f"({longer} * ({small} + 1))"
+    return (
+        f"CAST(1 + CASE WHEN {place} < {long_ones} THEN {place} // ({small} + 1)"
+        f" ELSE {longer} + ({place} - {long_ones}) // greatest({small}, 1) END AS INTEGER)"
+    )
+
+
+# Scores from places and counts, segments from a table of rules of which the first that fits names the customer.
+LAST_DAY = "(SELECT MAX(InvoiceDay) FROM s)"
 RFM = f"""
-base AS (
-  SELECT CustomerID, CAST(date_diff('day', MAX(InvoiceDay), (SELECT MAX(InvoiceDay) FROM s)) + 1 AS INTEGER) AS recency_days,
-         {ORDERS} AS frequency, {REV} AS monetary
-  FROM s GROUP BY CustomerID
-), scored AS (
-  SELECT *, CAST(6 - NTILE(5) OVER (ORDER BY recency_days, CustomerID) AS INTEGER) AS r_score,
-         CAST(NTILE(5) OVER (ORDER BY frequency, monetary, CustomerID) AS INTEGER) AS f_score,
-         CAST(NTILE(5) OVER (ORDER BY monetary, CustomerID) AS INTEGER) AS m_score
-  FROM base
-), rules (place, name, r_from, r_to, f_from, f_to) AS (
-  VALUES (1, 'Champions', 4, 5, 4, 5), (2, 'Loyal Customers', 3, 5, 3, 5), (3, 'New / Promising', 4, 5, 1, 2),
-         (4, 'Need Attention', 3, 3, 1, 2), (5, 'Cannot Lose Them', 1, 2, 4, 5), (6, 'At Risk', 1, 2, 2, 5),
-         (7, 'Lost / Hibernating', 1, 5, 1, 5)
+orders_of AS (SELECT CustomerID, InvoiceNo, MAX(InvoiceDay) AS day, SUM(Revenue) AS paid FROM s GROUP BY CustomerID, InvoiceNo),
+buyers AS (
+  SELECT CustomerID, MAX(day) AS last_day, COUNT(InvoiceNo) AS frequency, {r('SUM(paid)')} AS monetary
+  FROM orders_of GROUP BY CustomerID
+), placed AS (
+  SELECT *, CAST(date_diff('day', last_day, {LAST_DAY}) + 1 AS INTEGER) AS recency_days, COUNT(*) OVER () AS n,
+         row_number() OVER (ORDER BY last_day DESC, CustomerID) - 1 AS by_day,
+         row_number() OVER (ORDER BY frequency, monetary, CustomerID) - 1 AS by_orders,
+         row_number() OVER (ORDER BY monetary, CustomerID) - 1 AS by_money
+  FROM buyers
+), rules AS (
+  SELECT * FROM (VALUES
+    (1, 'Champions', [4, 5], [4, 5]), (2, 'Loyal Customers', [3, 4, 5], [3, 4, 5]), (3, 'New / Promising', [4, 5], [1, 2]),
+    (4, 'Need Attention', [3], [1, 2]), (5, 'Cannot Lose Them', [1, 2], [4, 5]), (6, 'At Risk', [1, 2], [2, 3, 4, 5]),
+    (7, 'Lost / Hibernating', [1, 2, 3, 4, 5], [1, 2, 3, 4, 5])) AS t(place, name, r_fits, f_fits)
 ), rfm AS (
-  SELECT CustomerID, any_value(recency_days) AS recency_days, any_value(frequency) AS frequency,
-         any_value(monetary) AS monetary, any_value(r_score) AS r_score, any_value(f_score) AS f_score,
-         any_value(m_score) AS m_score, arg_min(name, place) AS segment
-  FROM scored JOIN rules ON r_score BETWEEN r_from AND r_to AND f_score BETWEEN f_from AND f_to GROUP BY CustomerID
+  SELECT p.CustomerID, p.recency_days, p.frequency, p.monetary, 6 - {tile('by_day', 5)} AS r_score,
+         {tile('by_orders', 5)} AS f_score, {tile('by_money', 5)} AS m_score,
+         (SELECT arg_min(name, place) FROM rules WHERE list_contains(r_fits, 6 - {tile('by_day', 5)})
+            AND list_contains(f_fits, {tile('by_orders', 5)})) AS segment
+  FROM placed p
 )"""
 
 FIRST = """
@@ -512,7 +527,7 @@ def _statements() -> dict[str, str]:
         "q5_08_rfm": sales(f"""
           {RFM} SELECT CustomerID, recency_days, frequency, monetary, r_score, f_score, m_score, segment FROM rfm"""),
         "q5_08_rfm_snapshot": sales(f"""
-          {RFM.replace("(SELECT MAX(InvoiceDay) FROM s)", "DATE '2001-01-01'")}
+          {RFM.replace(LAST_DAY, "DATE '2001-01-01'")}
           SELECT CustomerID, recency_days, frequency, monetary, r_score, f_score, m_score, segment FROM rfm"""),
         "q5_09_rfm_summary": sales(f"""
           {RFM}
