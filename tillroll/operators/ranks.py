@@ -164,8 +164,8 @@ def with_ntiles(df: DataFrame, n_tiles: int, orders: Mapping[str, Sequence[Colum
         .select("_order", "_part", "cnt", "upto", F.inline(wanted))
     )
     found = _holding_rank(counted, ["_order", "_part", "_tile"])
-    # at most n_tiles - 1 rows for each order, and of the second pass as many parts
-    place = F.row_number().over(Window.partitionBy("_order", "_tile").orderBy("_key"))
+    # at most n_tiles - 1 rows for each order, and of the second pass as many parts; keys are unique, and so are their ranks
+    place = F.rank().over(Window.partitionBy("_order", "_tile").orderBy("_key"))
     ends = parted.join(F.broadcast(found), ["_order", "_part"]).withColumn("place", place).where("place = rank")
     ends = ends.groupBy("_order").agg(F.collect_list("_key").alias("ends"))
     ends = ends.agg(F.map_from_entries(F.collect_list(F.struct("_order", "ends"))).alias("ends")).scalar()
