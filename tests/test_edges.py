@@ -276,6 +276,28 @@ def test_usual_names_go_by_lines_then_by_text(spark):
         products.top_products_by_quantity(s, label="longest")
 
 
+@pytest.mark.parametrize("label", ["min", "mode"])
+def test_product_mart_counts_nulls_and_copies_as_its_parts_do(spark, label):
+    lines = [
+        line(invoice=i, code=c, customer=k, description=d, quantity=q, price=p)
+        for c in ("10001", "10002", None)
+        for i, k, d, q, p in [
+            ("1", 1, "b", 2, "1.10"), ("1", 1, "b", 2, "1.10"), ("1", 2, "a", 3, "2"), ("2", None, None, 1, "5"),
+            (None, 3, "b", 4, "0.25"), (None, None, "A", 1, None), ("3", 1, "A", None, "3"),
+        ][: 6 if c else 7]
+    ] + [line(code="10003", invoice=None, customer=None, description=None, quantity=None)]
+    s = sales(spark, lines)
+    for frame in (s, grains.item_grain(s)):
+        got = {r["StockCode"]: tuple(r)[1:] for r in marts.mart_product(frame, label=label).collect()}
+        name = "A" if label == "min" else "b"
+        assert got == {
+            "10001": (name, 2, 3, 13, 16.4, 1.26),
+            "10002": (name, 2, 3, 13, 16.4, 1.26),
+            None: ("A", 3, 3, 13, 16.4, 1.26) if label == "min" else ("b", 3, 3, 13, 16.4, 1.26),
+            "10003": (None, 0, 0, None, None, None),
+        }
+
+
 def test_names_from_a_table_keep_products_without_one(spark):
     s = sales(spark, [line(code="10001", quantity=5), line(code="10002", quantity=3), line(code="10003")]).drop("Description")
     names = spark.createDataFrame([("10001", "tea"), ("10003", "cup"), ("10003", "Cup")], "StockCode string, Description string")

@@ -81,6 +81,15 @@ def test_lines_are_not_shuffled_by_product_before_they_are_summed(spark, large_t
             assert i + 1 == len(lines) or re.search("Aggregate|WindowGroupLimit|TakeOrdered", lines[i + 1]), text
 
 
+def test_usual_names_shuffle_the_lines_once_and_as_numbers(spark, large_tables):
+    """Measures and names are grouped from the same lines, met once with orders and parts."""
+    lines = plan(QUERIES["q9_03_usual_names"](spark, SF_DIR))
+    assert [sum(f"/{table}.parquet" in text for text in lines) for table in ("lineitem", "orders", "part")] == [1, 1, 1]
+    for i, text in enumerate(lines):
+        if re.search(r"- Exchange hashpartitioning\(l_(orderkey|partkey)#", text):
+            assert "concat" not in lines[i + 1] and "as string" not in lines[i + 1], lines[i + 1]
+
+
 def scans(df) -> int:
     return sum("FileScan parquet" in text for text in plan(df))
 

@@ -183,9 +183,32 @@ def named(
 
 def _usual(counts: DataFrame, keys: list[str]) -> DataFrame:
     """The description on most lines of every group, from (keys, Description, _n); ties by text, null never."""
+    return counts.groupBy(*keys).agg(_most().alias("description"))
+
+
+def _most() -> Column:
     pair = F.struct((-F.col("_n")).alias("n"), F.col("Description").alias("value"))
-    usual = F.min(F.when(F.col("Description").isNotNull(), pair))
-    return counts.groupBy(*keys).agg(usual["value"].alias("description"))
+    return F.min(F.when(F.col("Description").isNotNull(), pair))["value"]
+
+
+def measured_and_usual(s: DataFrame, key: str, metrics: Iterable[str], column: str) -> DataFrame:
+    """Base measures per ``key``, unrounded, and its ``column`` value on most lines, as of ``names_of``.
+
+    The lines, and what they were joined with, are shuffled once for both: sums and names come from groups by (key, value),
+    and the distinct counts are grouped without any amounts. Spark drops from each of the two the columns that only the
+    other needs, and would then do the joins below twice. The (always true) condition on a hash of all of them keeps them,
+    and the shuffles are then shared.
+    """
+    base = base_of(metrics)
+    counted, summed = [m for m in base if m in DISTINCT], [m for m in base if m in SUMS]
+    lines = [LINE_COUNT] if LINE_COUNT in s.columns else []
+    used = dict.fromkeys([key, column, *[(DISTINCT | SUMS)[m] for m in (*counted, *summed)], *lines])
+    s = s.where(F.xxhash64(*used) >= F.lit(-(2**63)))
+    sums = [BASE[m]().alias(m) for m in summed]
+    by_value = s.groupBy(key, F.col(column).alias("Description")).agg(*sums, n_lines(s).alias("_n"))
+    totals = by_value.groupBy(F.col(key).alias("_key")).agg(_most().alias("_name"), *[F.sum(m).alias(m) for m in summed])
+    both = measured(s, [key], counted).join(totals, F.col(key).eqNullSafe(F.col("_key")))
+    return both.select(key, F.col("_name").alias(column), *counted, *summed)
 
 
 def with_name(entities: DataFrame, s: DataFrame, key: str, column: str, name: str, label: str = "min") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillroll.functions.bands import customer_type
-from tillroll.functions.metrics import BASE, base_of, sales_by, shown, with_name
+from tillroll.functions.metrics import BASE, base_of, measured_and_usual, sales_by, shown, with_name
 from tillroll.operators.customers import rfm
 
 
@@ -36,6 +36,9 @@ def mart_customer(s: DataFrame) -> DataFrame:
 def mart_product(s: DataFrame, label: str = "min", names: DataFrame | None = None) -> DataFrame:
     """Every code, fees included; ``label`` and ``names`` as for rankings of products."""
     metrics = ["orders", "customers", "quantity", "revenue", "avg_selling_price"]
+    if names is None and label == "mode":
+        products = measured_and_usual(s, "StockCode", metrics, "Description")
+        return products.select("StockCode", "Description", *[shown(m) for m in metrics])
     products = sales_by(s, ["StockCode"], metrics)
     source = s if names is None else names
     return with_name(products, source, "StockCode", "Description", "Description", label).select("StockCode", "Description", *metrics)

@@ -72,15 +72,16 @@ def sales_lines(
     cents = F.rint(F.col("l_extendedprice") * 100).cast("bigint")
     quantity = F.col("l_quantity").cast("bigint")
     millionths = F.floor(F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")) * 1_000_000 + 0.5)
-    s = _table(spark, sf_dir, "lineitem").withColumns(
+    s = _table(spark, sf_dir, "lineitem")
+    own = s.columns
+    s = s.withColumns(
         {
-            "InvoiceNo": F.col("l_orderkey").cast("string"),
-            "StockCode": stock_code(F.col("l_partkey")),
             "Quantity": quantity,
             "Revenue": from_cents(cents),
             "UnitPrice": from_cents(F.floor((millionths + 5_000) / 10_000)),
         }
     )
+    amounts = s.columns[len(own):]
     if orders or countries:
         placed = _table(spark, sf_dir, "orders").select(
             F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("CustomerID"), "o_orderdate"
@@ -102,7 +103,11 @@ def sales_lines(
             F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("Description"), F.col("p_brand").alias("Brand")
         )
         s = s.join(part, "l_partkey", "left")
-    return s
+    # texts are made after the joins, which so shuffle the lines as numbers
+    texts = {"InvoiceNo": F.col("l_orderkey").cast("string"), "StockCode": stock_code(F.col("l_partkey"))}
+    s = s.withColumns(texts)
+    first = [c for c in s.columns if c in own]
+    return s.select(*first, *texts, *amounts, *[c for c in s.columns if c not in {*own, *texts, *amounts}])
 
 
 def product_names(spark: SparkSession, sf_dir: str) -> DataFrame:
