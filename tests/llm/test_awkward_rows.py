@@ -42,6 +42,21 @@ def pages(spark, rows=None):
     return spark.createDataFrame(found if rows is None else rows, PAGES)
 
 
+def embeddings(spark, rows=None):
+    """14 vectors of 64 finite numbers, of which 6 are zero and two are queries; others are not complete."""
+    found = [(i, [float((7 * i + j) % 11) for j in range(64)], 0) for i in (0, 1, 2, 3, 4, 5, 6, 100)]
+    found += [(i, [0.0] * 64, None) for i in (200, 201, 202, 203, 204, 205)]
+    found += [(300, None, 0), (301, [1.0] * 63 + [None], 0), (302, [1.0] * 63 + [float("nan")], 0), (303, [float("inf")] * 64, 0)]
+    return spark.createDataFrame(found if rows is None else rows, "vec_id bigint, embedding array<float>, label int")
+
+
+def conversations(spark, rows=None):
+    """A conversation of 13 turns, some without number, role or text, or twice; a turn of no conversation."""
+    found = [(0, i, "user" if i % 2 else None, f"turn {i}" if i % 3 else None) for i in range(10)]
+    found += [(0, 9, "user", "again"), (0, None, "user", ""), (0, None, None, None), (None, 1, "user", "lost")]
+    return spark.createDataFrame(found if rows is None else rows, "conv_id bigint, turn bigint, role string, text string")
+
+
 @pytest.fixture
 def tables(spark, tmp_path):
     """Writes the tables of a query, awkward or empty, and returns their folder."""
@@ -53,6 +68,8 @@ def tables(spark, tmp_path):
             "documents": documents(spark, none).select("doc_id", "text", "lang", "source", "n_chars"),
             "benchmark": benchmark(spark, none).select("item_id", "text"),
             "pages": pages(spark, none).select("page_id", "url", "html"),
+            "embeddings": embeddings(spark, none),
+            "conversations": conversations(spark, none),
             "labels": spark.createDataFrame(
                 [] if empty else [(1, 1, 0), (1, 1, 0), (3, 0, 1), (None, 1, 1), (9, None, None)],
                 "doc_id bigint, quality int, toxic int",
