@@ -1,14 +1,20 @@
 """Reports from shared sums must equal those from the lines, distinct counts above all; and read the lines less often."""
 
+import datetime
 import random
 import re
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
+import __spark_entry__ as registry
+from compare import differences, duck
 from sample import line, sales
 from tillroll.plans import grains as G
 from tillroll.plans.catalogue import REPORTS, export_reports, marts_from, report_from
 from tillroll.operators import marts
+from tillroll.sources import star
 from tillroll.sources.files import read_sales, write_sales
 
 
@@ -79,6 +85,73 @@ def test_control_finds_an_outdated_grain(lines, stored):
     assert "Lines" in wrong
 
 
+@pytest.fixture(scope="module")
+def star_dir(tmp_path_factory):
+    """Orders, customers and parts that repeat, that are missing, and that have no key; lines without a key or an amount."""
+    rng, path = random.Random(3), tmp_path_factory.mktemp("star")
+    day = lambda i: datetime.datetime(1995, 1 + i % 12, 1 + i % 28, i % 24)
+    tables = {
+        "lineitem": {
+            "l_orderkey": (pa.int64(), [rng.choice([*range(40), None]) for _ in range(300)]),
+            "l_partkey": (pa.int64(), [rng.choice([*range(40, 60), 100_000, None]) for _ in range(300)]),
+            "l_suppkey": (pa.int64(), [1] * 300),
+            "l_linenumber": (pa.int32(), [1 + i % 7 for i in range(300)]),
+            "l_quantity": (pa.float64(), [rng.choice([1.0, 12.0, None]) for _ in range(300)]),
+            "l_extendedprice": (pa.float64(), [rng.choice([0.35, 25.5, 1000.01, None]) for _ in range(300)]),
+            "l_shipdate": (pa.timestamp("us"), [day(i) for i in range(300)]),
+        },
+        "orders": {
+            "o_orderkey": (pa.int64(), [*range(30), *range(5), None, None]),
+            "o_custkey": (pa.int64(), [i % 7 if i % 6 else None for i in range(37)]),
+            "o_orderdate": (pa.timestamp("us"), [day(i) if i % 11 else None for i in range(37)]),
+        },
+        "customer": {
+            "c_custkey": (pa.int64(), [0, 1, 2, 2, 3, 4, None]),
+            "c_nationkey": (pa.int32(), [0, 1, 0, 1, None, 9, 0]),
+        },
+        "supplier": {"s_suppkey": (pa.int64(), [1]), "s_nationkey": (pa.int32(), [0])},
+        "nation": {"n_nationkey": (pa.int32(), [0, 1]), "n_name": (pa.string(), ["NATION_0", "NATION_1"])},
+        "part": {
+            "p_partkey": (pa.int64(), [*range(40, 55), 41, 42, None]),
+            "p_name": (pa.string(), [*[f"part {i % 4}" for i in range(16)], None, "no key"]),
+            "p_brand": (pa.string(), ["Brand#1"] * 18),
+        },
+    }
+    for name, columns in tables.items():
+        pq.write_table(pa.table({c: pa.array(v, kind) for c, (kind, v) in columns.items()}), path / f"{name}.parquet")
+    return str(path)
+
+
+def test_lines_that_meet_their_orders_last_are_the_same(spark, star_dir):
+    plain, last = (star.sales_lines(spark, star_dir, countries=True, parts=True, orders_last=x) for x in (False, True))
+    assert plain.schema == last.schema and plain.count() > 300
+    assert sorted(map(str, plain.collect())) == sorted(map(str, last.collect()))
+
+
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_control_of_joined_lines_agrees_with_sql(spark, star_dir, threshold):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        found = registry.queries()["s7_grain_control"](spark, star_dir)
+        assert not differences(found, duck(star_dir), registry.oracle_sql()["s7_grain_control"])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_control_counts_nothing_as_none(spark, lines):
+    found = {r["measure"]: tuple(r)[1:] for r in G.control(G.grains_of(lines.where("false"), together=True)).collect()}
+    assert found["Quantity"] == found["Revenue"] == (None, None, None, True)
+    assert found["StockCode"] == (0, None, 0, True) and found["Lines"] == (0, 0, 0, True)
+
+
+def test_control_finds_codes_that_a_grain_lacks(lines, stored):
+    for column, lost in (("StockCode", "POST"), ("Description", "tray")):
+        short = G.Grains(lines, stored.orders, stored.items.where(f"NOT coalesce({column} = '{lost}', false)"))
+        row = {r["measure"]: r for r in G.control(short).collect()}[column]
+        assert (row["lines"] - row["items"], row["orders"], row["agrees"]) == (1, None, False)
+
+
 def test_months_can_be_replaced_alone(spark, lines, tmp_path):
     path = str(tmp_path)
     G.write_grains(lines, path)

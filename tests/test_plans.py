@@ -90,6 +90,17 @@ def test_usual_names_shuffle_the_lines_once_and_as_numbers(spark, large_tables):
             assert "concat" not in lines[i + 1] and "as string" not in lines[i + 1], lines[i + 1]
 
 
+def test_grain_control_shuffles_the_lines_once_for_all_that_it_compares(spark, large_tables):
+    """Lines, sums per order and sums per product are grouped where the lines lie, and only distinct values move after that."""
+    lines = plan(QUERIES["s7_grain_control"](spark, SF_DIR))
+    assert [sum(f"/{table}.parquet" in text for text in lines) for table in ("lineitem", "orders", "part")] == [1, 1, 1]
+    for i, text in enumerate(lines):
+        if re.search(r"- Exchange hashpartitioning\((l_partkey#|cast\()", text):
+            assert "concat" not in lines[i + 1] and "InvoiceNo" not in lines[i + 1], lines[i + 1]
+        elif "- Exchange hashpartitioning(" in text and "HashAggregate" in lines[i + 1]:
+            assert "gid#" in text, text
+
+
 def scans(df) -> int:
     return sum("FileScan parquet" in text for text in plan(df))
 

@@ -191,19 +191,25 @@ def _most() -> Column:
     return F.min(F.when(F.col("Description").isNotNull(), pair))["value"]
 
 
+def kept_whole(s: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """The same rows, holding all of ``columns`` for each of several readers, which so share the joins' shuffles.
+
+    Spark drops for each reader the columns that only the others need, and would then do the joins below once for each. The
+    (always true) condition on a hash of all of them keeps them.
+    """
+    return s.where(F.xxhash64(*dict.fromkeys(columns)) >= F.lit(-(2**63)))
+
+
 def measured_and_usual(s: DataFrame, key: str, metrics: Iterable[str], column: str) -> DataFrame:
     """Base measures per ``key``, unrounded, and its ``column`` value on most lines, as of ``names_of``.
 
     The lines, and what they were joined with, are shuffled once for both: sums and names come from groups by (key, value),
-    and the distinct counts are grouped without any amounts. Spark drops from each of the two the columns that only the
-    other needs, and would then do the joins below twice. The (always true) condition on a hash of all of them keeps them,
-    and the shuffles are then shared.
+    and the distinct counts are grouped without any amounts.
     """
     base = base_of(metrics)
     counted, summed = [m for m in base if m in DISTINCT], [m for m in base if m in SUMS]
     lines = [LINE_COUNT] if LINE_COUNT in s.columns else []
-    used = dict.fromkeys([key, column, *[(DISTINCT | SUMS)[m] for m in (*counted, *summed)], *lines])
-    s = s.where(F.xxhash64(*used) >= F.lit(-(2**63)))
+    s = kept_whole(s, [key, column, *[(DISTINCT | SUMS)[m] for m in (*counted, *summed)], *lines])
     sums = [BASE[m]().alias(m) for m in summed]
     by_value = s.groupBy(key, F.col(column).alias("Description")).agg(*sums, n_lines(s).alias("_n"))
     totals = by_value.groupBy(F.col(key).alias("_key")).agg(_most().alias("_name"), *[F.sum(m).alias(m) for m in summed])

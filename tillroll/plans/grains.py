@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillroll.functions.metrics import LINE_COUNT, n_lines
+from tillroll.functions.metrics import LINE_COUNT, kept_whole, n_lines
 
 ORDER_KEYS = (
     "InvoiceNo",
@@ -34,6 +34,9 @@ ORDER_KEYS = (
 )
 ITEM_KEYS = ("InvoiceNo", "CustomerID", "Country", "YearMonth", "StockCode", "Description")
 GRAINS = ("orders", "items")
+CODES = ("StockCode", "Description")
+# columns from products and from orders: lines that keep them need the same joins for either grain
+TOGETHER = (*CODES, "CustomerID")
 
 
 @dataclass(frozen=True)
@@ -58,9 +61,13 @@ def item_grain(s: DataFrame, keys: Sequence[str] = ITEM_KEYS) -> DataFrame:
     return s.groupBy(*keys).agg(*sums, *prices)
 
 
-def grains_of(s: DataFrame) -> Grains:
-    """Both grains as plain, lazy frames: right for a few reports; many should share stored ones."""
-    return Grains(s, order_grain(s), item_grain(s))
+def grains_of(s: DataFrame, together: bool = False) -> Grains:
+    """Both grains as plain, lazy frames: right for a few reports; many should share stored ones.
+
+    ``together`` is for one reader of all three: the order grain is then made from lines that still hold codes and names, as
+    the item grain is, and what the lines were joined with is shuffled once for both. Reports on one grain would carry them in vain.
+    """
+    return Grains(s, order_grain(kept_whole(s, TOGETHER) if together else s), item_grain(s))
 
 
 def write_grains(s: DataFrame, path: str, months_only: bool = False) -> Grains:
@@ -87,16 +94,24 @@ def read_grains(spark: SparkSession, path: str, lines: DataFrame) -> Grains:
 def control(grains: Grains) -> DataFrame:
     """Lines, quantity, revenue and distinct values of every key, from the lines and from each grain that has them.
 
-    One row per measure; ``agrees`` is false where a grain differs from the lines, as an outdated one would.
+    One row per measure; ``agrees`` is false where a grain differs from the lines, as an outdated one would. Codes and names
+    are counted apart from what belongs to the order: they need no orders, and which of them occur is the same however rows
+    are grouped by them, so that Spark leaves out the joins with orders, and the grouping, of lazy frames.
     """
     counted = {"lines": grains.lines, "orders": grains.orders, "items": grains.items}
     keys = list(dict.fromkeys([*ORDER_KEYS, *ITEM_KEYS]))
 
+    def shown(values: DataFrame) -> DataFrame:
+        rows = [F.struct(F.lit(c).alias("measure"), F.col(c).cast("decimal(38,4)").alias("value")) for c in values.columns]
+        return values.select(F.inline(F.array(*rows)))
+
     def measures(s: DataFrame) -> DataFrame:
-        sums = {LINE_COUNT: n_lines(s), "Quantity": F.sum("Quantity"), "Revenue": F.sum("Revenue")}
-        values = s.agg(*[m.alias(c) for c, m in sums.items()], *[F.count_distinct(c).alias(c) for c in keys if c in s.columns])
-        shown = [F.struct(F.lit(c).alias("measure"), F.col(c).cast("decimal(38,4)").alias("value")) for c in values.columns]
-        return values.select(F.inline(F.array(*shown)))
+        codes = [c for c in CODES if c in s.columns]
+        whole = s if LINE_COUNT in s.columns else kept_whole(s, TOGETHER)
+        sums = {LINE_COUNT: n_lines(whole), "Quantity": F.sum("Quantity"), "Revenue": F.sum("Revenue")}
+        others = [F.count_distinct(c).alias(c) for c in keys if c in s.columns and c not in codes]
+        found = shown(whole.agg(*[m.alias(c) for c, m in sums.items()], *others))
+        return found.union(shown(s.agg(*[F.count_distinct(c).alias(c) for c in codes]))) if codes else found
 
     first, *others = [measures(s).withColumnRenamed("value", name) for name, s in counted.items()]
     joined = first

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tillroll.functions.calendar import month_name, weekday_name, year_month
+from tillroll.functions.metrics import kept_whole
 from tillroll.functions.numbers import from_cents
 
 HOME = "NATION_0"
@@ -59,6 +60,7 @@ def sales_lines(
     countries: bool = False,
     parts: bool = False,
     dated_by: str = "o_orderdate",
+    orders_last: bool = False,
 ) -> DataFrame:
     """Order lines as sales lines.
 
@@ -66,6 +68,10 @@ def sales_lines(
     product name. ``dated_by='l_shipdate'`` takes the line's own date instead of the order's. Customer and nation meet
     the orders, not the lines: lines are only ever shuffled by order or product, never by customer, so a customer with a
     third of them does not end up in one task.
+
+    ``orders_last`` is for a reader that groups the lines by order in several ways. They meet the parts first, and the orders last and
+    by the text of the invoice number: they then lie dealt by ``InvoiceNo``, and no grouping that has it among its keys shuffles them
+    again. They travel as numbers, whole, and dates are made after that, so that all those groupings share the shuffles.
     """
     # amounts arrive as DOUBLE with two decimals; by way of whole cents they become DECIMAL at a fraction of the cost of
     # a direct cast, which goes through text
@@ -82,6 +88,13 @@ def sales_lines(
         }
     )
     amounts = s.columns[len(own):]
+    part = None
+    if parts:
+        part = _table(spark, sf_dir, "part").select(
+            F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("Description"), F.col("p_brand").alias("Brand")
+        )
+    if parts and orders_last:
+        s = kept_whole(s.join(part, "l_partkey", "left"), ["l_orderkey", "l_partkey", "Quantity", "Revenue", "Description"])
     if orders or countries:
         placed = _table(spark, sf_dir, "orders").select(
             F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("CustomerID"), "o_orderdate"
@@ -93,21 +106,24 @@ def sales_lines(
             )
             placed = placed.join(customer, "CustomerID", "left").join(nation, "c_nationkey", "left")
         dates = _date_columns(F.col(dated_by))
-        if dated_by == "o_orderdate":
+        if orders_last:
+            placed = placed.withColumnRenamed("l_orderkey", "o_orderkey")
+            same = F.col("l_orderkey").cast("string") == F.col("o_orderkey").cast("string")
+            s = s.join(placed, same, "left").drop("o_orderkey").withColumns(dates)
+        elif dated_by == "o_orderdate":
             # once per order instead of once per line
             s = s.join(placed.withColumns(dates), "l_orderkey", "left")
         else:
             s = s.join(placed, "l_orderkey", "left").withColumns(dates)
-    if parts:
-        part = _table(spark, sf_dir, "part").select(
-            F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("Description"), F.col("p_brand").alias("Brand")
-        )
+    if parts and not orders_last:
         s = s.join(part, "l_partkey", "left")
     # texts are made after the joins, which so shuffle the lines as numbers
     texts = {"InvoiceNo": F.col("l_orderkey").cast("string"), "StockCode": stock_code(F.col("l_partkey"))}
     s = s.withColumns(texts)
     first = [c for c in s.columns if c in own]
-    return s.select(*first, *texts, *amounts, *[c for c in s.columns if c not in {*own, *texts, *amounts}])
+    rest = [c for c in s.columns if c not in {*own, *texts, *amounts}]
+    rest.sort(key=lambda c: c in ("Description", "Brand"))
+    return s.select(*first, *texts, *amounts, *rest)
 
 
 def product_names(spark: SparkSession, sf_dir: str) -> DataFrame:
