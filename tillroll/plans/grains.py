@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -35,8 +36,8 @@ ORDER_KEYS = (
 ITEM_KEYS = ("InvoiceNo", "CustomerID", "Country", "YearMonth", "StockCode", "Description")
 GRAINS = ("orders", "items")
 CODES = ("StockCode", "Description")
-# columns from products and from orders: lines that keep them need the same joins for either grain
-TOGETHER = (*CODES, "CustomerID")
+# what all is made of: lines that keep these columns need the same joins for whatever is counted or summed
+TOGETHER = (*CODES, "CustomerID", "Country", "InvoiceDateTime", "Quantity", "Revenue")
 
 
 @dataclass(frozen=True)
@@ -106,12 +107,15 @@ def control(grains: Grains) -> DataFrame:
         return values.select(F.inline(F.array(*rows)))
 
     def measures(s: DataFrame) -> DataFrame:
-        codes = [c for c in CODES if c in s.columns]
-        whole = s if LINE_COUNT in s.columns else kept_whole(s, TOGETHER)
+        own, codes = ([c for c in keys if c in s.columns and (c in CODES) == coded] for coded in (False, True))
+        grain = LINE_COUNT in s.columns
+        whole = s if grain else kept_whole(s, TOGETHER)
+        # orders alone beside the sums are counted where the lines lie, if dealt by order: only the other values move
+        together, apart = (own, []) if grain else (["InvoiceNo"], [c for c in own if c != "InvoiceNo"])
         sums = {LINE_COUNT: n_lines(whole), "Quantity": F.sum("Quantity"), "Revenue": F.sum("Revenue")}
-        others = [F.count_distinct(c).alias(c) for c in keys if c in s.columns and c not in codes]
-        found = shown(whole.agg(*[m.alias(c) for c, m in sums.items()], *others))
-        return found.union(shown(s.agg(*[F.count_distinct(c).alias(c) for c in codes]))) if codes else found
+        found = whole.agg(*[m.alias(c) for c, m in sums.items()], *[F.count_distinct(c).alias(c) for c in together])
+        counts = [frame.agg(*[F.count_distinct(c).alias(c) for c in some]) for frame, some in ((whole, apart), (s, codes)) if some]
+        return reduce(DataFrame.union, map(shown, [found, *counts]))
 
     first, *others = [measures(s).withColumnRenamed("value", name) for name, s in counted.items()]
     joined = first
